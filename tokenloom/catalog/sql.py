@@ -1,0 +1,110 @@
+"""SQL building blocks for the oracles: the bridges written for DuckDB.
+
+They repeat the *mapping* of the driver's tables, nothing of the operators; the
+oracles then use plain windows and joins.
+"""
+
+from __future__ import annotations
+
+EV = """
+ev0 AS (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k, CAST(round(value*10) AS BIGINT) AS size,
+               CAST(round(value*1000) AS BIGINT) AS big FROM events),
+ev1 AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'token_report' WHEN 'signup' THEN 'compacted'
+          WHEN 'click' THEN 'tool_call'
+          WHEN 'error' THEN CASE WHEN k%10=9 THEN 'unrecognised' ELSE 'tool_result' END
+          ELSE CASE k%5 WHEN 0 THEN 'turn_started' WHEN 1 THEN 'message' WHEN 2 THEN 'message'
+                        WHEN 3 THEN 'reasoning' ELSE 'context_injection' END END AS kind FROM ev0),
+ev AS (SELECT 'codex' AS agent, CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, event_id+1 AS line_no,
+         event_id*8192 AS byte_offset, size+100 AS byte_len, CASE WHEN k%23<>0 THEN ts END AS ts, kind, k,
+         CASE WHEN kind='unrecognised' THEN 'future_'||CAST(k AS VARCHAR) ELSE kind END AS raw_type,
+         CASE WHEN kind='message' THEN CASE WHEN k%5=1 THEN 'user' ELSE 'assistant' END END AS role,
+         CASE WHEN kind='message' THEN 'p'||CAST(k AS VARCHAR) END AS preview,
+         CASE WHEN kind IN ('message','reasoning','tool_call','tool_result','context_injection') THEN size END AS char_len,
+         CASE WHEN kind='reasoning' THEN k%2=0 END AS redacted,
+         CASE WHEN kind='tool_call' THEN CASE k%4 WHEN 0 THEN 'shell' WHEN 1 THEN 'read' WHEN 2 THEN 'edit' ELSE 'search' END END AS tool,
+         CASE WHEN kind IN ('tool_call','tool_result') AND k%19<>0 THEN 'c'||CAST(k%20 AS VARCHAR) END AS call_id,
+         CASE WHEN kind='tool_call' AND k%3<>0 THEN 'f'||CAST(k%6 AS VARCHAR)||'.py' END AS target,
+         CASE WHEN kind='tool_result' THEN k%2=0 END AS is_error,
+         CASE WHEN kind='context_injection' THEN CASE (k//5)%5 WHEN 0 THEN 'base_instructions' WHEN 1 THEN 'nested_memory'
+              WHEN 2 THEN 'skill' WHEN 3 THEN 'context_compaction' ELSE 'additional_tools' END END AS mechanism,
+         CASE WHEN kind='context_injection' THEN 'dir/l'||CAST(k%3 AS VARCHAR) END AS label,
+         CASE WHEN kind='compacted' THEN CASE WHEN k%2=0 THEN 'auto' ELSE 'manual' END END AS trig,
+         CASE WHEN kind='compacted' AND k%3<>0 THEN k*1000 END AS tok_before,
+         CASE WHEN kind='compacted' AND k%7<>0 THEN k*300+9000 END AS tok_after,
+         CASE WHEN kind='token_report' AND k%17<>0 THEN big - CASE WHEN k%7<>0 AND k*900<=big THEN k*900 ELSE 0 END END AS u_input,
+         CASE WHEN kind='token_report' AND k%17<>0 AND k%7<>0 AND k*900<=big THEN k*900 END AS u_read,
+         CASE WHEN kind='token_report' AND k%29<>0 THEN k*7+1 END AS u_out,
+         CASE WHEN kind='token_report' THEN k%5 END AS u_reason,
+         CASE WHEN kind='token_report' AND k%3<>0 THEN 250000+k*1000 END AS u_window,
+         CASE WHEN kind='token_report' THEN CASE WHEN k%31=0 THEN 3 ELSE 1 END END AS u_calls,
+         CASE WHEN kind='turn_started' AND k%4<>0 THEN 'model-'||CAST(k%3 AS VARCHAR) END AS model,
+         CASE WHEN kind IN ('message','reasoning','tool_call','tool_result','context_injection') THEN TRUE ELSE FALSE END AS occ
+       FROM ev1)
+"""
+
+#: Turn numbers and the facts of each turn, on EV.
+EVT = (
+    EV
+    + """,
+evn AS (SELECT *, count(*) FILTER (WHERE kind='token_report') OVER (PARTITION BY session_id ORDER BY seq
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN kind='token_report' THEN 1 ELSE 0 END AS before_n,
+          count(*) FILTER (WHERE kind='token_report') OVER (PARTITION BY session_id) AS all_n,
+          max(CASE WHEN kind='turn_started' THEN seq END) OVER (PARTITION BY session_id ORDER BY seq
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS start_seq
+        FROM ev),
+evt AS (SELECT *, CASE WHEN before_n < all_n THEN before_n+1 END AS turn FROM evn),
+resets AS (SELECT session_id, turn, max(seq) AS reset_seq FROM evt
+           WHERE kind IN ('turn_started','compacted') OR (kind='message' AND role='user') GROUP BY ALL),
+rstart AS (SELECT e.session_id, e.turn, min(e.seq) AS response_start_seq FROM evt e
+           LEFT JOIN resets r ON r.session_id=e.session_id AND r.turn=e.turn
+           WHERE e.turn IS NOT NULL AND (e.kind IN ('reasoning','tool_call') OR (e.kind='message' AND e.role='assistant'))
+             AND e.seq > coalesce(r.reset_seq,-1) GROUP BY ALL),
+turns0 AS (SELECT e.agent, e.session_id, e.turn, e.ts, m.model, e.seq AS anchor_seq, s.response_start_seq,
+            coalesce(s.response_start_seq, e.seq) AS cutoff_seq,
+            e.u_input, e.u_read, e.u_out, e.u_reason, e.u_window, e.u_calls, e.k,
+            nullif(coalesce(e.u_input,0)+coalesce(e.u_read,0),0) AS prompt_tokens
+          FROM evt e LEFT JOIN rstart s ON s.session_id=e.session_id AND s.turn=e.turn
+          LEFT JOIN ev m ON m.session_id=e.session_id AND m.seq=e.start_seq
+          WHERE e.kind='token_report'),
+turns AS (SELECT t.*, (SELECT max(c.seq) FROM ev c WHERE c.session_id=t.session_id AND c.kind='compacted'
+                       AND c.seq < t.cutoff_seq) AS comp_seq FROM turns0 t)
+"""
+)
+
+CONV = """
+cmsg AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn*2 AS seq, turn*2+1 AS line_no, role, text,
+                left(text,40) AS preview, length(text) AS char_len, conv_id, turn AS t FROM conversations),
+crep AS (SELECT session_id, seq+1 AS seq, (conv_id*37 + t*211)%900 AS prompt0,
+                row_number() OVER (PARTITION BY session_id ORDER BY seq) AS turn, seq AS a_seq FROM cmsg WHERE role='assistant'),
+cresets AS (SELECT r.session_id, r.turn, max(m.seq) AS reset_seq FROM crep r JOIN cmsg m ON m.session_id=r.session_id
+              AND m.seq<r.seq AND m.role<>'assistant' GROUP BY ALL),
+cprev AS (SELECT r.*, coalesce(lag(r.seq) OVER (PARTITION BY r.session_id ORDER BY r.seq),-1) AS prev_rep FROM crep r),
+cturn AS (SELECT p.session_id, p.turn, p.seq AS anchor_seq, nullif(p.prompt0,0) AS prompt_tokens,
+             coalesce((SELECT min(m.seq) FROM cmsg m WHERE m.session_id=p.session_id AND m.role='assistant'
+                 AND m.seq>p.prev_rep AND m.seq<p.seq AND m.seq>coalesce(s.reset_seq,-1)), p.seq) AS cutoff_seq
+          FROM cprev p LEFT JOIN cresets s ON s.session_id=p.session_id AND s.turn=p.turn)
+"""
+
+#: Items of the peak turn of every conversation, calibrated.
+CITEMS = (
+    CONV
+    + """,
+cpeak AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY prompt_tokens DESC, turn) AS rn
+            FROM cturn WHERE prompt_tokens IS NOT NULL) WHERE rn=1),
+craw AS (SELECT m.*, p.turn, p.prompt_tokens AS total, CAST(ceil(m.char_len/3.8) AS BIGINT) AS raw_tokens,
+            CASE WHEN m.role='user' AND m.seq=max(CASE WHEN m.role='user' THEN m.seq END) OVER (PARTITION BY m.session_id) THEN 'current-prompt'
+                 WHEN m.role='user' THEN 'user-messages' WHEN m.role='assistant' THEN 'assistant-messages'
+                 ELSE 'developer-instructions' END AS category,
+            CASE WHEN m.role='user' THEN 'user' WHEN m.role='assistant' THEN 'model' ELSE 'harness' END AS source_kind
+         FROM cpeak p JOIN cmsg m ON m.session_id=p.session_id AND m.seq<p.cutoff_seq),
+citems AS (SELECT *, CASE WHEN est>total THEN raw_tokens*total//est ELSE raw_tokens END AS tokens FROM
+            (SELECT *, sum(raw_tokens) OVER (PARTITION BY session_id) AS est FROM craw)),
+csnap AS (SELECT p.session_id, p.turn, p.prompt_tokens AS total, CAST(coalesce(sum(i.tokens),0) AS BIGINT) AS accounted,
+             CAST(p.prompt_tokens-coalesce(sum(i.tokens),0) AS BIGINT) AS residual, count(i.seq) AS item_count
+          FROM cpeak p LEFT JOIN citems i ON i.session_id=p.session_id GROUP BY p.session_id, p.turn, p.prompt_tokens)
+"""
+)
+
+
+def q(ctes: str, body: str) -> str:
+    return f"WITH {ctes.strip()}\n{body.strip()}"
