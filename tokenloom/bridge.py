@@ -122,8 +122,9 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as graph-log sessions: record n hangs below record n - 1 - (k mod 3).
 
-    purchase = response record with usage, view = prompt, click = injection,
-    error = tool result, signup = compaction.  Every 13th k is a side thread.
+    purchase = response record (with usage unless k is a multiple of 9), view =
+    prompt, click = injection, error = tool result, signup = compaction for
+    multiples of 8, else a notice.  Every 13th k is a side thread.
     """
     e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     numbered = dense_number(
@@ -134,7 +135,8 @@ def graph_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     assistant = F.col("event_type") == "purchase"
     kind = (
         F.when(assistant, "message")
-        .when(F.col("event_type") == "signup", "compacted")
+        .when((F.col("event_type") == "signup") & (k % 8 == 0), "compacted")
+        .when(F.col("event_type") == "signup", "session_event")
         .when(F.col("event_type") == "view", "message")
         .when(F.col("event_type") == "error", "tool_result")
         .otherwise("context_injection")
@@ -161,7 +163,7 @@ def graph_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("event_type") == "click", F.concat(F.lit("l"), (k % 3).cast("string"))).alias("label"),
             F.when(assistant, F.concat(F.lit("r"), F.floor(n / 3).cast("string"))).alias("request_id"),
             F.when(
-                assistant,
+                assistant & (k % 9 != 0),
                 usage_struct(
                     input=F.when(k % 17 != 0, k + 1),
                     cache_creation=F.when(k % 5 != 0, k * 30),

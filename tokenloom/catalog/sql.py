@@ -105,6 +105,47 @@ csnap AS (SELECT p.session_id, p.turn, p.prompt_tokens AS total, CAST(coalesce(s
 """
 )
 
+GV = """
+gv0 AS (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+gv AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, ts, k, n, n-1-k%3 AS parent_n, k%13=0 AS side,
+   CAST(round(value*10) AS BIGINT) AS size, event_type='purchase' AS asst, event_type='purchase' AND k%9<>0 AS has_usage,
+   CASE WHEN event_type='signup' THEN CASE WHEN k%8=0 THEN 'compacted' ELSE 'session_event' END
+        WHEN event_type='purchase' THEN 'message' WHEN event_type='view' THEN 'message' WHEN event_type='error' THEN 'tool_result' ELSE 'context_injection' END AS kind,
+   CASE WHEN event_type='purchase' THEN 'r'||CAST(n//3 AS VARCHAR) END AS request_id,
+   CASE WHEN k%6<>0 THEN 'model-a' END AS model,
+   nullif(CASE WHEN k%17<>0 THEN k+1 ELSE 0 END + CASE WHEN k%5<>0 THEN k*30 ELSE 0 END + CAST(round(value*1000) AS BIGINT),0) AS prompt_tokens
+  FROM gv0),
+gu AS (SELECT *, CASE WHEN request_id = lag(request_id) OVER (PARTITION BY session_id ORDER BY seq) THEN 0 ELSE 1 END AS opens FROM gv WHERE has_usage),
+gun AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS turn FROM gu),
+gt AS (SELECT g.*, u.turn, u.opens AS n_opens, u.request_id AS n_req, u.seq AS n_seq FROM gv g ASOF LEFT JOIN gun u
+        ON g.session_id=u.session_id AND g.seq<=u.seq),
+gturns AS (SELECT o.session_id, o.turn, o.ts, o.model, o.prompt_tokens, a.anchor_seq, r.response_start_seq FROM gun o
+   JOIN (SELECT session_id, turn, max(seq) AS anchor_seq FROM gun GROUP BY ALL) a ON a.session_id=o.session_id AND a.turn=o.turn
+   JOIN (SELECT session_id, turn, min(seq) AS response_start_seq FROM gt WHERE n_opens=1 AND asst AND (seq=n_seq OR request_id=n_req) GROUP BY ALL) r
+     ON r.session_id=o.session_id AND r.turn=o.turn
+   WHERE o.opens=1)
+"""
+
+#: The ancestor chain of every request, walked record by record.
+GWALK = (
+    GV
+    + """,
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT t.session_id, t.turn, g.seq, g.n, g.parent_n, g.kind, 0 AS dist FROM gturns t JOIN gv g ON g.session_id=t.session_id AND g.seq=t.anchor_seq
+    UNION ALL
+    SELECT w.session_id, w.turn, p.seq, p.n, p.parent_n, p.kind, w.dist+1 FROM w JOIN gv p ON p.session_id=w.session_id AND p.n=w.parent_n
+      WHERE w.kind<>'compacted')
+  SELECT * FROM w),
+chain AS (SELECT w.session_id, w.turn, w.seq, w.dist, g.size, g.kind, g.asst, g.turn AS own_turn, t.response_start_seq
+   FROM walk w JOIN gturns t ON t.session_id=w.session_id AND t.turn=w.turn JOIN gt g ON g.session_id=w.session_id AND g.seq=w.seq
+   JOIN gv a ON a.session_id=t.session_id AND a.seq=t.anchor_seq WHERE w.kind<>'compacted' AND g.side=a.side),
+tops AS (SELECT session_id, turn, max(dist) AS top FROM chain WHERE asst AND own_turn=turn AND seq>=response_start_seq GROUP BY ALL),
+members AS (SELECT c.session_id, c.turn, c.seq, c.dist, c.size, c.kind FROM chain c LEFT JOIN tops o ON o.session_id=c.session_id AND o.turn=c.turn
+   WHERE c.dist > coalesce(o.top,-1) AND c.kind IN ('message','tool_result','context_injection'))
+"""
+)
+
 
 def q(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body.strip()}"

@@ -22,7 +22,7 @@ def prompt_tokens(usage: Column | str = "usage") -> Column:
 
 def utilisation(prompt: Column, window: Column) -> Column:
     """Share of the context window in use; NULL without a positive window."""
-    return F.when(window > 0, prompt / window)
+    return F.when(window > 0, F.try_divide(prompt, window))
 
 
 def estimate_tokens(chars: Column, ratio: Column | float) -> Column:

@@ -72,10 +72,10 @@ def calibrate(items: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]
         F.when(F.col("observed_total").isNotNull(), "observed").otherwise("estimated").alias("total_confidence"),
         "item_count",
         F.coalesce("accounted", zero).alias("accounted"),
-        (F.when(F.col("cal_raw") > 0, F.col("cal_scaled") / F.col("cal_raw"))).alias("calibration_scale"),
+        F.try_divide("cal_scaled", "cal_raw").alias("calibration_scale"),
     )
     snapshots = snapshots.withColumn("residual", F.greatest(F.col("total") - F.col("accounted"), zero)).withColumn(
-        "residual_meaningful", (F.col("total") > 0) & (F.col("residual") / F.col("total") >= 0.005)
+        "residual_meaningful", F.coalesce(F.try_divide("residual", "total") >= 0.005, F.lit(False))
     )
     return balanced, snapshots
 

@@ -245,7 +245,7 @@ def duplicate_members(items: DataFrame, groups: DataFrame) -> DataFrame:
 
 def low_information(items: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Large items that compress well, scored by the tokens that carry nothing new."""
-    ratio = F.col("compressed_bytes") / F.col("original_bytes")
+    ratio = F.try_divide("compressed_bytes", "original_bytes")
     return (
         items.where(F.col("original_bytes") >= LOW_ENTROPY_BYTES)
         .withColumn("compression_ratio", ratio)
