@@ -218,3 +218,23 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("usage"),
     )
     return _complete(message).unionByName(_complete(report))
+
+
+def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory of the sessions in ``events``: one row per user."""
+    events = log_events(spark, sf_dir)
+    report = F.when(F.col("usage.context_window").isNotNull(), F.col("seq"))
+    started = F.when((F.col("kind") == "turn_started") & F.col("model").isNotNull(), F.col("seq"))
+    user = F.col("session_id").cast("bigint")
+    return (
+        events.groupBy("agent", "session_id")
+        .agg(
+            F.min_by("usage.context_window", report).alias("context_window"),
+            F.min_by("model", started).alias("model"),
+            F.min("ts").alias("started_at"),
+            F.max("ts").alias("last_activity"),
+            F.sum("byte_len").alias("size_bytes"),
+        )
+        .withColumn("project", F.when(user % 11 != 0, F.concat(F.lit("/work/p"), (user % 14).cast("string"))))
+        .withColumn("path", F.concat(F.lit("/logs/"), (user % 5).cast("string"), F.lit("/s"), F.col("session_id"), F.lit(".jsonl")))
+    )
