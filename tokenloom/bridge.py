@@ -238,3 +238,86 @@ def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("project", F.when(user % 11 != 0, F.concat(F.lit("/work/p"), (user % 14).cast("string"))))
         .withColumn("path", F.concat(F.lit("/logs/"), (user % 5).cast("string"), F.lit("/s"), F.col("session_id"), F.lit(".jsonl")))
     )
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests: the customer is the session, the priority the model."""
+    flag = F.col("l_returnflag")
+    lines = (
+        read(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(
+            F.sum(F.when(flag == "A", F.round("l_quantity").cast("bigint"))).alias("qa"),
+            F.sum(F.when(flag == "R", F.round("l_quantity").cast("bigint"))).alias("qr"),
+            F.sum(F.when(flag == "N", F.round("l_quantity").cast("bigint"))).alias("qn"),
+            F.count(F.lit(1)).alias("lines"),
+        )
+    )
+    o = F.col("o_orderkey")
+    zero = F.lit(0)
+    return (
+        read(spark, sf_dir, "orders")
+        .join(lines, "o_orderkey")
+        .select(
+            F.when(F.col("o_custkey") % 2 == 0, AGENT_GRAPH).otherwise(AGENT_LINEAR).alias("agent"),
+            F.col("o_custkey").cast("string").alias("session_id"),
+            o.alias("turn"),
+            F.when(o % 29 != 0, F.col("o_orderdate")).cast("timestamp").alias("ts"),
+            F.when(o % 37 != 0, F.col("o_orderpriority")).alias("model"),
+            usage_struct(
+                input=F.when(o % 31 != 0, F.coalesce("qa", zero) * 100),
+                cache_read=F.when(o % 23 != 0, F.coalesce("qr", zero) * 100),
+                cache_creation=F.when(o % 19 != 0, F.coalesce("qn", zero) * 10),
+                output=F.col("lines") * 50,
+                api_calls=F.when(o % 41 == 0, 2).otherwise(1),
+            ).alias("usage"),
+        )
+    )
+
+
+def price_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``nation`` as five catalog revisions of five models: (snapshots, revisions)."""
+    n = F.col("n_nationkey").cast("bigint")
+    revision = F.floor(n / 5).cast("bigint")
+    name = F.element_at(F.array(*map(F.lit, PRIORITIES)), (n % 5 + 1).cast("int"))
+    dollars = lambda rate: (rate / F.lit(1e12))
+    entry = F.to_json(
+        F.struct(
+            F.when(n % 12 == 11, "embedding").otherwise("chat").alias("mode"),
+            dollars(3000000 + n * 10000).alias("input_cost_per_token"),
+            dollars(15000000 + n * 50000).alias("output_cost_per_token"),
+            F.when(n % 7 != 0, dollars(300000 + n * 1000)).alias("cache_read_input_token_cost"),
+            dollars(3750000 + n * 12500).alias("cache_creation_input_token_cost"),
+            F.when(n % 2 == 0, dollars(6000000 + n * 10000)).alias("input_cost_per_token_above_2k_tokens"),
+            F.when(n % 4 == 0, dollars(9000000 + n * 10000)).alias("input_cost_per_token_above_6000_tokens"),
+        )
+    )
+    rows = read(spark, sf_dir, "nation").select(
+        F.sha1(F.concat(F.lit("rev"), revision.cast("string"))).alias("sha"),
+        revision.alias("rev"),
+        F.concat(F.lit('"'), F.lower(name), F.lit('":'), entry).alias("member"),
+    )
+    snapshots = rows.groupBy("sha").agg(
+        F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("member")), ","), F.lit("}")).alias("body")
+    )
+    revisions = rows.select(
+        "sha", F.timestamp_add("DAY", F.col("rev") * 700, F.lit("1994-03-01 06:00:00").cast("timestamp")).alias("recorded_at")
+    ).distinct()
+    return snapshots, revisions
+
+
+def contract_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``region`` as contract prefixes of growing length."""
+    r = F.col("r_regionkey").cast("bigint")
+    return read(spark, sf_dir, "region").select(
+        F.lit("v1").alias("version"),
+        F.lit("contract").alias("source"),
+        F.element_at(F.array(*map(F.lit, ["2", "2-h", "2-hi", "4-not", "9"])), (r + 1).cast("int")).alias("model_prefix"),
+        (1000000 + r * 1000).alias("input_rate"),
+        (5000000 + r * 1000).alias("output_rate"),
+        (100000 + r * 1000).alias("cache_read_rate"),
+        (1250000 + r * 1000).alias("cache_write_rate"),
+    )

@@ -149,3 +149,51 @@ members AS (SELECT c.session_id, c.turn, c.seq, c.dist, c.size, c.kind FROM chai
 
 def q(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body.strip()}"
+
+
+#: Requests from orders, prices from nation, contract prefixes from region.
+REQ = """
+ln AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag='A' THEN CAST(round(l_quantity) AS BIGINT) END) AS qa,
+   sum(CASE WHEN l_returnflag='R' THEN CAST(round(l_quantity) AS BIGINT) END) AS qr, sum(CASE WHEN l_returnflag='N' THEN CAST(round(l_quantity) AS BIGINT) END) AS qn,
+   count(*) AS lines FROM lineitem GROUP BY 1),
+req AS (SELECT CASE WHEN o_custkey%2=0 THEN 'claude-code' ELSE 'codex' END AS agent, CAST(o_custkey AS VARCHAR) AS session_id, o_orderkey AS turn,
+   CASE WHEN o_orderkey%29<>0 THEN o_orderdate END AS ts, CASE WHEN o_orderkey%37<>0 THEN o_orderpriority END AS model,
+   CAST(CASE WHEN o_orderkey%31<>0 THEN coalesce(qa,0)*100 END AS BIGINT) AS i, CAST(CASE WHEN o_orderkey%23<>0 THEN coalesce(qr,0)*100 END AS BIGINT) AS r,
+   CAST(CASE WHEN o_orderkey%19<>0 THEN coalesce(qn,0)*10 END AS BIGINT) AS w, lines*50 AS o, CASE WHEN o_orderkey%41=0 THEN 2 ELSE 1 END AS calls
+   FROM orders JOIN ln ON l_orderkey=o_orderkey),
+px AS (SELECT CAST(n_nationkey AS BIGINT) AS n, n_nationkey//5 AS rev, TIMESTAMP '1994-03-01 06:00:00' + INTERVAL (CAST(n_nationkey//5*700 AS INTEGER)) DAY AS recorded_at,
+   CASE n_nationkey%5 WHEN 0 THEN '1-urgent' WHEN 1 THEN '2-high' WHEN 2 THEN '3-medium' WHEN 3 THEN '4-not specified' ELSE '5-low' END AS model,
+   CASE WHEN n_nationkey%12=11 THEN 'embedding' ELSE 'chat' END AS mode,
+   3000000+CAST(n_nationkey AS BIGINT)*10000 AS pi, 15000000+CAST(n_nationkey AS BIGINT)*50000 AS po,
+   CASE WHEN n_nationkey%7<>0 THEN 300000+CAST(n_nationkey AS BIGINT)*1000 END AS pr, 3750000+CAST(n_nationkey AS BIGINT)*12500 AS pw,
+   CASE WHEN n_nationkey%2=0 THEN 6000000+CAST(n_nationkey AS BIGINT)*10000 END AS pi2, CASE WHEN n_nationkey%4=0 THEN 9000000+CAST(n_nationkey AS BIGINT)*10000 END AS pi6 FROM nation),
+cr AS (SELECT CAST(r_regionkey AS BIGINT) AS k, CASE r_regionkey WHEN 0 THEN '2' WHEN 1 THEN '2-h' WHEN 2 THEN '2-hi' WHEN 3 THEN '4-not' ELSE '9' END AS prefix FROM region)
+"""
+
+
+def priced_sql(name: str, source: str = "req", contract: bool = False, at: str = "q.ts", now: str = "1999-06-01") -> str:
+    """CTE ``name``: every request of ``source`` with its costs or its reason."""
+    own = "c.k IS NOT NULL" if contract else "FALSE"
+    k = "c.k" if contract else "NULL"
+    join = (
+        "LEFT JOIN (SELECT session_id, turn, k FROM (SELECT q.session_id, q.turn, cr.k, row_number() OVER (PARTITION BY q.session_id, q.turn "
+        f"ORDER BY length(cr.prefix) DESC) AS rn FROM {source} q JOIN cr ON starts_with(lower(q.model), cr.prefix)) WHERE rn=1) c "
+        "ON c.session_id=q.session_id AND c.turn=q.turn"
+        if contract
+        else ""
+    )
+    return f"""
+{name}_rev AS (SELECT q.session_id, q.turn, max(p.rev) AS rev FROM {source} q JOIN (SELECT DISTINCT rev, recorded_at FROM px) p
+   ON p.recorded_at <= coalesce({at}, TIMESTAMP '{now}') AND p.recorded_at <= TIMESTAMP '{now}' AND coalesce({at}, TIMESTAMP '{now}') <= TIMESTAMP '{now}' GROUP BY ALL),
+{name}_p AS (SELECT q.*, v.rev, p.mode, CASE WHEN p.pi6 IS NOT NULL AND coalesce(i,0)+coalesce(r,0)+coalesce(w,0)>6000 THEN p.pi6
+      WHEN p.pi2 IS NOT NULL AND coalesce(i,0)+coalesce(r,0)+coalesce(w,0)>2000 THEN p.pi2 ELSE p.pi END AS pi, p.po, p.pr, p.pw, {own} AS own, {k} AS ck, p.n AS pn
+   FROM {source} q LEFT JOIN {name}_rev v ON v.session_id=q.session_id AND v.turn=q.turn LEFT JOIN px p ON p.rev=v.rev AND p.model=lower(q.model) {join}),
+{name}_r AS (SELECT *, CASE WHEN model IS NULL THEN 'model' WHEN i IS NULL OR o IS NULL THEN 'usage'
+     WHEN r IS NULL OR (agent='claude-code' AND w IS NULL) THEN 'split' WHEN calls>1 THEN 'calls' WHEN own THEN NULL
+     WHEN {at.replace("q.", "")} > TIMESTAMP '{now}' THEN 'future' WHEN rev IS NULL THEN 'revision' WHEN pn IS NULL THEN 'match' WHEN mode NOT IN ('chat','completion') THEN 'mode'
+     WHEN pr IS NULL AND r>0 THEN 'rate' END AS reason FROM {name}_p),
+{name} AS (SELECT *, CASE WHEN reason IS NULL THEN i*CASE WHEN own THEN 1000000+ck*1000 ELSE pi END//1000000 END AS ci,
+     CASE WHEN reason IS NULL THEN coalesce(r,0)*CASE WHEN own THEN 100000+ck*1000 ELSE coalesce(pr,0) END//1000000 END AS cread,
+     CASE WHEN reason IS NULL THEN coalesce(w,0)*CASE WHEN own THEN 1250000+ck*1000 ELSE pw END//1000000 END AS cw,
+     CASE WHEN reason IS NULL THEN o*CASE WHEN own THEN 5000000+ck*1000 ELSE po END//1000000 END AS co FROM {name}_r)
+"""
