@@ -197,3 +197,19 @@ def priced_sql(name: str, source: str = "req", contract: bool = False, at: str =
      CASE WHEN reason IS NULL THEN coalesce(w,0)*CASE WHEN own THEN 1250000+ck*1000 ELSE pw END//1000000 END AS cw,
      CASE WHEN reason IS NULL THEN o*CASE WHEN own THEN 5000000+ck*1000 ELSE po END//1000000 END AS co FROM {name}_r)
 """
+
+
+def conv_items(name: str, choose: str, ratio: str = "3.8") -> str:
+    """CTEs ``name`` (calibrated items) and ``name_s`` (snapshots) of one chosen turn per conversation."""
+    return f"""
+{name}_t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {choose}) AS rn FROM cturn WHERE prompt_tokens IS NOT NULL) WHERE rn=1),
+{name}_r AS (SELECT m.*, p.turn, p.prompt_tokens AS total, CAST(ceil(m.char_len/CAST({ratio} AS DOUBLE)) AS BIGINT) AS raw_tokens,
+   CASE WHEN m.role='user' AND m.seq=max(CASE WHEN m.role='user' THEN m.seq END) OVER (PARTITION BY m.session_id) THEN 'current-prompt'
+        WHEN m.role='user' THEN 'user-messages' WHEN m.role='assistant' THEN 'assistant-messages' ELSE 'developer-instructions' END AS category
+   FROM {name}_t p JOIN cmsg m ON m.session_id=p.session_id AND m.seq<p.cutoff_seq),
+{name} AS (SELECT *, CAST(CASE WHEN est>total THEN raw_tokens*total//est ELSE raw_tokens END AS BIGINT) AS tokens FROM (SELECT *, sum(raw_tokens) OVER (PARTITION BY session_id) AS est FROM {name}_r)),
+{name}_s AS (SELECT p.session_id, p.turn, p.prompt_tokens AS total, CAST(coalesce(sum(i.tokens),0) AS BIGINT) AS accounted, CAST(p.prompt_tokens-coalesce(sum(i.tokens),0) AS BIGINT) AS residual
+   FROM {name}_t p LEFT JOIN {name} i ON i.session_id=p.session_id GROUP BY p.session_id, p.turn, p.prompt_tokens),
+{name}_c AS (SELECT session_id, category, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n FROM {name} GROUP BY 1,2
+   UNION ALL SELECT session_id, 'unattributed', residual, 1 FROM {name}_s WHERE residual>0)
+"""
