@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.usage import cached_split, usage_struct
 from tokenloom.plans.scan import dense_number
-from tokenloom.schema import AGENT_GRAPH, AGENT_LINEAR, COMPACTION, EVENTS, TOOL_OP
+from tokenloom.schema import AGENT_GRAPH, AGENT_LINEAR, COMPACTION, TOOL_OP
+from tokenloom.sources.events import conform
 
 TOOLS = ["shell", "read", "edit", "search"]
 MECHANISMS = ["base_instructions", "nested_memory", "skill", "context_compaction", "additional_tools"]
@@ -21,16 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _complete(df: DataFrame) -> DataFrame:
-    """Add the event columns a bridge does not set, in schema order."""
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in EVENTS.fields
-        ]
-    )
-
-
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as straight-log sessions, one per user.
 
@@ -116,7 +107,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array())
         .cast(f"array<{TOOL_OP.simpleString()}>"),
     )
-    return _complete(df)
+    return conform(df)
 
 
 def graph_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +133,7 @@ def graph_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("context_injection")
     )
     size = F.round(F.col("value") * 10).cast("bigint")
-    return _complete(
+    return conform(
         numbered.select(
             F.lit(AGENT_GRAPH).alias("agent"),
             F.col("user_id").cast("string").alias("session_id"),
@@ -217,7 +208,7 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             api_calls=F.lit(1),
         ).alias("usage"),
     )
-    return _complete(message).unionByName(_complete(report))
+    return conform(message).unionByName(conform(report))
 
 
 def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,3 +312,184 @@ def contract_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (100000 + r * 1000).alias("cache_read_rate"),
         (1250000 + r * 1000).alias("cache_write_rate"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Raw log lines: the same tables written in the agents' own JSON vocabulary
+# ---------------------------------------------------------------------------
+
+
+def _lines(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add the position columns of single-file sessions; offsets are not modelled."""
+    return df.withColumn("byte_len", F.octet_length(raw).cast("bigint")).withColumn(
+        "byte_offset", F.lit(None).cast("bigint")
+    )
+
+
+def graph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as graph-log JSON: prompts, results, responses and attachments.
+
+    Conversations 0 mod 10 lose the end of every third record, 5 mod 10 name an
+    unknown type there.
+    """
+    c = read(spark, sf_dir, "conversations")
+    conv, t = F.col("conv_id"), F.col("turn")
+    turn = t.cast("string")
+    block = lambda **f: F.struct(*[v.alias(k) for k, v in f.items()])
+    result = block(
+        type=F.lit("user"),
+        message=block(
+            role=F.lit("user"),
+            content=F.array(
+                block(
+                    type=F.lit("tool_result"),
+                    tool_use_id=F.concat(F.lit("t"), (t - 1).cast("string")),
+                    is_error=conv % 4 == 0,
+                    content=F.array(block(type=F.lit("text"), text=F.col("text"))),
+                )
+            ),
+        ),
+    )
+    links = dict(
+        uuid=F.concat(F.lit("u"), turn),
+        parentUuid=F.when(t > 0, F.concat(F.lit("u"), (t - 1).cast("string"))),
+        isSidechain=conv % 7 == 3,
+        timestamp=F.concat(F.lit("2026-01-0"), (t % 9 + 1).cast("string"), F.lit("T00:00:00.000Z")),
+        cwd=F.lit("/work/demo"),
+        gitBranch=F.lit("main"),
+        version=F.lit("2.1.0"),
+    )
+    prompt = block(type=F.lit("user"), message=block(role=F.lit("user"), content=F.col("text")))
+    usage = block(
+        input_tokens=conv % 50,
+        cache_creation_input_tokens=F.when(t % 3 != 0, conv * 3),
+        cache_read_input_tokens=t * 100,
+        output_tokens=t + 7,
+        iterations=F.when(
+            conv % 6 == 0,
+            F.array(
+                block(input_tokens=conv % 50, cache_creation_input_tokens=F.lit(1), cache_read_input_tokens=t * 50),
+                block(input_tokens=conv % 50 + 1, cache_creation_input_tokens=F.lit(0), cache_read_input_tokens=t * 50),
+            ),
+        ),
+    )
+    answer = block(
+        type=F.lit("assistant"),
+        requestId=F.concat(F.lit("req"), F.floor(t / 4).cast("string")),
+        message=block(
+            role=F.lit("assistant"),
+            model=F.when(conv % 9 == 0, "<synthetic>").otherwise("model-x"),
+            content=F.array(
+                block(
+                    type=F.when(conv % 5 == 1, "thinking").otherwise("text"),
+                    text=F.when(conv % 5 != 1, F.col("text")),
+                    thinking=F.when(conv % 5 == 1, ""),
+                    signature=F.when(conv % 5 == 1, F.repeat(F.lit("S"), (conv % 90 + 10).cast("int"))),
+                    id=F.lit(None).cast("string"),
+                    name=F.lit(None).cast("string"),
+                    input=F.lit(None).cast("struct<file_path:string,n:bigint>"),
+                ),
+                block(
+                    type=F.when(t % 4 == 1, "tool_use").otherwise("text"),
+                    text=F.when(t % 4 != 1, F.when(conv % 5 != 1, "tail")),
+                    thinking=F.lit(None).cast("string"),
+                    signature=F.lit(None).cast("string"),
+                    id=F.when(t % 4 == 1, F.concat(F.lit("t"), turn)),
+                    name=F.when(t % 4 == 1, F.lit("Read")),
+                    input=F.when(t % 4 == 1, F.struct(F.concat(F.lit("src/a"), turn, F.lit(".py")).alias("file_path"), conv.alias("n"))),
+                ),
+            ),
+            usage=usage,
+        ),
+    )
+    note = block(
+        type=F.lit("attachment"),
+        attachment=block(
+            type=F.when(conv % 2 == 0, "nested_memory").otherwise("skill_listing"),
+            displayPath=F.when(conv % 2 == 0, F.lit("docs/RULES.md")),
+            content=F.col("text"),
+        ),
+    )
+    tail = F.to_json(F.struct(*[v.alias(k) for k, v in links.items()]))
+    head = (
+        F.when(F.col("role") == "assistant", F.to_json(answer))
+        .when(F.col("role") == "system", F.to_json(note))
+        .when(t % 4 == 2, F.to_json(result))
+        .otherwise(F.to_json(prompt))
+    )
+    whole = F.concat(F.left(head, F.length(head) - 1), F.lit(","), F.substring(tail, 2, 1 << 20))
+    third = t % 3 == 2
+    raw = (
+        F.when((conv % 10 == 0) & third, F.left(whole, F.lit(40)))
+        .when((conv % 10 == 5) & third, F.concat(F.lit('{"type":"some-future-type","uuid":"x'), turn, F.lit('"}')))
+        .otherwise(whole)
+    )
+    return _lines(
+        c.select(conv.cast("string").alias("session_id"), (t + 1).alias("line_no"), raw.alias("raw"))
+    )
+
+
+def linear_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as straight-log JSON, one session per user."""
+    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    k = F.col("k")
+    ks = k.cast("string")
+    size = F.round(F.col("value") * 10).cast("bigint")
+    big = F.round(F.col("value") * 1000).cast("bigint")
+    fill = F.repeat(F.lit("x"), size.cast("int"))
+    num = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    usage = cat(
+        '{"type":"token_count","info":{"last_token_usage":{"input_tokens":', num(F.when(k % 17 != 0, big)),
+        ',"cached_input_tokens":', num(F.when(k % 7 != 0, k * 900)), ',"output_tokens":', num(k * 7 + 1),
+        ',"reasoning_output_tokens":', num(k % 5), '},"total_token_usage":{"input_tokens":999999999},"model_context_window":',
+        num(F.when(k % 3 != 0, F.lit(250000) + k * 1000)), "}}",
+    )
+    compacted = cat(
+        '{"message":"m"', F.when(k % 2 == 0, ',"replacement_history":[{"type":"message","role":"user"}]').otherwise(""), "}"
+    )
+    call = cat(
+        '{"type":"function_call","name":"shell","call_id":"c', (k % 20).cast("string"),
+        '","arguments":"{\\"command\\":[\\"run\\",\\"f', (k % 6).cast("string"), '.py\\"],\\"pad\\":\\"', fill, '\\"}"}',
+    )
+    shown = cat('[{"type":"input_image","image_url":"data:image/png;base64,', fill, '"},{"type":"input_text","text":"t', ks, '"}]')
+    result = cat(
+        '{"type":"function_call_output","call_id":"c', (k % 20).cast("string"), '","status":"',
+        F.when(k % 2 == 0, "failed").otherwise("completed"), '","output":',
+        F.when(k % 5 == 0, shown).otherwise(cat('"', fill, '"')), "}",
+    )
+    spoken = cat(
+        '{"type":"message","role":"', F.when(k % 5 == 1, "user").otherwise("assistant"),
+        '","content":[{"type":"input_text","text":"p', ks, '"},{"type":"output_text","text":"', fill, '"}]}',
+    )
+    thought = cat(
+        '{"type":"reasoning","summary":[{"type":"summary_text","text":"', fill, '"}]',
+        F.when(k % 2 == 0, ',"encrypted_content":"yyyyyyyyyy"').otherwise(""), "}",
+    )
+    tools = cat('{"type":"additional_tools","tools":[{"name":"', fill, '"}]}')
+    meta = cat('{"id":"i","cwd":"/work/p","cli_version":"1","base_instructions":{"text":"', fill, '"}}')
+    started = cat('{"cwd":"/work"', F.when(k % 4 != 0, cat(',"model":"model-', (k % 3).cast("string"), '"')).otherwise(""), "}")
+    notice = cat('{"type":"', F.when(k % 3 == 0, "task_started").otherwise("unheard_of"), '"}')
+    view = k % 7
+    kind = F.col("event_type")
+    outer, payload = F.lit("event_msg"), notice
+    for cond, o, body in [
+        (kind == "purchase", "event_msg", usage),
+        (kind == "signup", "compacted", compacted),
+        (kind == "click", "response_item", call),
+        ((kind == "error") & (k % 10 == 9), "event_msg", notice),
+        (kind == "error", "response_item", result),
+        (view == 0, "turn_context", started),
+        (view.isin(1, 2), "response_item", spoken),
+        (view == 3, "response_item", thought),
+        (view == 4, "response_item", tools),
+        (view == 5, "session_meta", meta),
+    ][::-1]:
+        outer, payload = F.when(cond, o).otherwise(outer), F.when(cond, body).otherwise(payload)
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    raw = cat('{"timestamp":"', stamp, '","type":"', outer, '","payload":', payload, "}")
+    return _lines(
+        e.select(
+            F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") + 1).alias("line_no"), raw.alias("raw")
+        )
+    )
