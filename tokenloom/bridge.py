@@ -493,3 +493,99 @@ def linear_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") + 1).alias("line_no"), raw.alias("raw")
         )
     )
+
+
+def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as the lines of many small log files: (file, n, line).
+
+    Every tenth k leaves a blank line, every seventh ends in CR LF.
+    """
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    n = F.col("event_id")
+    body = F.concat(F.lit('{"type":"x","n":'), n.cast("string"), F.lit(',"s":"é"}'))
+    return read(spark, sf_dir, "events").select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.floor(n / 4096).cast("string")).alias("file"),
+        n.alias("n"),
+        F.when(k % 10 == 0, "").when(k % 7 == 0, F.concat(body, F.lit("\r"))).otherwise(body).alias("line"),
+    )
+
+
+def linear_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` as the heads of straight logs, three lines each, in read order."""
+    c = read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("rollout-2026-01-01-"), F.lit("aaaaaaaa-bbbb-cccc-dddd-"), F.lpad(k.cast("string"), 12, "0"))
+    stem = F.when(k % 4 == 3, F.concat(F.lit("short"), k.cast("string"))).otherwise(name)
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    opt = lambda cond, key, c: F.when(cond, F.concat(F.lit(f',"{key}":'), q(c))).otherwise("")
+    meta = F.concat(
+        F.lit('{"timestamp":"2026-01-02T03:04:05Z","type":"session_meta","payload":{"cwd":"/work/n'),
+        F.col("c_nationkey").cast("string"), F.lit('"'),
+        opt(k % 4 == 0, "id", F.concat(F.lit("id"), k.cast("string"))),
+        opt(k % 4 == 1, "session_id", F.concat(F.lit("sid"), k.cast("string"))),
+        opt(k % 3 == 0, "thread_source", F.lit("subagent")),
+        opt(k % 6 == 0, "parent_thread_id", F.concat(F.lit("id"), F.floor(k / 8 * 1).cast("string"))),
+        F.lit(',"git":{"branch":"b'), (k % 5).cast("string"), F.lit('"}}}'),
+    )
+    said = lambda text: F.concat(
+        F.lit('{"type":"response_item","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"'), text, F.lit('"}]}}')
+    )
+    second = said(F.when(k % 3 == 0, "<environment_context> x of the work").when(k % 3 == 1, "too short").otherwise(F.concat(F.lit("First  real   prompt of "), F.col("c_name"))))
+    third = said(F.concat(F.lit("Then please "), F.repeat(F.lit("look again "), (k % 20).cast("int")), F.col("c_mktsegment")))
+    return c.select(
+        F.concat(F.lit("/sessions/"), stem, F.lit(".jsonl")).alias("path"),
+        F.lit(0).cast("bigint").alias("block"),
+        F.posexplode(F.array(meta, second, third)).alias("rid", "raw"),
+    ).select(
+        "path",
+        "block",
+        F.col("rid").cast("bigint").alias("rid"),
+        F.lit(5000).cast("bigint").alias("file_size"),
+        F.lit("2026-02-01").cast("timestamp").alias("modified"),
+        (F.octet_length("raw") + 1).cast("bigint").alias("framed_bytes"),
+        "raw",
+    )
+
+
+def graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph-log lines of ``conversations`` placed in files; every fourth is a subagent's."""
+    conv = F.col("session_id").cast("bigint")
+    name = F.concat(F.lit("c"), F.col("session_id"), F.lit(".jsonl"))
+    folder = F.when(conv % 4 == 3, F.concat(F.lit("/home/projects/-work-demo/c"), (conv - 1).cast("string"), F.lit("/subagents/"))).otherwise("/home/projects/-work-demo/")
+    return graph_lines(spark, sf_dir).select(
+        F.concat(folder, name).alias("path"),
+        F.lit(0).cast("bigint").alias("block"),
+        F.col("line_no").alias("rid"),
+        F.lit(9000).cast("bigint").alias("file_size"),
+        F.lit("2026-02-01").cast("timestamp").alias("modified"),
+        (F.col("byte_len") + 1).alias("framed_bytes"),
+        "raw",
+    )
+
+
+def customer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` as a session inventory; every fifth is a branch of another one."""
+    c = read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    ks = k.cast("string")
+    folder = (
+        F.when(k % 9 == 0, F.lit(None).cast("string"))
+        .when(k % 10 == 1, F.concat(F.lit("/tmp/run"), (k % 3).cast("string")))
+        .when(k % 10 == 2, F.concat(F.lit("C:\\Users\\Ann\\AppData\\Local\\Temp\\w"), (k % 3).cast("string")))
+        .when(k % 10 == 3, F.concat(F.lit("/home/x/../../var/tmp/z/./"), (k % 2).cast("string")))
+        .otherwise(F.concat(F.lit("/work/nation"), F.col("c_nationkey").cast("string"), F.lit("/")))
+    )
+    branch = (k % 5 == 0) & (k > 0)
+    return c.select(
+        F.when(k % 2 == 0, AGENT_GRAPH).otherwise(AGENT_LINEAR).alias("agent"),
+        F.concat(F.lit("S"), ks).alias("session_id"),
+        F.concat(F.lit("/logs/"), ks, F.lit(".jsonl")).alias("path"),
+        F.floor("c_acctbal").cast("bigint").alias("size_bytes"),
+        folder.alias("project"),
+        F.when(k % 7 != 0, F.concat(F.lit("About "), F.col("c_mktsegment"))).alias("title"),
+        F.concat(F.lit("b"), (k % 4).cast("string")).alias("git_branch"),
+        F.when(k % 6 != 0, F.timestamp_add("HOUR", k * 7, F.lit("2026-01-01").cast("timestamp"))).alias("started_at"),
+        F.when(k % 11 != 0, F.timestamp_add("HOUR", k * 13 % 2000, F.lit("2026-01-01").cast("timestamp"))).alias("last_activity"),
+        F.when(branch, "subagent").otherwise("root").alias("thread_role"),
+        F.when(branch, F.concat(F.lit("S"), F.when(k % 3 == 0, F.lit(99999999)).otherwise(F.floor(k / 20) * 2 + k % 2).cast("string"))).alias("parent_id"),
+    )

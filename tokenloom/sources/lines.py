@@ -9,8 +9,8 @@ from tokenloom.plans.scan import running, running_count, running_sum
 from tokenloom.schema import MAX_PARSE_BYTES, SNIFF_BYTES
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Every line of every ``*.jsonl`` below ``path``, as Spark splits the files.
+def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
+    """Every line of every log file below ``path``, as Spark splits the files.
 
     Columns: ``path``, ``block`` (start of the file split), ``rid`` (order inside
     the split), ``framed_bytes`` (with line end) and ``raw`` (without it).  Blank
@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     text = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.jsonl")
+        .option("pathGlobFilter", glob)
         .option("lineSep", "\n")
         .text(path)
     )
@@ -53,10 +53,10 @@ def with_positions(lines: DataFrame) -> DataFrame:
     ).drop("block", "rid")
 
 
-def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def raw_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """The raw-line table: ``path, line_no, byte_offset, byte_len, oversized, raw``."""
     return (
-        with_positions(read_lines(spark, path))
+        with_positions(read_lines(spark, path, glob))
         .where(F.octet_length("raw") > 0)
         .select(
             "path",
@@ -74,9 +74,15 @@ def is_oversized(raw: Column) -> Column:
 
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_FLAT = rf'(?:{_STRING}|[^"{{}}\[\]])*+'
-_NESTED = rf"(?:{_STRING}|[^\"{{}}\[\]]|[{{\[]{_FLAT}[}}\]])*+"
-_VALUE = rf"(?:{_STRING}|[^\",{{}}\[\]]++|[{{\[]{_NESTED}[}}\]])"
+
+
+def _nested(depth: int) -> str:
+    """The inside of an object or list, up to ``depth`` more levels of nesting."""
+    inner = "" if depth == 0 else rf"|[{{\[]{_nested(depth - 1)}[}}\]]"
+    return rf'(?:{_STRING}|[^"{{}}\[\]]{inner})*+'
+
+
+_VALUE = rf'(?:{_STRING}|[^",{{}}\[\]]++|[{{\[]{_nested(5)}[}}\]])'
 _TOP_TYPE = rf'^\s*\{{\s*(?:(?!"type"){_STRING}\s*:\s*{_VALUE}\s*,\s*)*+"type"\s*:\s*"([^"\\]*)"'
 
 
