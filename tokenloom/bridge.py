@@ -589,3 +589,58 @@ def customer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(branch, "subagent").otherwise("root").alias("thread_role"),
         F.when(branch, F.concat(F.lit("S"), F.when(k % 3 == 0, F.lit(99999999)).otherwise(F.floor(k / 20) * 2 + k % 2).cast("string"))).alias("parent_id"),
     )
+
+
+def stream_lines(spark: SparkSession, sf_dir: str, surface: str) -> DataFrame:
+    """``events`` as captured presentation streams, one file per user.
+
+    Users 0 mod 17 mix two sessions; user 5 mod 17 names none.  Item ids repeat
+    every 30 values of k.
+    """
+    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    k, u = F.col("k"), F.col("user_id")
+    ks = k.cast("string")
+    sid = F.concat(F.lit("s"), F.when((u % 17 == 0) & (k % 50 == 1), u + 1).otherwise(u).cast("string"))
+    fill = F.repeat(F.lit("y"), (k + 1).cast("int"))
+    cat = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    kind = F.col("event_type")
+    if surface == "codex-exec":
+        thread = F.when(u % 17 == 5, "").otherwise(cat(',"thread_id":"', sid, '"'))
+        item = F.when(
+            k % 3 == 0, cat('{"id":"i', (k % 30).cast("string"), '","type":"agent_message","text":"', fill, '"}')
+        ).when(
+            k % 3 == 1, cat('{"id":"i', (k % 30).cast("string"), '","type":"command_execution","aggregated_output":"', fill, '","exit_code":', (k % 2).cast("string"), "}")
+        ).otherwise(cat('{"id":"i', (k % 30).cast("string"), '","type":"strange"}'))
+        raw = (
+            F.when(kind == "signup", cat('{"type":"turn.completed","usage":{"input_tokens":', ks, '}', thread, "}"))
+            .when(kind == "view", cat('{"type":"item.updated"', thread, "}"))
+            .when(kind == "error", cat('{"type":"novel"', thread, "}"))
+            .otherwise(cat('{"type":"item.completed","item":', item, thread, "}"))
+        )
+    elif surface == "codex-app-server":
+        thread = F.when(u % 17 == 5, '"x":1').otherwise(cat('"threadId":"', sid, '"'))
+        item = F.when(
+            k % 2 == 0, cat('{"id":"i', (k % 30).cast("string"), '","type":"reasoning","summary":["', fill, '","zz"]}')
+        ).otherwise(cat('{"id":"i', (k % 30).cast("string"), '","type":"userMessage","content":[{"type":"text","text":"', fill, '"},{"type":"text","text":"q"}]}'))
+        raw = (
+            F.when(kind == "signup", cat('{"method":"thread/tokenUsage/updated","params":{', thread, ',"tokenUsage":{"last":{"inputTokens":', ks, '},"total":{"inputTokens":9}}}}'))
+            .when(kind == "view", cat('{"method":"item/started","params":{', thread, "}}"))
+            .when(kind == "error", cat('{"id":', ks, ',"result":{}}'))
+            .otherwise(cat('{"method":"item/completed","params":{', thread, ',"item":', item, "}}"))
+        )
+    else:
+        ident = F.when(u % 17 == 5, "").otherwise(cat(',"session_id":"', sid, '"'))
+        parent = F.when(k % 11 == 0, ',"parent_tool_use_id":"t9"').otherwise(',"parent_tool_use_id":null')
+        raw = (
+            F.when(kind == "signup", cat('{"type":"result","usage":{"input_tokens":', ks, "}", ident, "}"))
+            .when(kind == "view", cat('{"type":"stream_event","event":{"type":"', F.when(k % 2 == 0, "ping").otherwise("odd"), '"}', ident, "}"))
+            .when(kind == "error", cat('{"type":"system","subtype":"init","claude_code_version":"', F.when(u % 17 == 9, "1.0").otherwise("2.0"), '"', ident, "}"))
+            .otherwise(
+                cat(
+                    '{"type":"assistant","request_id":"r', (k % 10).cast("string"), '"', parent, ident,
+                    ',"message":{"role":"assistant","usage":{"input_tokens":', ks,
+                    '},"content":[{"type":"text","text":"', fill, '"},{"type":"tool_use","id":"t', ks, '","name":"Read","input":{"file_path":"a.py"}}]}}',
+                )
+            )
+        )
+    return e.select(F.concat(F.lit("u"), u.cast("string")).alias("file"), (F.col("event_id") + 1).alias("line_no"), raw.alias("raw"))
