@@ -104,7 +104,7 @@ def graph_text(raw: Column) -> Column:
     kind = j.text(v, "$.type")
     spoken = F.coalesce(
         j.plain_text(v, "$.message.content"),
-        F.array_join(F.array_compact(F.transform(j.items(v, "$.message.content"), _graph_block)), "\n"),
+        F.array_join(F.array_compact(F.transform(j.items(v, "$.message.content"), lambda b: _graph_block(b))), "\n"),
     )
     parts = F.concat_ws(
         "\n",
