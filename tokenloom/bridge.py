@@ -22,6 +22,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table for heavy per-row work: a file of few splits is dealt out to all cores.
+
+    A lake has far more splits than cores and is left as it is.
+    """
+    df = read(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as straight-log sessions, one per user.
 
@@ -332,7 +342,7 @@ def graph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Conversations 0 mod 10 lose the end of every third record, 5 mod 10 name an
     unknown type there.
     """
-    c = read(spark, sf_dir, "conversations")
+    c = read_spread(spark, sf_dir, "conversations")
     conv, t = F.col("conv_id"), F.col("turn")
     turn = t.cast("string")
     block = lambda **f: F.struct(*[v.alias(k) for k, v in f.items()])
@@ -431,7 +441,7 @@ def graph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linear_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as straight-log JSON, one session per user."""
-    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    e = read_spread(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     k = F.col("k")
     ks = k.cast("string")
     size = F.round(F.col("value") * 10).cast("bigint")
@@ -496,7 +506,7 @@ def linear_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as the lines of many small log files: (file, n, line).
+    """``events`` as the lines of log files of bounded length: (file, n, line).
 
     Every tenth k leaves a blank line, every seventh ends in CR LF.
     """
@@ -504,7 +514,7 @@ def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     body = F.concat(F.lit('{"type":"x","n":'), n.cast("string"), F.lit(',"s":"é"}'))
     return read(spark, sf_dir, "events").select(
-        F.concat_ws("-", F.col("user_id").cast("string"), F.floor(n / 4096).cast("string")).alias("file"),
+        F.concat_ws("-", (F.col("user_id") % 40).cast("string"), F.floor(n / 65536).cast("string")).alias("file"),
         n.alias("n"),
         F.when(k % 10 == 0, "").when(k % 7 == 0, F.concat(body, F.lit("\r"))).otherwise(body).alias("line"),
     )
@@ -597,7 +607,7 @@ def stream_lines(spark: SparkSession, sf_dir: str, surface: str) -> DataFrame:
     Users 0 mod 17 mix two sessions; user 5 mod 17 names none.  Item ids repeat
     every 30 values of k.
     """
-    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    e = read_spread(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     k, u = F.col("k"), F.col("user_id")
     ks = k.cast("string")
     sid = F.concat(F.lit("s"), F.when((u % 17 == 0) & (k % 50 == 1), u + 1).otherwise(u).cast("string"))

@@ -32,7 +32,7 @@ dg AS (SELECT d.session_id, d.turn, d.fp, count(*) AS copies, CAST(sum(tokens) A
 
 @lake.table
 def document_measures(spark, sf_dir):
-    return content.measure(bridge.read(spark, sf_dir, "documents"), "text")
+    return content.measure(bridge.read_spread(spark, sf_dir, "documents"), "text")
 
 
 @lake.table

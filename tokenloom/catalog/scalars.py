@@ -172,7 +172,7 @@ def contract_overrides_load(spark, sf_dir):
 @query(
     "tail_new_lines",
     """
-WITH f0 AS (SELECT CAST(user_id AS VARCHAR)||'-'||CAST(event_id//4096 AS VARCHAR) AS file, event_id AS n, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
+WITH f0 AS (SELECT CAST(user_id%40 AS VARCHAR)||'-'||CAST(event_id//65536 AS VARCHAR) AS file, event_id AS n, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
 f1 AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n) AS line_no FROM f0)
 SELECT file, n FROM f1 WHERE k%10<>0 AND line_no>10
 """,

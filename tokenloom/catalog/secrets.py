@@ -23,7 +23,7 @@ def planted(spark, sf_dir):
     d = F.col("doc_id")
     ds = d.cast("string")
     extra = lambda n, *parts: F.when(d % n == 0, F.concat(*parts)).otherwise("")
-    return bridge.read(spark, sf_dir, "documents").select(
+    return bridge.read_spread(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(
             "text",

@@ -18,7 +18,7 @@ from tokenloom.session import ensure_checkpoint_dir
 from tokenloom.sources import inventory, lines
 
 FILES = """
-f0 AS (SELECT CAST(user_id AS VARCHAR)||'-'||CAST(event_id//4096 AS VARCHAR) AS file, event_id AS n, CAST(props->>'$.k' AS BIGINT) AS k,
+f0 AS (SELECT CAST(user_id%40 AS VARCHAR)||'-'||CAST(event_id//65536 AS VARCHAR) AS file, event_id AS n, CAST(props->>'$.k' AS BIGINT) AS k,
    strlen('{"type":"x","n":'||CAST(event_id AS VARCHAR)||',"s":"é"}') AS len FROM events),
 f1 AS (SELECT *, CASE WHEN k%10=0 THEN 0 ELSE len END AS byte_len, CASE WHEN k%10=0 THEN 1 WHEN k%7=0 THEN len+2 ELSE len+1 END AS framed FROM f0),
 f2 AS (SELECT file, n, row_number() OVER w AS line_no, CAST(sum(framed) OVER w AS BIGINT)-framed AS byte_offset, byte_len FROM f1 WINDOW w AS (PARTITION BY file ORDER BY n))
@@ -77,7 +77,7 @@ def oversized_and_malformed(spark, sf_dir):
         .otherwise(F.concat(F.lit('{"q":{"type":"inner"},"p":'), body, F.lit("}")))
     )
     raw = F.when(d % 5 == 0, F.left(raw, F.length(raw) - 1)).otherwise(raw)
-    return bridge.read(spark, sf_dir, "documents").select(
+    return bridge.read_spread(spark, sf_dir, "documents").select(
         "doc_id", lines.sniffed_type(raw).alias("sniffed"), lines.parsed(raw).isNotNull().alias("parsed")
     )
 

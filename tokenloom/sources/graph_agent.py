@@ -172,7 +172,9 @@ def normalise(lines: DataFrame, with_content: bool = False) -> DataFrame:
     has = lambda kind: F.coalesce(F.exists("blocks", lambda b: b["type"] == kind), F.lit(False))
     kind_of = F.col("type")
     assistant, user = kind_of == "assistant", kind_of == "user"
-    call, result = first("tool_use"), first("tool_result")
+    # Results that several columns read are columns of their own, so each is computed once.
+    opened = opened.withColumn("call", first("tool_use")).withColumn("result", first("tool_result"))
+    call, result = F.col("call"), F.col("result")
     is_call = assistant & call.isNotNull()
     is_result = user & result.isNotNull()
     thinks = assistant & has("thinking") & ~has("text")
@@ -190,6 +192,12 @@ def normalise(lines: DataFrame, with_content: bool = False) -> DataFrame:
         .when(notice | kind_of.isin(*SIDECAR_TYPES), "session_event")
         .otherwise("unrecognised")
     )
+    opened = (
+        opened.withColumn("record_kind", kind)
+        .withColumn("call_target", target_label(call["input"]))
+        .withColumn("call_file", file_target(call["input"]))
+    )
+    kind = F.col("record_kind")
     mechanism = F.coalesce(j.text(att, "$.type"), F.lit("attachment"))
     named = F.create_map(*[F.lit(x) for pair in MECHANISM_LABELS.items() for x in pair])
     label = F.coalesce(
@@ -238,9 +246,9 @@ def normalise(lines: DataFrame, with_content: bool = False) -> DataFrame:
         F.when(kind == "reasoning", F.exists("blocks", lambda b: b["redacted"])).alias("redacted"),
         F.when(is_call, F.coalesce(call["name"], F.lit("unknown"))).alias("tool"),
         F.when(is_call, call["id"]).when(is_result, result["tool_use_id"]).alias("call_id"),
-        F.when(is_call, target_label(call["input"])).alias("target"),
-        F.when(is_call, file_target(call["input"])).alias("file_path"),
-        F.when(is_call & file_target(call["input"]).isNotNull(), file_target_dir(call["input"], cwd)).alias("file_dir"),
+        F.when(is_call, F.col("call_target")).alias("target"),
+        F.when(is_call, F.col("call_file")).alias("file_path"),
+        F.when(is_call & F.col("call_file").isNotNull(), file_target_dir(call["input"], cwd)).alias("file_dir"),
         F.when(is_result, result["is_error"]).alias("is_error"),
         F.when(is_att, mechanism).alias("mechanism"),
         F.when(is_att, label).alias("label"),

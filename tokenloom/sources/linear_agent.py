@@ -160,7 +160,22 @@ def normalise(lines: DataFrame, with_content: bool = False) -> DataFrame:
         .when(outer.isin(*PLAIN_RECORDS), "session_event")
         .otherwise("unrecognised")
     )
-    kind = F.coalesce(kind, F.lit("unrecognised"))
+    # Results that several columns read are columns of their own, so each is computed once.
+    arguments = F.coalesce(
+        j.plain_text(p, "$.arguments"), j.plain_text(p, "$.input"), j.json_of(p, "$.arguments"), j.json_of(p, "$.input")
+    )
+    is_call = item & inner.isin(*CALLS)
+    opened = (
+        opened.withColumn("record_kind", F.coalesce(kind, F.lit("unrecognised")))
+        .withColumn("args", F.when(is_call, arguments))
+        .withColumn("urls", urls)
+        .withColumn("images", images)
+        .withColumn("payload_chars", payload_chars)
+    )
+    kind, arguments = F.col("record_kind"), F.col("args")
+    images, payload_chars = F.col("images"), F.col("payload_chars")
+    rest_chars = F.when(out_text.isNotNull(), 0).otherwise(F.length(out_json) - payload_chars - 2 * images)
+    opened = opened.withColumn("file_arg", file_target(arguments)).withColumn("args_target", target_label(arguments))
     first_text = F.get(
         F.filter(
             F.transform(
@@ -170,10 +185,6 @@ def normalise(lines: DataFrame, with_content: bool = False) -> DataFrame:
         ),
         0,
     )
-    is_call = item & inner.isin(*CALLS)
-    arguments = F.coalesce(
-        j.plain_text(p, "$.arguments"), j.plain_text(p, "$.input"), j.json_of(p, "$.arguments"), j.json_of(p, "$.input")
-    )
     literal = F.when(F.try_parse_json(arguments).isNull(), truncate(collapse_whitespace(arguments), TARGET_CHARS))
     shell = F.array_join(F.try_variant_get(p, "$.action.command", "array<string>"), " ")
     role = (
@@ -196,7 +207,7 @@ def normalise(lines: DataFrame, with_content: bool = False) -> DataFrame:
         .otherwise(j.text(p, "$.call_id"))
     )
     target = (
-        F.when(is_call, F.coalesce(target_label(arguments), literal))
+        F.when(is_call, F.coalesce("args_target", literal))
         .when(inner == "local_shell_call", shell)
         .when(inner == "web_search_call", target_label(j.json_of(p, "$.action")))
     )
@@ -230,8 +241,8 @@ def normalise(lines: DataFrame, with_content: bool = False) -> DataFrame:
         F.when(tool_record, tool).alias("tool"),
         F.when(tool_record, call_id).alias("call_id"),
         F.when(kind == "tool_call", target).alias("target"),
-        F.when(is_call, file_target(arguments)).alias("file_path"),
-        F.when(is_call & file_target(arguments).isNotNull(), file_target_dir(arguments, F.lit(None).cast("string"))).alias("file_dir"),
+        F.col("file_arg").alias("file_path"),
+        F.when(F.col("file_arg").isNotNull(), file_target_dir(arguments, F.lit(None).cast("string"))).alias("file_dir"),
         F.when(kind == "tool_result", failed).alias("is_error"),
         F.when(kind == "oversized_tool_result", images).alias("image_count"),
         F.when(kind == "oversized_tool_result", payload_chars).alias("image_payload_chars"),
