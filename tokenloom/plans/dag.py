@@ -17,6 +17,15 @@ from pyspark.sql import functions as F
 from tokenloom.session import cut
 
 
+def _rounds(nodes: DataFrame, keys: Sequence[str], max_chain: int) -> int:
+    """Doublings after which only circles and over-long chains are unresolved.
+
+    No chain is longer than the nodes of its group, so small groups need few.
+    """
+    largest = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    return max(1, math.ceil(math.log2(max(2, min(max_chain, largest)))))
+
+
 def ancestor_totals(
     nodes: DataFrame,
     keys: Sequence[str],
@@ -43,8 +52,7 @@ def ancestor_totals(
         *[F.when(open_node, c).alias(n) for n, c in farthest.items()],
     )
     state = cut(state)
-    rounds = math.ceil(math.log2(max_chain)) if max_chain > 1 else 1
-    for _ in range(rounds):
+    for _ in range(_rounds(nodes, keys, max_chain)):
         active = state.where(F.col("jump").isNotNull())
         if active.isEmpty():
             break
@@ -79,7 +87,7 @@ def jump_tables(nodes: DataFrame, keys: Sequence[str], max_chain: int = 100_000)
         )
     )
     tables = []
-    for _ in range(math.ceil(math.log2(max_chain)) + 1 if max_chain > 1 else 1):
+    for _ in range(_rounds(nodes, keys, max_chain) + 1):
         if level.isEmpty():
             break
         tables.append(level)
