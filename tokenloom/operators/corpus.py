@@ -107,10 +107,9 @@ def corpus_totals(facts: DataFrame, tools: DataFrame) -> DataFrame:
         F.coalesce(F.sum("calls"), F.lit(0)).alias("tool_calls"),
         F.coalesce(F.sum("errors"), F.lit(0)).alias("tool_errors"),
     )
-    # Two one-row results side by side, joined on a constant key.
-    return (
-        totals.withColumn("__k", F.lit(1)).join(used.withColumn("__k", F.lit(1)), "__k").drop("__k")
-    )
+    # Two one-row results become one row.
+    both = totals.unionByName(used, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def totals_by(facts: DataFrame, key: Column, name: str) -> DataFrame:

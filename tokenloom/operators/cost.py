@@ -34,20 +34,25 @@ class Scenario:
     forecast_turns: int | None = None
 
 
-# Why a turn has no price, in the order they are checked.
+#: Why a turn has no price, in the order the causes are checked.
 REASONS = {
-    "model": "the log did not record a model",
-    "usage": "the log did not record complete input and output token usage",
-    "split": "the log did not record a complete cache split; uncached pricing would be misleading",
-    "calls": "multiple API calls were logged together; retained input is the largest request, not billable input across all calls",
-    "future": "the recorded request timestamp is in the future",
-    "revision": "no upstream pricing revision was recorded before this request",
-    "match": "the upstream catalog has no exact match for this model",
-    "mode": "this model does not use supported text-token pricing",
-    "rate": "upstream catalog is missing a rate for recorded usage",
+    "model": "no model was logged",
+    "usage": "input or output tokens are missing",
+    "split": "the cached part of the input is unknown, so any price would mislead",
+    "calls": "several calls were logged as one; only the largest prompt is known",
+    "future": "the request lies in the future",
+    "revision": "no price revision is that old",
+    "match": "the price catalog does not list this model",
+    "mode": "the model is not priced by text tokens",
+    "rate": "the catalog lacks a rate for tokens that were used",
 }
 
 
+def reason_text(reason: Column) -> Column:
+    """The cause in words."""
+    return F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])[reason]
+
+
 def revision_days(revisions: DataFrame, now: dt.datetime) -> DataFrame:
     """Each revision on every day it was in force, with its exact interval.
 

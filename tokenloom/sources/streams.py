@@ -257,8 +257,8 @@ def import_stream(lines: DataFrame, surface: str, version: str) -> StreamImport:
     )
     bad = checks.withColumn(
         "reason",
-        F.when((F.col("first_id") != F.col("last_id")) | F.col("other_version"), "capture mixes sessions or disagrees with the declared producer version").when(
-            F.col("first_id").isNull(), "no matching stream session identity; check --surface"
+        F.when((F.col("first_id") != F.col("last_id")) | F.col("other_version"), "more than one session, or another producer version than declared").when(
+            F.col("first_id").isNull(), "no session identity for this kind of stream"
         ),
     ).where(F.col("reason").isNotNull())
     good = rows.join(bad.select("file"), "file", "left_anti")
