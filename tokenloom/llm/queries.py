@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tokenloom.llm import decontaminate, embedding_dedup, license_scan, mixing, quality, simhash
-from tokenloom.llm import substring_dedup, suffix_dedup, toxicity
+from tokenloom.llm import pii, substring_dedup, suffix_dedup, toxicity
 from tokenloom.llm.common import table
 from tokenloom.llm.registry import query
 
@@ -46,7 +46,9 @@ def op1(spark, sf_dir):
         SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
         FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM w)
     ), again AS (
-        SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM win) WHERE m < doc_id
+        SELECT doc_id, i
+        FROM win JOIN (SELECT s, min(doc_id) AS m FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)) USING (s)
+        WHERE m < doc_id
     ), gone AS (
         SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM again
     ), spans AS (
@@ -101,3 +103,8 @@ def op3(spark, sf_dir):
 @query("op4_quality")
 def op4(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_pii")
+def op7(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))

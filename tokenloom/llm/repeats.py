@@ -47,7 +47,7 @@ HOT = 4096
 
 @dataclass(frozen=True)
 class Rule:
-    """``order``: bits of a record's place: documents only, or documents and positions."""
+    """Window and anchor length, their unit, and whether an earlier place in one document counts."""
 
     size: int
     gram: int

@@ -56,7 +56,7 @@ def vote(hashes: np.ndarray, lanes: int) -> np.ndarray:
     """``lanes`` 64-bit words; a bit is set when more than half of the hashes set it."""
     out = np.zeros(lanes, np.uint64)
     for lane in range(lanes if len(hashes) else 0):
-        h = hashes if lane == 0 else mix(hashes + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15))
+        h = hashes if lane == 0 else mix(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
         votes = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint32)
         out[lane] = np.packbits(votes * 2 > len(h), bitorder="little").view(np.uint64)[0]
     return out

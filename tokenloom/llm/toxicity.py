@@ -81,12 +81,12 @@ def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.
             miss = np.zeros_like(miss)
         slope_p, slope_u = miss + wrong, clean
         return [
-            p.T @ slope_p + u.T @ slope_u + 3e-5 * np.sign(weights) + 1e-5 * weights,
+            p.T @ slope_p + u.T @ slope_u + 1e-5 * np.sign(weights) + 1e-5 * weights,
             np.array(slope_p.sum() + slope_u.sum()),
         ]
 
     start = [np.zeros(len(chosen)), np.array(np.log(prior / (1 - prior)))]
-    weights, bias = adam(start, gradient, 400, 0.05)
+    weights, bias = adam(start, gradient, 600, 0.05)
     return chosen, weights, float(bias)
 
 
