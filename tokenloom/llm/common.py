@@ -37,3 +37,23 @@ def encode(texts) -> list[bytes]:
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts: one scan and one number, used to size groups."""
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+
+
+def gram_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
+    """Mixed hash of the run of ``size`` 64-bit symbols that starts at each place where one fits.
+
+    Spans are doubled and joined, so the work grows with the logarithm of the size.
+    """
+    n = len(symbols) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    power, span, part, out, done = 0x9E3779B97F4A7C15, 1, symbols, None, 0
+    while True:
+        if size & span:
+            piece = part[done : done + n]
+            out = piece if out is None else out * np.uint64(power) + piece
+            done += span
+        if span * 2 > size:
+            return mix(out)
+        part = part[: len(part) - span] * np.uint64(power) + part[span:]
+        power, span = power * power % (1 << 64), span * 2

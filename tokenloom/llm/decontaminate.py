@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import mix
+from tokenloom.llm.common import gram_hashes
 from tokenloom.session import stage
 
 #: Bytes of benchmark text that go to the tasks at once.
@@ -33,7 +33,6 @@ BLOCK = 8 << 20
 #: Length of a gram in bytes and edits allowed for each byte of an item.
 GRAM, RATE = 12, 0.06
 
-_BASE = 0x9E3779B97F4A7C15
 _SLOTS = 22
 
 
@@ -42,21 +41,7 @@ def normal(text: str | None) -> bytes:
 
 
 def grams(data: np.ndarray, q: int) -> np.ndarray:
-    """Hash of the ``q`` bytes that start at each place; spans are doubled, then joined."""
-    n = len(data) - q + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    power, size, part = _BASE, 1, data.astype(np.uint64) + np.uint64(1)
-    out, done = None, 0
-    while True:
-        if q & size:
-            piece = part[done : done + n]
-            out = piece if out is None else out * np.uint64(power) + piece
-            done += size
-        if size * 2 > q:
-            return mix(out)
-        part = part[: len(part) - size] * np.uint64(power) + part[size:]
-        power, size = power * power % (1 << 64), size * 2
+    return gram_hashes(data.astype(np.uint64) + np.uint64(1), q)
 
 
 @dataclass

@@ -33,14 +33,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import encode, mix, text_bytes
+from tokenloom.llm.common import encode, gram_hashes, mix, text_bytes
 
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 #: Text of a chunk and of a block that is worked on at a time, in bytes.
-CHUNK, BLOCK = 4 << 20, 1 << 20
+CHUNK, BLOCK, SLICE = 4 << 20, 1 << 20, 1 << 18
+#: Text whose anchors make one group: bounds what steps 2 and 4 hold.
+GROUP = 2 << 20
 #: Chunks and copies an anchor may be seen in before its windows go by their own key.
 HOT = 4096
 
@@ -74,24 +76,19 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans from two running sums with random byte values."""
-    if not len(starts):
-        return np.empty(0, U64)
-    place = mix(np.arange(1, int((ends - starts).max()) + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
-    lengths = ends - starts
-    offset = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    flat = np.repeat(starts, lengths) + offset
-    terms = mix(_TABLE[data[flat]] + place[offset])
-    return mix(np.add.reduceat(terms, np.cumsum(lengths) - lengths) + lengths.astype(U64) * _STEP)
-
-
-def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
-    """Mixed hash of the run that starts at each symbol; the last ``gram - 1`` are left out."""
-    n = max(0, len(symbols) - gram + 1)
-    out = np.zeros(n, U64)
-    for i in range(gram):
-        out = out * _STEP + symbols[i : i + n]
-    return mix(out)
+    """64-bit hashes of byte spans, from sums over their bytes; spans are taken a slice at a time."""
+    out = np.empty(len(starts), U64)
+    at, cuts = 0, np.cumsum(ends - starts)
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + SLICE, "right")))
+        begin, size = starts[at:stop], ends[at:stop] - starts[at:stop]
+        heads = np.cumsum(size) - size
+        offset = np.arange(int(size.sum())) - np.repeat(heads, size)
+        place = mix(np.arange(1, int(size.max()) + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
+        terms = mix(_TABLE[data[np.repeat(begin, size) + offset]] + place[offset])
+        out[at:stop] = mix(np.add.reduceat(terms, heads) + size.astype(U64) * _STEP)
+        at = stop
+    return out
 
 
 def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -197,10 +194,10 @@ def _split(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return order, names, np.append(begins, len(keys))
 
 
-def anchor_census(texts: list[bytes], ids: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+def anchor_census(parts: list[Block], ids: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a chunk and in how many documents (or places) each is, at most 255."""
     found = []
-    for b in blocks(texts, rule):
+    for b in parts:
         if rule.by_position:
             found.append(np.stack((b.hashes, b.anchors.astype(U64) + (U64(b.first) << U64(40))), 1))
         else:
@@ -295,17 +292,28 @@ def surroundings(parts: list[Block], ids: np.ndarray, flags: list[np.ndarray], r
     owner = np.concatenate(docs) if docs else np.empty(0, np.int64)
     place = np.concatenate(places) if places else np.empty(0, np.int64)
 
+    whole: list = []
+
+    def around() -> tuple:
+        if not whole:
+            whole.extend(
+                _words_around(parts, block, pick, first) if rule.words else _bytes_around(parts, block, pick, first, rule)
+            )
+        return tuple(whole)
+
     def body(rows: np.ndarray) -> tuple[np.ndarray, ...]:
         if rule.words:
-            return _words_around(parts, block, pick, first[rows])
-        l, r, left, right = _bytes_around(parts, block, pick, first[rows], rule)
-        return l, r, left.ravel(), *front_code(right)
+            l, texts = around()
+            texts = [texts[i] for i in rows.tolist()]
+            sizes = np.array([len(t) + 1 for t in texts], np.int32)
+            return l[rows], sizes, np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        l, r, left, right = around()
+        return l[rows], r[rows], left[rows].ravel(), *front_code(right[rows])
 
     uses = [(b.anchors[k], n, o) for b, k, n, o in zip(parts, picks, number, own)]
     order = np.arange(len(first))
     if not rule.words and len(first):
-        right = _bytes_around(parts, block, pick, first, rule)[3]
-        order = np.argsort(right.view(f"S{rule.size}").ravel(), kind="stable")
+        order = np.argsort(around()[3].view(f"S{rule.size}").ravel(), kind="stable")
     return Found(keys[first], owner[first], place[first], order, body, uses)
 
 
@@ -317,23 +325,23 @@ def _place(b: Block, at: np.ndarray, rule: Rule) -> np.ndarray:
 def _bytes_around(parts, block, pick, rows, rule: Rule) -> tuple[np.ndarray, ...]:
     """Left and right lengths, left bytes (nearest first) and right bytes, zero filled."""
     n = len(rows)
-    left, right = np.zeros((n, rule.reach), np.uint8), np.zeros((n, rule.size), np.uint8)
-    l, r = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    left, right = np.empty((n, rule.reach), np.uint8), np.empty((n, rule.size), np.uint8)
+    l, r = np.empty(n, np.uint8), np.empty(n, np.uint8)
+    view = np.lib.stride_tricks.sliding_window_view
     for i in np.unique(block[rows]):
         at = np.flatnonzero(block[rows] == i)
         b, k = parts[i], pick[rows[at]]
         p, l[at], r[at] = b.anchors[k], b.left[k], b.right[k]
-        back = p[:, None] - 1 - np.arange(rule.reach)
-        left[at] = np.where(np.arange(rule.reach) < b.left[k][:, None], b.data[np.maximum(back, 0)], 0)
-        on = p[:, None] + np.arange(rule.size)
-        right[at] = np.where(np.arange(rule.size) < b.right[k][:, None], b.data[np.minimum(on, len(b.data) - 1)], 0)
+        filled = np.concatenate((np.zeros(rule.reach, np.uint8), b.data, np.zeros(rule.size, np.uint8)))
+        near = view(filled, rule.reach)[p][:, ::-1]
+        left[at] = near * (np.arange(rule.reach) < b.left[k][:, None])
+        right[at] = view(filled, rule.size)[p + rule.reach] * (np.arange(rule.size) < b.right[k][:, None])
     return l, r, left, right
 
 
-def _words_around(parts, block, pick, rows) -> tuple[np.ndarray, ...]:
-    """Left lengths in words, lengths in bytes, and the words themselves with a blank after each record."""
-    n = len(rows)
-    l, sizes, texts = np.zeros(n, np.uint8), np.zeros(n, np.int32), [b""] * n
+def _words_around(parts, block, pick, rows) -> tuple[np.ndarray, list[bytes]]:
+    """Left lengths in words and the words themselves, as they stand in the text."""
+    l, texts = np.zeros(len(rows), np.uint8), [b""] * len(rows)
     for i in np.unique(block[rows]):
         b = parts[i]
         raw = b.data.tobytes()
@@ -344,8 +352,7 @@ def _words_around(parts, block, pick, rows) -> tuple[np.ndarray, ...]:
         low, high = b.starts[p - b.left[k]].tolist(), b.stops[p + b.right[k] - 1].tolist()
         for j, x, y in zip(at.tolist(), low, high):
             texts[j] = raw[x:y]
-    sizes[:] = [len(t) + 1 for t in texts]
-    return l, sizes, np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    return l, texts
 
 
 def shared_prefixes(rows: np.ndarray) -> np.ndarray:
@@ -430,7 +437,7 @@ Resolve = Callable[[list[list[np.ndarray]], Rule], list[np.ndarray]]
 def mark(docs: DataFrame, rule: Rule, resolve: Resolve, finish, schema: str) -> DataFrame:
     """Runs the five steps; ``finish(texts, ids, parts, removed)`` yields a chunk's result frame."""
     total = text_bytes(docs)
-    chunks, groups = max(1, -(-total // CHUNK)), max(1, -(-total // (CHUNK * 4)))
+    chunks, groups = max(1, -(-total // CHUNK)), max(1, -(-total // GROUP))
     dealt = docs.where("doc_id is not null").select(
         F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "doc_id", "text"
     )
@@ -441,7 +448,7 @@ def mark(docs: DataFrame, rule: Rule, resolve: Resolve, finish, schema: str) ->
 
     def census(frame: pd.DataFrame) -> pd.DataFrame:
         texts, ids = load(frame)
-        names, counts = anchor_census(texts, ids, rule)
+        names, counts = anchor_census(list(blocks(texts, rule)), ids, rule)
         order, found, begins = _split(names, groups)
         rows = [
             (int(g), int(frame["chunk"].iloc[0]), pack(names[order[x:y]], counts[order[x:y]]))
@@ -459,22 +466,22 @@ def mark(docs: DataFrame, rule: Rule, resolve: Resolve, finish, schema: str) ->
         bodies = [pack(x.astype(np.uint8)) for x in np.split(answer, cuts)]
         return pd.DataFrame({"group": frame["group"], "chunk": frame["chunk"], "body": bodies})
 
-    def flagged(texts, ids, names, state):
-        parts = list(blocks(texts, rule))
-        return parts, [state[np.searchsorted(names, b.hashes)] if len(names) else np.empty(0, np.uint8) for b in parts]
+    def flagged(parts, names, state):
+        return [state[np.searchsorted(names, b.hashes)] if len(names) else np.empty(0, np.uint8) for b in parts]
 
     def send(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame(columns=["group", "chunk", "body"])
         chunk = int(frame["chunk"].iloc[0])
         texts, ids = load(frame)
-        names, _ = anchor_census(texts, ids, rule)
+        parts = list(blocks(texts, rule))
+        names, _ = anchor_census(parts, ids, rule)
         state = np.zeros(len(names), np.uint8)
         order, found, begins = _split(names, groups)
         back = dict(zip(answers["group"], answers["body"]))
         for g, x, y in zip(found, begins, begins[1:]):
             state[order[x:y]] = unpack(back[int(g)])[0]
-        parts, flags = flagged(texts, ids, names, state)
+        flags = flagged(parts, names, state)
         rows = [(-1 - chunk, chunk, pack(state))]
         for kind, sent in enumerate((surroundings(parts, ids, flags, rule), hot_windows(parts, ids, flags, rule))):
             keys = sent.keys[sent.order]
@@ -504,10 +511,11 @@ def mark(docs: DataFrame, rule: Rule, resolve: Resolve, finish, schema: str) ->
         if not len(frame):
             return finish([], np.empty(0, np.int64), [], [])
         texts, ids = load(frame)
-        names, _ = anchor_census(texts, ids, rule)
+        parts = list(blocks(texts, rule))
+        names, _ = anchor_census(parts, ids, rule)
         back = dict(zip(answers["group"], answers["body"]))
         state = unpack(back[-1 - int(frame["chunk"].iloc[0])])[0]
-        parts, flags = flagged(texts, ids, names, state)
+        flags = flagged(parts, names, state)
         cold, hot = surroundings(parts, ids, flags, rule), hot_windows(parts, ids, flags, rule)
         bits = []
         for kind, sent in enumerate((cold, hot)):
