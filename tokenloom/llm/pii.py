@@ -4,8 +4,8 @@
 always stay.  *The field* adds spans that the patterns miss, such as a card number with
 a wrong digit, a phone number without ``+`` or an address spelled with "at" and "dot".
 
-A text is looked at only around triggers (digits, ``@`` and spelled-out "at"), cut into
-tokens.  A segment of at most ``LONGEST`` tokens is scored as a whole, for each type,
+A text is looked at only around triggers (digits, ``@``, "at" in brackets or before a
+word and "dot"), cut into tokens.  A segment of at most ``LONGEST`` tokens is scored as a whole, for each type,
 by features of the whole span: its shape, digits, checks and neighbours.  Everything
 else is a segment of one token without type.  The dynamic program over bounded segments
 chooses boundaries and types together, in time proportional to the text.
@@ -42,7 +42,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]| at ")
+_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]| at (?=\S+ dot )")
 
 Span = tuple[int, int, str]
 
