@@ -4,8 +4,8 @@ Vectors are scaled to length one, where a cosine of at least ``c`` is a distance
 most ``sqrt(2 - 2c)``.  A table hashes a vector by ``PROJECTIONS`` random Gaussian
 projections, shifted and cut into steps of ``STEP``; vectors that agree in all of them
 meet in a bucket and are compared exactly.  With the numbers below two vectors just at
-0.95 share at least one of 40 buckets with probability 0.97, random ones in 64
-dimensions one table in 400 000.
+0.95 share at least one of 60 buckets with probability 0.95 or more, random ones in 64
+dimensions one table in several million.
 
 Equal vectors are folded to one first, so copies cost nothing.  Buckets of more than
 ``TILE`` vectors are cut into tiles, and each pair of tiles is a task's work of its own.
@@ -31,7 +31,7 @@ from tokenloom.llm.common import mix
 from tokenloom.llm.components import components
 from tokenloom.session import stage
 
-TABLES, PROJECTIONS, STEP, SEED = 40, 18, 2.0, 7
+TABLES, PROJECTIONS, STEP, SEED = 60, 22, 2.0, 7
 TILE = 2048
 
 
@@ -109,11 +109,7 @@ def neighbours(kinds: DataFrame, cosine: float, hasher: Hasher) -> DataFrame:
     ).select("key", "slot", "rep", "tile", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"))
     ready = pairs.join(kinds, "rep").repartition("key", "slot", "i", "j").sortWithinPartitions("key", "slot", "i", "j")
 
-    def work(rows: pd.DataFrame) -> tuple[list, list]:
-        slot, i, j = (int(rows[c].iloc[0]) for c in ("slot", "i", "j"))
-        ids, weight = rows["rep"].to_numpy(), rows["copies"].to_numpy()
-        units = _units(rows["embedding"])
-        at_left, at_right = (rows["tile"] == i).to_numpy(), (rows["tile"] == j).to_numpy()
+    def work(slot: int, ids, weight, units, at_left, at_right) -> tuple[list, list]:
         close = np.zeros((len(ids), len(ids)), bool)
         close[np.ix_(at_left, at_right)] = units[at_left] @ units[at_right].T >= cosine
         a, b = np.nonzero(np.triu(close | close.T, 1))
@@ -138,9 +134,15 @@ def neighbours(kinds: DataFrame, cosine: float, hasher: Hasher) -> DataFrame:
 
     def frame(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
         out = []
-        for _, group in rows.groupby(names, sort=False):
-            if len(group) > 1:
-                counts, joins = work(group)
+        group = rows[names].to_numpy(np.int64)
+        heads = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1)))) if len(rows) else []
+        ids, weight, tile = (rows[c].to_numpy() for c in ("rep", "copies", "tile"))
+        vectors = rows["embedding"].to_numpy()
+        for x, y in zip(heads, np.append(heads[1:], len(rows))):
+            if y - x > 1:
+                _, slot, i, j = group[x].tolist()
+                part = slice(x, y)
+                counts, joins = work(slot, ids[part], weight[part], _units(vectors[part]), tile[part] == i, tile[part] == j)
                 out += counts + joins
         found = pd.DataFrame(out, columns=["node", "other", "n"])
         return found.astype({"node": "Int64", "other": "Int64", "n": "Int64"})
