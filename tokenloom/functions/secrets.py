@@ -34,9 +34,14 @@ ASSIGNMENT = (
 )
 #: ``"name": "value"`` in JSON; group 1 ends before the value.
 _PLACEHOLDER = r"(?i:your[_-]|example|changeme|placeholder|dummy|xxxx|\(|<|\$\{)"
+#: Values that as a whole stand for something else: placeholders, calls, references.
+_EXEMPT = (
+    r"(?i:your[_-][a-z0-9_-]*|(?:example|changeme|placeholder|dummy)[a-z_-]*|x{4,}"
+    r"|[a-z_][a-z0-9_.]*\([a-z0-9_., ]*\)|<[^<>\"]*>|\$\{[^{}\"]*\})"
+)
 MEMBER = (
     rf"(?i)(\"[A-Za-z0-9_.-]*(?:{_NAME}|credential)\"\s*:\s*\")"
-    rf"(?!\[REDACTED:[a-z-]+\]\")(?![^\"]*{_PLACEHOLDER})((?:[^\"\\]|\\.){{8,}})(?=\")"
+    rf"(?!\[REDACTED:[a-z-]+\]\")(?!{_EXEMPT}\")((?:[^\"\\]|\\.){{8,}})(?=\")"
 )
 _MARKER = r"\[REDACTED:[a-z-]+\]"
 
@@ -89,7 +94,7 @@ def redact_text(text: Column) -> Column:
 
 
 def redact_plain_record(raw: Column) -> Column:
-    """A JSON record without unicode escapes: same bytes outside the matches, still JSON."""
+    """A JSON record without escapes: same bytes outside the matches, still JSON."""
     out = raw
     for kind, (_, pattern) in PROVIDER_RULES.items():
         out = F.regexp_replace(out, pattern, f"[REDACTED:{kind}]")
@@ -100,7 +105,9 @@ def redact_plain_record(raw: Column) -> Column:
 _LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"')
 _ESCAPED = re.compile(r"\\u[0-9a-fA-F]{4}(?:\\u[dD][c-fC-F][0-9a-fA-F]{2})?|\\.|.", re.S)
 _KEY = re.compile(rf"[A-Za-z0-9_.-]*(?:{_NAME}|credential)", re.I)
-_COMPILED = [(k, re.compile(p.replace(r"\z", r"\Z"))) for k, (_, p) in PROVIDER_RULES.items()]
+#: A decoded value may hold quotes, so a key block ends at its end mark or with the value.
+_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"
+_COMPILED = [(k, re.compile(_BLOCK if k == "private-key" else p)) for k, (_, p) in PROVIDER_RULES.items()]
 
 
 def _matches(decoded: str):
@@ -126,7 +133,7 @@ def _redact_escaped(record: str) -> str:
             return record
         spans = _matches(decoded)
         named = previous is not None and record[previous[1] : literal.start()].strip() == ":" and _KEY.fullmatch(previous[0])
-        if named and len(decoded) >= 8 and not re.search(_PLACEHOLDER, decoded):
+        if named and len(decoded) >= 8 and not re.fullmatch(_EXEMPT, decoded):
             whole = spans and spans[0][:2] == (0, len(decoded))
             spans = [(0, len(decoded), spans[0][2] if whole else ENVIRONMENT)]
         previous = (decoded, literal.end())
@@ -149,11 +156,13 @@ def redact_escaped_records(records: pd.Series) -> pd.Series:
     return records.map(lambda r: None if r is None else _redact_escaped(r))
 
 
-ESCAPED = r"\\u[0-9a-fA-F]{4}"
+#: Escapes hide word edges, quotes and letters from patterns over the encoded record.  Records with
+#: an escape and a mark of any rule (or a unicode escape, which can hide a mark) are decoded first.
+ESCAPED = rf"(?is)\\u[0-9a-f]{{4}}|^(?=.*\\)(?=.*(?:sk-|gh[pousr]_|github_pat_|AKIA|ASIA|PRIVATE KEY|credential|{_NAME}))"
 
 
 def redact_record(raw: Column) -> Column:
-    """``struct<text, n>`` for a JSON record; only records with unicode escapes visit Python."""
+    """``struct<text, n>`` for a JSON record; only records with escapes and a mark of a rule visit Python."""
     escaped = raw.rlike(ESCAPED)
     slow = redact_escaped_records(F.when(escaped, raw))
     out = F.when(escaped, slow).otherwise(redact_plain_record(raw))

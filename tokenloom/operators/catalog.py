@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tokenloom.functions.text import is_temporary_path, leaf
 from tokenloom.schema import SESSION
 
-PAGE_DEFAULT, PAGE_MAX = 200, 1_000
-HITS_DEFAULT, HITS_MAX = 50, 200
+PAGE_DEFAULT = 200
+HITS_DEFAULT = 50
 
 
 def session_filter(
@@ -67,7 +67,7 @@ def page(sessions: DataFrame, offset: int = 0, limit: int = PAGE_DEFAULT) -> Pag
     """One page of a catalog, newest first."""
     total = sessions.count()
     offset = min(offset, total)
-    limit = max(1, min(limit, PAGE_MAX))
+    limit = max(1, limit)
     ordered = sessions.orderBy(F.col("last_activity").desc_nulls_last(), *SESSION)
     return Page(ordered.offset(offset).limit(limit), total, offset, offset + limit < total)
 
@@ -160,7 +160,7 @@ def search_lines(lines: DataFrame, needle: str) -> DataFrame:
 
 def first_hits(hits: DataFrame, turns_by_line: DataFrame, redact, limit: int = HITS_DEFAULT) -> DataFrame:
     """A page of hits with turn and redacted preview."""
-    taken = hits.orderBy(*SESSION, "line_no").limit(max(1, min(limit, HITS_MAX)))
+    taken = hits.orderBy(*SESSION, "line_no").limit(max(1, limit))
     preview = redact(F.trim("raw"))
     return taken.join(turns_by_line, [*SESSION, "line_no"], "left").select(
         *SESSION,

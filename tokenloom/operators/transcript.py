@@ -12,7 +12,7 @@ from tokenloom.schema import SESSION
 from tokenloom.sources import variant as j
 from tokenloom.sources.graph_agent import ATTACHMENT_KEYS
 
-PAGE_DEFAULT, PAGE_MAX = 40, 200
+PAGE_DEFAULT = 40
 PAGE_TEXT_CHARS, ENTRY_TEXT_CHARS, LABEL_CHARS = 2_000, 200_000, 60
 
 # Placeholders for content that has no text.
@@ -204,7 +204,7 @@ def page(numbered: DataFrame, offset: int, limit: int = PAGE_DEFAULT, budget: in
 
     ``numbered`` carries ``text``; only the page's texts are shortened and returned.
     """
-    limit = max(1, min(limit, PAGE_MAX))
+    limit = max(1, limit)
     part = numbered.where(F.col("index").between(offset, offset + limit - 1))
     full = F.coalesce("text", F.when(F.col("kind") == "message", F.col("preview")), F.lit(""))
     return part.select(

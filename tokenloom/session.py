@@ -32,13 +32,21 @@ def build_session(app: str = "tokenloom", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one only where none is set."""
+    """The shared checkpoint folder the cluster names.
+
+    Where none is set, a local master gets a temporary folder; on a cluster that would
+    scatter files over the machines, so it is an error there.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tokenloom-ckpt-"))
+    if not configured:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="tokenloom-ckpt-")
+    context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
