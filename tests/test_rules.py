@@ -232,10 +232,11 @@ def test_archive_round_trip(spark, tmp_path):
 
 
 def test_tail_reads_only_what_is_new(spark):
-    lines = spark.createDataFrame([("a", 1, 0, 9), ("a", 2, 10, 9), ("b", 1, 0, 4), ("c", 1, 0, 3)], "path string, line_no bigint, byte_offset bigint, byte_len bigint")
+    rows = [("a", 1, 0, 9, True), ("a", 2, 10, 9, True), ("a", 3, 20, 2, False), ("b", 1, 0, 4, True), ("c", 1, 0, 3, True)]
+    lines = spark.createDataFrame(rows, "path string, line_no bigint, byte_offset bigint, byte_len bigint, complete boolean")
     offsets = spark.createDataFrame([("a", 10, 2), ("b", 500, 9)], "path string, next_offset bigint, next_line bigint")
     got = {(r.path, r.line_no) for r in new_lines(lines, offsets).collect()}
-    assert got == {("a", 2), ("b", 1), ("c", 1)}  # b was rotated, c is new
+    assert got == {("a", 2), ("b", 1), ("c", 1)}  # b was rotated, c is new, the end of a is half written
 
 
 def monitor_rows(spark, rows):

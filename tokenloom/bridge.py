@@ -198,7 +198,7 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("response_item/message").alias("raw_type"),
         F.lit("message").alias("kind"),
         "role",
-        F.left("text", F.lit(40)).alias("preview"),
+        F.left("text", F.lit(160)).alias("preview"),
         size.alias("char_len"),
         F.col("text").alias("content"),
     )
@@ -427,7 +427,7 @@ def graph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(t % 4 == 2, F.to_json(result))
         .otherwise(F.to_json(prompt))
     )
-    whole = F.concat(F.left(head, F.length(head) - 1), F.lit(","), F.substring(tail, 2, 1 << 20))
+    whole = F.concat(F.left(head, F.length(head) - 1), F.lit(","), tail.substr(F.lit(2), F.length(tail)))
     third = t % 3 == 2
     raw = (
         F.when((conv % 10 == 0) & third, F.left(whole, F.lit(40)))

@@ -191,7 +191,7 @@ def instruction_file_status(spark, sf_dir):
         F.when(d % 29 != 0, F.sha2(F.when(d % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)).alias("digest"),
         F.length("text").cast("bigint").alias("chars"),
     )
-    return instructions.compare_files(recorded, files).select("line_no", "status", "path")
+    return instructions.compare_files(recorded, files, max_bytes=4 * 1024 * 1024).select("line_no", "status", "path")
 
 
 # --- transcripts -------------------------------------------------------------
@@ -388,7 +388,7 @@ def feed_records(spark, sf_dir):
     "SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01' - INTERVAL 30 DAY ORDER BY o_orderkey DESC LIMIT 2000",
 )
 def feed_retention(spark, sf_dir):
-    return feed.prune(feed_records(spark, sf_dir), F.lit("1998-06-01").cast("timestamp")).select("id")
+    return feed.prune(feed_records(spark, sf_dir), F.lit("1998-06-01").cast("timestamp"), days=30, newest=2_000).select("id")
 
 
 @query("feed_page", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey<500 ORDER BY 1 DESC LIMIT 50")
@@ -412,5 +412,5 @@ def feed_marks(spark, sf_dir):
     every = o.where(F.col("k") % 2500 == 0).select(
         F.lit(None).cast("bigint").alias("id"), F.col("k").alias("up_to_id"), F.lit("read").alias("action"), "at"
     )
-    visible = feed.prune(feed_records(spark, sf_dir), F.lit("1998-06-01").cast("timestamp"))
+    visible = feed.prune(feed_records(spark, sf_dir), F.lit("1998-06-01").cast("timestamp"), days=30, newest=2_000)
     return feed.with_state(visible, one.unionByName(every)).select("id", "read_at", "dismissed_at")

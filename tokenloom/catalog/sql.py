@@ -73,7 +73,7 @@ turns AS (SELECT t.*, (SELECT max(c.seq) FROM ev c WHERE c.session_id=t.session_
 
 CONV = """
 cmsg AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn*2 AS seq, turn*2+1 AS line_no, role, text,
-                left(text,40) AS preview, length(text) AS char_len, conv_id, turn AS t FROM conversations),
+                left(text,160) AS preview, length(text) AS char_len, conv_id, turn AS t FROM conversations),
 crep AS (SELECT session_id, seq+1 AS seq, (conv_id*37 + t*211)%900 AS prompt0,
                 row_number() OVER (PARTITION BY session_id ORDER BY seq) AS turn, seq AS a_seq FROM cmsg WHERE role='assistant'),
 cresets AS (SELECT r.session_id, r.turn, max(m.seq) AS reset_seq FROM crep r JOIN cmsg m ON m.session_id=r.session_id

@@ -15,19 +15,20 @@ from pyspark.sql import types as T
 NON_TEXT_KEYS = ["type", "signature", "id", "tool_use_id", "cache_control", "is_error", "name"]
 SIGNATURE_CHARS_PER_THINKING_CHAR = 2.353
 IMAGE_MAX_EQUIVALENT_CHARS = 4_000
-MAX_TEXT_DEPTH = 12
-
-
-def _text_chars(value, depth: int = 0) -> int:
-    if depth > MAX_TEXT_DEPTH:
-        return 0
-    if isinstance(value, str):
-        return len(value)
-    if isinstance(value, list):
-        return sum(_text_chars(v, depth + 1) for v in value)
-    if isinstance(value, dict):
-        return sum(_text_chars(v, depth + 1) for k, v in value.items() if k not in NON_TEXT_KEYS)
-    return 0
+
+
+def _text_chars(value) -> int:
+    """Text characters at any depth."""
+    total, todo = 0, [value]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, str):
+            total += len(part)
+        elif isinstance(part, list):
+            todo += part
+        elif isinstance(part, dict):
+            todo += [v for k, v in part.items() if k not in NON_TEXT_KEYS]
+    return total
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators.turns import occupies_context
 from tokenloom.plans.dag import ancestor_totals, chain_members, jump_tables
-from tokenloom.schema import MAX_CHAIN, SESSION
+from tokenloom.schema import SESSION
 from tokenloom.session import cut
 
 
@@ -40,7 +40,7 @@ def chain_nodes(linked: DataFrame) -> DataFrame:
     )
 
 
-def chain_totals(nodes: DataFrame, max_chain: int = MAX_CHAIN) -> DataFrame:
+def chain_totals(nodes: DataFrame) -> DataFrame:
     """Characters and items of the whole chain of every node, per thread side."""
     counted = F.col("occupies")
     side = F.col("side")
@@ -53,23 +53,22 @@ def chain_totals(nodes: DataFrame, max_chain: int = MAX_CHAIN) -> DataFrame:
             "side_chars": F.when(counted & side, F.col("chars")),
             "side_items": F.when(counted & side, 1),
         },
-        max_chain=max_chain,
     )
 
 
-def graph_members(linked: DataFrame, turns: DataFrame, max_chain: int = MAX_CHAIN) -> DataFrame:
+def graph_members(linked: DataFrame, turns: DataFrame) -> DataFrame:
     """(turn, record) pairs of the requested turns: exactly what each request carried.
 
     Columns: session, ``turn``, ``seq``, ``distance``.  The request's own
     response is cut off, other-thread records are stepped over, and turns
-    whose chain is circular or too long have no rows (see
+    whose chain is circular have no rows (see
     :func:`unavailable_turns`).
     """
     nodes = cut(chain_nodes(linked))
-    resolved = chain_totals(nodes, max_chain).where("resolved").select(*SESSION, "node")
+    resolved = chain_totals(nodes).where("resolved").select(*SESSION, "node")
     anchors = turns.select(*SESSION, F.col("turn").alias("want"), F.col("anchor_seq").alias("node"), "response_start_seq")
     starts = anchors.join(resolved, [*SESSION, "node"])
-    tables = jump_tables(nodes, SESSION, max_chain)
+    tables = jump_tables(nodes, SESSION)
     reached = chain_members(starts, SESSION, ["want", "response_start_seq"], tables)
     seen = reached.join(nodes, [*SESSION, "node"])
     anchor_side = (
@@ -93,7 +92,7 @@ def graph_members(linked: DataFrame, turns: DataFrame, max_chain: int = MAX_CHAI
     )
 
 
-def graph_context_sizes(linked: DataFrame, turns: DataFrame, max_chain: int = MAX_CHAIN) -> DataFrame:
+def graph_context_sizes(linked: DataFrame, turns: DataFrame) -> DataFrame:
     """Prompt size of every turn without listing its records.
 
     The chain total of the record just above the request's own response.  The
@@ -102,7 +101,7 @@ def graph_context_sizes(linked: DataFrame, turns: DataFrame, max_chain: int = MA
     where some parent comes later are counted from their explicit members.
     """
     nodes = cut(chain_nodes(linked))
-    totals = chain_totals(nodes, max_chain)
+    totals = chain_totals(nodes)
     inside = nodes.alias("n").join(
         nodes.select(*SESSION, F.col("node").alias("parent"), F.col("turn").alias("p_turn")),
         [*SESSION, "parent"],
@@ -123,7 +122,6 @@ def graph_context_sizes(linked: DataFrame, turns: DataFrame, max_chain: int = MA
             "main_top": F.when(is_own & ~F.col("side"), spot),
             "side_top": F.when(is_own & F.col("side"), spot),
         },
-        max_chain=max_chain,
     ).select(*SESSION, F.col("node").alias("anchor_seq"), "main_top", "side_top")
     sides = nodes.select(*SESSION, F.col("node").alias("anchor_seq"), "side")
     reach = totals.select(
@@ -156,7 +154,7 @@ def graph_context_sizes(linked: DataFrame, turns: DataFrame, max_chain: int = MA
     if odd_turns.isEmpty():
         return sizes
     listed = (
-        graph_members(linked.join(backward, SESSION, "left_semi"), odd_turns, max_chain)
+        graph_members(linked.join(backward, SESSION, "left_semi"), odd_turns)
         .groupBy(*SESSION, "turn")
         .agg(F.sum("chars").alias("l_chars"), F.count(F.lit(1)).alias("l_items"))
     )
@@ -176,5 +174,5 @@ def graph_context_sizes(linked: DataFrame, turns: DataFrame, max_chain: int = MA
 
 
 def unavailable_turns(sizes: DataFrame) -> DataFrame:
-    """Turns whose parent chain is circular or longer than the limit."""
+    """Turns whose parent chain is circular."""
     return sizes.where(~F.col("available")).select(*SESSION, "turn")

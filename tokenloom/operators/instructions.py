@@ -10,7 +10,6 @@ from tokenloom.plans.scan import last_known, running
 from tokenloom.schema import SESSION
 
 TRACKED = ["base_instructions", "nested_memory", "skill", "dynamic_skill"]
-MAX_FILE_BYTES = 4 * 1024 * 1024
 
 
 def instruction_drift(events: DataFrame) -> DataFrame:
@@ -38,24 +37,24 @@ def instruction_drift(events: DataFrame) -> DataFrame:
 
 
 def read_instruction_files(spark: SparkSession, path: str) -> DataFrame:
-    """Digest and size of today's instruction files; larger files keep only their size."""
+    """Digest and size of today's instruction files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = F.col("length") <= MAX_FILE_BYTES
     return files.select(
         F.regexp_replace("path", "^file:", "").alias("path"),
         F.lit(True).alias("regular"),
         F.col("length").alias("bytes"),
-        F.when(small, F.sha2("content", 256)).alias("digest"),
-        F.when(small, F.length(F.decode("content", "utf-8"))).cast("bigint").alias("chars"),
+        F.sha2("content", 256).alias("digest"),
+        F.length(F.decode("content", "utf-8")).cast("bigint").alias("chars"),
     )
 
 
-def compare_files(recorded: DataFrame, files: DataFrame) -> DataFrame:
+def compare_files(recorded: DataFrame, files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Status of every recorded instruction body against the current file.
 
     ``recorded``: session, ``line_no``, ``turn``, ``label``, ``fp``, ``char_len``,
     ``root``; ``files``: ``path``, ``regular``, ``bytes``, ``digest``, ``chars``
-    (a file that could not be read has none of the last three).
+    (a file that could not be read has none of the last three).  Files above
+    ``max_bytes`` are reported as too large; without it every file is compared.
     """
     placed = recorded.withColumn("resolved", comparable_path(F.col("label"), F.col("root")))
     joined = placed.join(files.withColumnRenamed("path", "resolved"), "resolved", "left")
@@ -64,7 +63,7 @@ def compare_files(recorded: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("resolved").isNull(), "unsafePath")
         .when(F.col("regular").isNull(), "missing")
         .when(~F.col("regular"), "notRegular")
-        .when(F.col("bytes") > MAX_FILE_BYTES, "tooLarge")
+        .when(F.col("bytes") > F.lit(max_bytes), "tooLarge")
         .when(F.col("digest").isNull(), "unreadable")
         .when(F.col("digest") == F.col("fp"), "matching")
         .otherwise("changed")

@@ -7,16 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.schema import MAX_PARSE_BYTES
 
 
 def recount(items: DataFrame, count_tokens: Callable[[Column], Column]) -> DataFrame:
     """``items`` carry ``content`` (NULL when it cannot be read) and ``opaque``.
 
     ``count_tokens`` is a column function: built-ins, or an Arrow UDF around any
-    tokenizer the caller has.  Opaque and oversized items keep their estimate.
+    tokenizer the caller has.  Opaque items keep their estimate.
     """
-    opaque = F.col("opaque") | F.coalesce(F.octet_length("content") > MAX_PARSE_BYTES, F.lit(False))
+    opaque = F.col("opaque")
     status = F.when(opaque, "opaque").when(F.col("content").isNull(), "unavailable").otherwise("counted")
     counted = count_tokens(F.when(status == "counted", F.col("content")))
     return (

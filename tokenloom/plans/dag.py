@@ -2,8 +2,9 @@
 
 A node knows its parent.  After round ``k`` it knows the ancestor ``2**k`` steps
 up and the totals of everything in between, so a chain of 100 000 records needs
-17 equi-joins, whatever the number of nodes.  Chains that are still unresolved
-by then run in a circle or are too long.
+17 equi-joins, whatever the number of nodes.  No chain is longer than the nodes
+of its group; nodes that are unresolved after that many rounds are on a circle
+or lead to one.
 """
 
 from __future__ import annotations
@@ -17,13 +18,10 @@ from pyspark.sql import functions as F
 from tokenloom.session import cut
 
 
-def _rounds(nodes: DataFrame, keys: Sequence[str], max_chain: int) -> int:
-    """Doublings after which only circles and over-long chains are unresolved.
-
-    No chain is longer than the nodes of its group, so small groups need few.
-    """
+def _rounds(nodes: DataFrame, keys: Sequence[str]) -> int:
+    """Doublings after which only circles are unresolved, from the largest group."""
     largest = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    return max(1, math.ceil(math.log2(max(2, min(max_chain, largest)))))
+    return max(1, math.ceil(math.log2(max(2, largest))))
 
 
 def ancestor_totals(
@@ -31,14 +29,13 @@ def ancestor_totals(
     keys: Sequence[str],
     sums: Mapping[str, Column],
     farthest: Mapping[str, Column] | None = None,
-    max_chain: int = 100_000,
 ) -> DataFrame:
     """Totals over each node's chain to its root, the node itself included.
 
     ``nodes`` has ``node``, ``parent`` and ``stop``; a chain ends at a stop
     node, whose own values do not count.  ``farthest`` columns report the
-    non-null value nearest the root.  Chains longer than ``max_chain`` have
-    ``resolved = false``.
+    non-null value nearest the root.  Nodes on or below a circle have
+    ``resolved = false``; chains may have any length.
     """
     farthest = farthest or {}
     open_node = ~F.col("stop")
@@ -52,7 +49,7 @@ def ancestor_totals(
         *[F.when(open_node, c).alias(n) for n, c in farthest.items()],
     )
     state = cut(state)
-    for _ in range(_rounds(nodes, keys, max_chain)):
+    for _ in range(_rounds(nodes, keys)):
         active = state.where(F.col("jump").isNotNull())
         if active.isEmpty():
             break
@@ -74,12 +71,10 @@ def ancestor_totals(
             *[F.coalesce(f"a_{n}", n).alias(n) for n in farthest],
         )
         state = cut(state.where(F.col("jump").isNull()).unionByName(moved))
-    return state.withColumn(
-        "resolved", F.col("jump").isNull() & (F.col("depth") <= F.lit(max_chain))
-    ).drop("jump")
+    return state.withColumn("resolved", F.col("jump").isNull()).drop("jump")
 
 
-def jump_tables(nodes: DataFrame, keys: Sequence[str], max_chain: int = 100_000) -> list[DataFrame]:
+def jump_tables(nodes: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
     """``tables[k]`` maps a node to its ancestor ``2**k`` steps up, where there is one."""
     level = cut(
         nodes.where(F.col("parent").isNotNull() & ~F.col("stop")).select(
@@ -87,7 +82,7 @@ def jump_tables(nodes: DataFrame, keys: Sequence[str], max_chain: int = 100_000)
         )
     )
     tables = []
-    for _ in range(_rounds(nodes, keys, max_chain) + 1):
+    for _ in range(_rounds(nodes, keys) + 1):
         if level.isEmpty():
             break
         tables.append(level)

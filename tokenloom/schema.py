@@ -55,12 +55,6 @@ OCCUPYING_KINDS = [
     "context_injection",
 ]
 
-MAX_PARSE_BYTES = 4 * 1024 * 1024
-SNIFF_BYTES = 16 * 1024
-PRELUDE_BYTES = 1024 * 1024
-TITLE_BYTES = 64 * 1024
-MAX_CHAIN = 100_000
-
 RATIO_CODE = 3.1
 RATIO_PROSE = 3.6
 RATIO_LINEAR_AGENT = 3.8

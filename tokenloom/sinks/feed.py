@@ -10,9 +10,6 @@ from tokenloom.functions.text import alert_key
 from tokenloom.plans.scan import running, running_count
 from tokenloom.session import cut
 
-RETENTION_DAYS = 30
-MAX_VISIBLE = 2_000
-
 
 def qualify(alerts: DataFrame) -> DataFrame:
     """Give every candidate its feed-wide key."""
@@ -51,10 +48,11 @@ def number(alerts: DataFrame, after_id: int, detected_at: Column, catch_up: bool
     )
 
 
-def prune(records: DataFrame, now: Column) -> DataFrame:
-    """Records of the last 30 days, at most the newest 2 000."""
-    recent = records.where(F.col("detected_at") >= now - F.expr(f"INTERVAL {RETENTION_DAYS} DAYS"))
-    return recent.orderBy(F.col("id").desc()).limit(MAX_VISIBLE)
+def prune(records: DataFrame, now: Column, days: int | None = None, newest: int | None = None) -> DataFrame:
+    """Records of the last ``days``, and of those the ``newest``; without limits all stay."""
+    if days is not None:
+        records = records.where(F.col("detected_at") >= now - F.make_dt_interval(F.lit(days)))
+    return records if newest is None else records.orderBy(F.col("id").desc()).limit(newest)
 
 
 def feed_page(records: DataFrame, before_id: int | None = None, limit: int = 50) -> DataFrame:
@@ -66,7 +64,7 @@ def feed_page(records: DataFrame, before_id: int | None = None, limit: int = 50)
 def with_state(records: DataFrame, marks: DataFrame) -> DataFrame:
     """Add ``read_at`` and ``dismissed_at`` from an append-only log of marks.
 
-    ``records`` are the pruned feed (at most 2 000 rows).  ``marks`` = (``id`` or NULL for all, ``up_to_id``, ``action``, ``at``).  The first mark of
+    ``records`` are the pruned feed.  ``marks`` = (``id`` or NULL for all, ``up_to_id``, ``action``, ``at``).  The first mark of
     a kind counts.  A mark without id covers every record that existed then.
     """
     single = marks.where(F.col("id").isNotNull()).groupBy("id").agg(

@@ -1,4 +1,4 @@
-"""Session inventories: one descriptor row per log file, without parsing bodies."""
+"""Session inventories: one descriptor row per log file."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import GRAPH_AGENT_MARKERS, LINEAR_AGENT_MARKERS, authored_title
-from tokenloom.schema import AGENT_GRAPH, AGENT_LINEAR, PRELUDE_BYTES, SESSION, TITLE_BYTES
+from tokenloom.schema import AGENT_GRAPH, AGENT_LINEAR, SESSION
 from tokenloom.sources import variant as j
 from tokenloom.sources.lines import with_positions
 
-LINEAR_PROMPT_BYTES = 256 * 1024
+#: What the numbering of lines needs of a projection of the line table.
+PLACE = ["path", "block", "rid", "framed_bytes"]
 
 DESCRIPTOR = [
     *SESSION,
@@ -40,16 +41,6 @@ def _unslug(slug: Column) -> Column:
     ).otherwise(F.replace(slug, F.lit("-"), F.lit("/")))
 
 
-def _head(lines: DataFrame, budget: int) -> DataFrame:
-    """Lines that end inside the first ``budget`` bytes of their file.
-
-    File splits that start later are dropped before anything is numbered.
-    """
-    placed = with_positions(lines.where(F.col("block") < budget))
-    inside = F.col("byte_offset") + F.col("framed_bytes") - 1 <= budget
-    return placed.where(inside).where(F.octet_length("raw") > 0)
-
-
 def _first(value: Column) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), F.col("line_no")))
 
@@ -57,12 +48,13 @@ def _first(value: Column) -> Column:
 def graph_inventory(lines: DataFrame) -> DataFrame:
     """Descriptors of graph logs from :func:`tokenloom.sources.lines.read_lines`.
 
-    Each field comes from the first line that has it.  Reading stops once
-    identity, folder and time are known and a title was found or 64 KiB are
-    read.  A fully read file without any ``uuid`` is no session.
+    Each field comes from the first line that has it, wherever that is, as long as
+    it is not past both the line that completes identity, folder and time and the
+    first title the agent gave.  A file without any ``uuid`` is no session.
+    Records are parsed where they are read; only the narrow fields are numbered.
     """
     v = F.col("v")
-    head = _head(lines, PRELUDE_BYTES).withColumn("v", F.try_parse_json("raw"))
+    opened = lines.withColumn("v", F.try_parse_json("raw"))
     said = F.coalesce(
         j.plain_text(v, "$.message.content"),
         F.when(
@@ -79,10 +71,8 @@ def graph_inventory(lines: DataFrame) -> DataFrame:
     kind = j.text(v, "$.type")
     prompt = F.when(kind == "user", authored_title(said, GRAPH_AGENT_MARKERS))
     side = j.flag(v, "$.isSidechain")
-    fields = head.select(
-        "path",
-        "line_no",
-        "byte_offset",
+    narrow = opened.select(
+        *PLACE,
         "file_size",
         "modified",
         j.text(v, "$.cwd").alias("cwd"),
@@ -93,6 +83,7 @@ def graph_inventory(lines: DataFrame) -> DataFrame:
         F.when(side, prompt).alias("side_prompt"),
         j.present(v, "$.uuid").alias("has_uuid"),
     )
+    fields = with_positions(narrow)
     line = F.col("line_no")
     stops = fields.groupBy("path").agg(
         F.greatest(
@@ -112,7 +103,8 @@ def graph_inventory(lines: DataFrame) -> DataFrame:
         .where(
             F.col("identified_at").isNull()
             | (line <= F.col("identified_at"))
-            | ((F.col("byte_offset") < TITLE_BYTES) & (F.col("titled_at").isNull() | (line <= F.col("titled_at"))))
+            | F.col("titled_at").isNull()
+            | (line <= F.col("titled_at"))
         )
     )
     described = read.groupBy("path").agg(
@@ -125,7 +117,7 @@ def graph_inventory(lines: DataFrame) -> DataFrame:
         _first(F.col("prompt")).alias("prompt"),
         _first(F.col("side_prompt")).alias("side_prompt"),
         F.bool_or("has_uuid").alias("conversation"),
-    ).where(F.col("conversation") | (F.col("size_bytes") >= PRELUDE_BYTES))
+    ).where("conversation")
     folder = F.regexp_extract("path", r"([^/\\]+)[/\\][^/\\]+$", 1)
     nested = F.lower(folder) == "subagents"
     owner = F.regexp_extract("path", r"([^/\\]+)[/\\][^/\\]+[/\\][^/\\]+$", 1)
@@ -151,7 +143,7 @@ def graph_inventory(lines: DataFrame) -> DataFrame:
 def linear_inventory(lines: DataFrame) -> DataFrame:
     """Descriptors of straight logs: identity from the first line, title from a prompt."""
     v = F.col("v")
-    head = _head(lines, LINEAR_PROMPT_BYTES).withColumn("v", F.try_parse_json("raw"))
+    opened = lines.withColumn("v", F.try_parse_json("raw"))
     payload = lambda key: j.text(v, f"$.payload.{key}")
     spoken = F.array_join(
         F.flatten(
@@ -167,14 +159,27 @@ def linear_inventory(lines: DataFrame) -> DataFrame:
         authored_title(spoken, LINEAR_AGENT_MARKERS),
     )
     first = F.col("line_no") == 1
-    meta = {k: payload(k) for k in ("id", "session_id", "parent_thread_id", "thread_source", "cwd")}
-    grouped = head.groupBy("path").agg(
+    meta = ["id", "session_id", "parent_thread_id", "thread_source", "cwd"]
+    # Only the first record of a split can be the first line of its file.
+    opens = F.col("block") == 0
+    fields = with_positions(
+        opened.select(
+            *PLACE,
+            "file_size",
+            *[F.when(opens, payload(k)).alias(k) for k in meta],
+            F.when(opens, j.timestamp(v)).alias("ts"),
+            F.when(opens, j.text(v, "$.payload.git.branch")).alias("branch"),
+            v.isNotNull().alias("parsed"),
+            prompt.alias("prompt"),
+        )
+    )
+    grouped = fields.groupBy("path").agg(
         F.max("file_size").alias("size_bytes"),
-        *[F.max(F.when(first, c)).alias(f"m_{k}") for k, c in meta.items()],
-        F.max(F.when(first, j.timestamp(v))).alias("started_at"),
-        F.max(F.when(first, j.text(v, "$.payload.git.branch"))).alias("git_branch"),
-        F.bool_or(first & v.isNotNull()).alias("readable"),
-        F.min_by(F.when(~first, prompt), F.when(~first & prompt.isNotNull(), F.col("line_no"))).alias("prompt"),
+        *[F.max(F.when(first, F.col(k))).alias(f"m_{k}") for k in meta],
+        F.max(F.when(first, F.col("ts"))).alias("started_at"),
+        F.max(F.when(first, F.col("branch"))).alias("git_branch"),
+        F.bool_or(first & F.col("parsed")).alias("readable"),
+        F.min_by(F.when(~first, F.col("prompt")), F.when(~first & F.col("prompt").isNotNull(), F.col("line_no"))).alias("prompt"),
     )
     stem = _stem(F.col("path"))
     from_name = F.regexp_extract(stem, r"([^-]+(?:-[^-]+){4})$", 1)

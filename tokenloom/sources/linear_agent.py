@@ -18,25 +18,90 @@ from tokenloom.sources.events import conform
 from tokenloom.sources.lines import is_oversized, parsed, sniffed_type
 
 # Notices the agent is known to write.
-KNOWN_EVENT_MESSAGES = """
-error warning auth_recovery_started auth_recovery_completed guardian_warning realtime_conversation_started
-realtime_conversation_realtime realtime_conversation_closed realtime_conversation_sdp model_reroute
-model_verification turn_moderation_metadata safety_buffering context_compacted turn_started
-thread_settings_applied turn_complete agent_message user_message agent_reasoning agent_reasoning_raw_content
-agent_reasoning_section_break session_configured environment_connected environment_disconnected
-thread_goal_updated thread_queue_changed mcp_startup_update mcp_startup_complete mcp_tool_call_begin
-mcp_tool_call_end web_search_begin web_search_end image_generation_begin image_generation_end
-exec_command_begin exec_command_output_delta terminal_interaction exec_command_end view_image_tool_call
-exec_approval_request request_permissions request_user_input dynamic_tool_call_request
-dynamic_tool_call_response elicitation_request apply_patch_approval_request guardian_assessment
-deprecation_notice stream_error patch_apply_begin patch_apply_updated patch_apply_end turn_diff
-realtime_conversation_list_voices_response plan_update turn_aborted shutdown_complete entered_review_mode
-exited_review_mode raw_response_completed item_started item_completed hook_started hook_completed
-agent_message_content_delta plan_delta reasoning_content_delta reasoning_raw_content_delta
-collab_agent_spawn_begin collab_agent_spawn_end collab_agent_interaction_begin collab_agent_interaction_end
-collab_waiting_begin collab_waiting_end collab_close_begin collab_close_end collab_resume_begin
-collab_resume_end sub_agent_activity task_started task_complete
-""".split()
+KNOWN_EVENT_MESSAGES = [
+    "error",
+    "warning",
+    "auth_recovery_started",
+    "auth_recovery_completed",
+    "guardian_warning",
+    "realtime_conversation_started",
+    "realtime_conversation_realtime",
+    "realtime_conversation_closed",
+    "realtime_conversation_sdp",
+    "model_reroute",
+    "model_verification",
+    "turn_moderation_metadata",
+    "safety_buffering",
+    "context_compacted",
+    "turn_started",
+    "thread_settings_applied",
+    "turn_complete",
+    "agent_message",
+    "user_message",
+    "agent_reasoning",
+    "agent_reasoning_raw_content",
+    "agent_reasoning_section_break",
+    "session_configured",
+    "environment_connected",
+    "environment_disconnected",
+    "thread_goal_updated",
+    "thread_queue_changed",
+    "mcp_startup_update",
+    "mcp_startup_complete",
+    "mcp_tool_call_begin",
+    "mcp_tool_call_end",
+    "web_search_begin",
+    "web_search_end",
+    "image_generation_begin",
+    "image_generation_end",
+    "exec_command_begin",
+    "exec_command_output_delta",
+    "terminal_interaction",
+    "exec_command_end",
+    "view_image_tool_call",
+    "exec_approval_request",
+    "request_permissions",
+    "request_user_input",
+    "dynamic_tool_call_request",
+    "dynamic_tool_call_response",
+    "elicitation_request",
+    "apply_patch_approval_request",
+    "guardian_assessment",
+    "deprecation_notice",
+    "stream_error",
+    "patch_apply_begin",
+    "patch_apply_updated",
+    "patch_apply_end",
+    "turn_diff",
+    "realtime_conversation_list_voices_response",
+    "plan_update",
+    "turn_aborted",
+    "shutdown_complete",
+    "entered_review_mode",
+    "exited_review_mode",
+    "raw_response_completed",
+    "item_started",
+    "item_completed",
+    "hook_started",
+    "hook_completed",
+    "agent_message_content_delta",
+    "plan_delta",
+    "reasoning_content_delta",
+    "reasoning_raw_content_delta",
+    "collab_agent_spawn_begin",
+    "collab_agent_spawn_end",
+    "collab_agent_interaction_begin",
+    "collab_agent_interaction_end",
+    "collab_waiting_begin",
+    "collab_waiting_end",
+    "collab_close_begin",
+    "collab_close_end",
+    "collab_resume_begin",
+    "collab_resume_end",
+    "sub_agent_activity",
+    "task_started",
+    "task_complete",
+]
 PLAIN_RECORDS = ["world_state", "inter_agent_communication_metadata", "token_usage_record"]
 RETAINED = ["verified_answer", "delivered_assistant_message"]
 OUTPUTS = ["function_call_output", "custom_tool_call_output", "tool_search_output"]
@@ -96,7 +161,7 @@ def normalise(lines: DataFrame, with_content: bool = False) -> DataFrame:
     raw, v, p = F.col("raw"), F.col("v"), F.col("p")
     opened = lines.withColumn("v", parsed(raw)).withColumn("p", j.part(v, "$.payload"))
     big = is_oversized(raw)
-    head_inner = F.regexp_extract(F.substring(raw, 1, 16384), r'"payload"\s*:\s*\{[^{}\[\]]*?"type"\s*:\s*"([^"]*)"', 1)
+    head_inner = F.regexp_extract(raw, r'"payload"\s*:\s*\{[^{}\[\]]*?"type"\s*:\s*"([^"]*)"', 1)
     outer = F.coalesce(j.text(v, "$.type"), F.when(big, sniffed_type(raw)), F.lit("unknown"))
     inner = F.coalesce(j.text(p, "$.type"), F.when(big & (F.length(head_inner) > 0), head_inner))
     output = j.json_of(p, "$.output")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.plans.scan import running, running_count, running_sum
-from tokenloom.schema import MAX_PARSE_BYTES, SNIFF_BYTES
+
+#: Records up to this size always fit into a VARIANT.
+VARIANT_BYTES = 16 * 1024 * 1024
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
@@ -54,7 +56,10 @@ def with_positions(lines: DataFrame) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
-    """The raw-line table: ``path, line_no, byte_offset, byte_len, oversized, raw``."""
+    """The raw-line table: ``path, line_no, byte_offset, byte_len, oversized, complete, raw``.
+
+    ``complete`` is false for a last line that has no line end yet.
+    """
     return (
         with_positions(read_lines(spark, path, glob))
         .where(F.octet_length("raw") > 0)
@@ -64,13 +69,15 @@ def raw_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl")
             "byte_offset",
             F.octet_length("raw").cast("bigint").alias("byte_len"),
             is_oversized(F.col("raw")).alias("oversized"),
+            (F.col("byte_offset") + F.col("framed_bytes") <= F.col("file_size")).alias("complete"),
             "raw",
         )
     )
 
 
 def is_oversized(raw: Column) -> Column:
-    return F.octet_length(raw) > MAX_PARSE_BYTES
+    """Whether VARIANT may refuse the record for its size alone."""
+    return F.octet_length(raw) > VARIANT_BYTES
 
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -87,15 +94,14 @@ _TOP_TYPE = rf'^\s*\{{\s*(?:(?!"type"){_STRING}\s*:\s*{_VALUE}\s*,\s*)*+"type"\s
 
 
 def sniffed_type(raw: Column) -> Column:
-    """The outer ``type`` from the head of a record that is too large to parse."""
-    head = F.substring(raw, 1, SNIFF_BYTES)
-    found = F.regexp_extract(head, _TOP_TYPE, 1)
+    """The outer ``type`` of a record that VARIANT does not take, from its whole text."""
+    found = F.regexp_extract(raw, _TOP_TYPE, 1)
     return F.when(F.length(found) > 0, found)
 
 
 def parsed(raw: Column) -> Column:
-    """The record as VARIANT; NULL when oversized or not JSON."""
-    return F.try_parse_json(F.when(~is_oversized(raw), raw))
+    """The record as VARIANT; NULL when VARIANT does not take it or it is not JSON."""
+    return F.try_parse_json(raw)
 
 
 def recover_records(items: DataFrame, lines: DataFrame, redact=None) -> DataFrame:

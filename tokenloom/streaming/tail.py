@@ -16,7 +16,8 @@ OFFSETS = "path string, next_offset bigint, next_line bigint"
 def new_lines(lines: DataFrame, offsets: DataFrame) -> DataFrame:
     """Lines of :func:`tokenloom.sources.lines.raw_lines` not landed before.
 
-    A file shorter than its known offset was rotated and starts over.
+    A file shorter than its known offset was rotated and starts over.  A last line
+    without a line end may be half written, so it waits for a later poll.
     """
     ends = lines.groupBy("path").agg(F.max(F.col("byte_offset") + F.col("byte_len")).alias("end"))
     known = offsets.select("path", "next_offset").join(ends, "path").select(
@@ -24,8 +25,9 @@ def new_lines(lines: DataFrame, offsets: DataFrame) -> DataFrame:
     )
     return (
         lines.join(known, "path", "left")
+        .where("complete")
         .where(F.col("byte_offset") >= F.coalesce("from_offset", F.lit(0)))
-        .drop("from_offset")
+        .drop("from_offset", "complete")
     )
 
 
