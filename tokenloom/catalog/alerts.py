@@ -10,9 +10,9 @@ from tokenloom import bridge
 from tokenloom.catalog import lake
 from tokenloom.catalog.context import peak_items
 from tokenloom.catalog.cost import priced
-from tokenloom.catalog.content import document_items, document_snaps
+from tokenloom.catalog.content import SIZED, document_items, document_snaps, sized_items
 from tokenloom.catalog.registry import query
-from tokenloom.catalog.residual import residual_points
+from tokenloom.catalog.residual import STEPS, residual_points
 from tokenloom.catalog.secrets import planted
 from tokenloom.catalog.sql import CITEMS, EVT, REQ, priced_sql, q
 from tokenloom.functions import secrets
@@ -183,6 +183,21 @@ def alert_low_entropy(spark, sf_dir):
     )
 
 
+@query(
+    "alert_low_entropy_given_sizes",
+    q(
+        SIZED,
+        "SELECT session_id, turn, 'entropy:'||session_id||':'||CAST(turn AS VARCHAR)||':'||item_id AS dedupe_key, waste AS amount FROM low WHERE waste>=500",
+    ),
+)
+def alert_low_entropy_given_sizes(spark, sf_dir):
+    """The rule over sizes that the table gives."""
+    found = comp.low_information(sized_items(spark, sf_dir), document_snaps(spark, sf_dir))
+    return alerts.low_entropy_content(found, alerts.AlertSettings(low_entropy_tokens=500)).select(
+        "session_id", "turn", "dedupe_key", "amount"
+    )
+
+
 @query(
     "alert_secret_exposure",
     r"""
@@ -201,9 +216,11 @@ def alert_secret_exposure(spark, sf_dir):
     return alerts.secret_exposure(shaped, S).select("line_no", "severity", "dedupe_key")
 
 
-@query("alert_residual_steps")
+@query(
+    "alert_residual_steps",
+    q(STEPS, "SELECT session_id, kt AS turn, 'residual:'||session_id||':'||CAST(kt AS VARCHAR) AS dedupe_key, kg AS amount FROM fold WHERE abs(kg)>=5000"),
+)
 def alert_residual_steps(spark, sf_dir):
-    """The steps themselves are checked by ``residual_steps``."""
     steps = residual.residual_steps(residual_points(spark, sf_dir))
     return alerts.residual_step(steps, S).select("session_id", "turn", "dedupe_key", "amount")
 

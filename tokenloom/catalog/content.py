@@ -99,6 +99,35 @@ def unmeasured_items(spark, sf_dir):
     return comp.unmeasured_items(document_items(spark, sf_dir)).drop("agent")
 
 
+# Sizes taken from the table instead of DEFLATE, so that the rule itself has an oracle.
+SIZED = (
+    DOCS
+    + """,
+sz AS (SELECT d.*, 'claude:'||CAST(seq AS VARCHAR) AS item_id, bytes*(seq%97+3)//100 AS packed FROM d0 d),
+low AS (SELECT s.*, packed*1.0/bytes AS ratio, CAST(round(s.tokens*greatest(0, 1-packed*1.0/bytes)) AS BIGINT) AS waste, t.total
+   FROM sz s JOIN dt t ON t.session_id=s.session_id AND t.turn=s.turn WHERE bytes>=4096 AND packed*1.0/bytes<=0.75)
+"""
+)
+
+
+@lake.table
+def sized_items(spark, sf_dir):
+    sizes = bridge.read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.octet_length("text").cast("bigint").alias("original_bytes")
+    )
+    items = document_items(spark, sf_dir).drop("original_bytes", "compressed_bytes").join(sizes, "seq")
+    return items.withColumn("compressed_bytes", F.floor(F.col("original_bytes") * (F.col("seq") % 97 + 3) / 100))
+
+
+@query(
+    "low_information_given_sizes",
+    q(SIZED, "SELECT session_id, turn, item_id, tokens, round(ratio,6) AS compression_ratio, waste AS waste_score_tokens, round(tokens*1.0/total,6) AS share FROM low"),
+)
+def low_information_given_sizes(spark, sf_dir):
+    out = comp.low_information(sized_items(spark, sf_dir), document_snaps(spark, sf_dir))
+    return out.select("session_id", "turn", "item_id", "tokens", r6("compression_ratio"), "waste_score_tokens", r6("share"))
+
+
 @query("low_information_items")
 def low_information_items(spark, sf_dir):
     """Needs DEFLATE sizes; compared with zlib in the tests."""

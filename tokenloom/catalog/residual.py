@@ -104,11 +104,10 @@ def residual_series(spark, sf_dir):
     return residual_points(spark, sf_dir).drop("agent")
 
 
-@query(
-    "residual_steps",
-    q(
-        SAMPLES,
-        """,
+#: The steps, merged one by one; the last of each run counts.
+STEPS = (
+    SAMPLES
+    + """,
 kn AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY session_id) AS c FROM series WHERE unlogged IS NOT NULL),
 med AS (SELECT session_id, turn, n, c, list_sort(list(unlogged) OVER (PARTITION BY session_id ORDER BY n ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))[3] AS b,
    list_sort(list(unlogged) OVER (PARTITION BY session_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))[3] AS a FROM kn),
@@ -125,6 +124,15 @@ fold AS (
       CASE WHEN s.turn-f.kt<=5 AND sign(s.g)=sign(f.kg) THEN f.kid ELSE f.kid+1 END
     FROM f JOIN st s ON s.session_id=f.session_id AND s.i=f.i+1)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, kid ORDER BY i DESC) AS rn FROM f) WHERE rn=1)
+"""
+)
+
+
+@query(
+    "residual_steps",
+    q(
+        STEPS,
+        """
 SELECT f.session_id, kt AS turn, kb AS from_tokens, ka AS to_tokens, kg AS growth,
   EXISTS (SELECT 1 FROM evt e WHERE e.session_id=f.session_id AND e.kind='compacted' AND e.turn IS NOT NULL AND abs(e.turn-f.kt)<=5) AS near_compaction
 FROM fold f

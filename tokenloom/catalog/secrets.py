@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenloom import bridge
+from tokenloom.catalog import lake
 from tokenloom.catalog.registry import query
 from tokenloom.catalog.sql import q
 from tokenloom.functions import secrets
+from tokenloom.operators import exposure
+from tokenloom.sources import linear_agent
 
 # Every 50th document gets key-shaped text derived from its id appended.
 PLANTED = """
@@ -18,6 +21,20 @@ pl AS (SELECT doc_id, text || CASE WHEN doc_id%50=0 THEN ' id AKIA'||upper(subst
 asg AS (SELECT doc_id, regexp_extract_all(text, '(?i)(\\b[A-Za-z0-9_.-]*(?:password|passwd|secret|api[_-]?key|access[_-]?key|token)[A-Za-z0-9_]*\\s*[=:]\\s*\\\\?["'']?)([^\\s"''\\\\,;(){}<>\\[\\]]{8,})', 2) AS vals, text FROM pl)
 """
 
+#: Occurrences of every kind of each planted text.
+FOUND = (
+    PLANTED
+    + r""",
+fnd AS (SELECT doc_id, kind, n AS occurrences FROM (
+ SELECT doc_id, 'aws-access-key-id' AS kind, len(regexp_extract_all(text,'\b(?:AKIA|ASIA)[0-9A-Z]{16}\b')) AS n FROM pl
+ UNION ALL SELECT doc_id, 'github-token', len(regexp_extract_all(text,'\bgh[pousr]_[A-Za-z0-9]{36,}')) FROM pl
+ UNION ALL SELECT doc_id, 'anthropic-api-key', len(regexp_extract_all(text,'\bsk-ant-[A-Za-z0-9_-]{20,}')) FROM pl
+ UNION ALL SELECT doc_id, 'openai-api-key', len(regexp_extract_all(text,'\bsk-proj-[A-Za-z0-9_-]{15,}')) FROM pl
+ UNION ALL SELECT doc_id, 'environment-secret', len(list_filter(vals, lambda x: length(x)>=12 AND regexp_matches(x,'[A-Za-z]') AND regexp_matches(x,'[0-9]') AND NOT contains(x,'/')
+    AND NOT regexp_matches(x,'(?i)your[_-]|example|changeme|placeholder|dummy|xxxx') AND len(list_distinct(string_split(x,'')))>=8)) FROM asg) WHERE n>0)
+"""
+)
+
 
 def planted(spark, sf_dir):
     d = F.col("doc_id")
@@ -37,16 +54,7 @@ def planted(spark, sf_dir):
 
 @query(
     "secret_scan",
-    q(
-        PLANTED,
-        r"""SELECT doc_id, kind, n AS occurrences FROM (
- SELECT doc_id, 'aws-access-key-id' AS kind, len(regexp_extract_all(text,'\b(?:AKIA|ASIA)[0-9A-Z]{16}\b')) AS n FROM pl
- UNION ALL SELECT doc_id, 'github-token', len(regexp_extract_all(text,'\bgh[pousr]_[A-Za-z0-9]{36,}')) FROM pl
- UNION ALL SELECT doc_id, 'anthropic-api-key', len(regexp_extract_all(text,'\bsk-ant-[A-Za-z0-9_-]{20,}')) FROM pl
- UNION ALL SELECT doc_id, 'openai-api-key', len(regexp_extract_all(text,'\bsk-proj-[A-Za-z0-9_-]{15,}')) FROM pl
- UNION ALL SELECT doc_id, 'environment-secret', len(list_filter(vals, lambda x: length(x)>=12 AND regexp_matches(x,'[A-Za-z]') AND regexp_matches(x,'[0-9]') AND NOT contains(x,'/')
-    AND NOT regexp_matches(x,'(?i)your[_-]|example|changeme|placeholder|dummy|xxxx') AND len(list_distinct(string_split(x,'')))>=8)) FROM asg) WHERE n>0""",
-    ),
+    q(FOUND, "SELECT doc_id, kind, occurrences FROM fnd"),
 )
 def secret_scan(spark, sf_dir):
     found = planted(spark, sf_dir).select("doc_id", F.explode(secrets.scan(F.col("text"))).alias("f"))
@@ -86,3 +94,68 @@ def redacted_records_are_clean(spark, sf_dir):
         .when(F.col("n") < 1, "not counted")
     )
     return back.select("doc_id", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+@lake.table
+def exposed_records(spark, sf_dir):
+    """Planted texts as messages of straight logs; every ninth record is a report, every seventh cannot be read again."""
+    d = F.col("doc_id")
+    block = F.struct(F.lit("input_text").alias("type"), F.col("text"))
+    message = F.struct(F.lit("message").alias("type"), F.lit("user").alias("role"), F.array(block).alias("content"))
+    said = F.to_json(F.struct(F.lit("response_item").alias("type"), message.alias("payload")))
+    raw = F.when(d % 9 == 0, '{"type":"event_msg","payload":{"type":"token_count"}}').otherwise(said)
+    lines = (
+        planted(spark, sf_dir)
+        .join(bridge.read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("session_id")), "doc_id")
+        .select("session_id", (d + 1).alias("line_no"), raw.alias("raw"))
+        .withColumn("byte_len", F.octet_length("raw").cast("bigint"))
+        .withColumn("byte_offset", F.lit(None).cast("bigint"))
+    )
+    # The parser keeps narrow columns; the scan fetches records by their position.
+    parsed = linear_agent.normalise(lines).drop("raw")
+    found = lines.select("session_id", "line_no", F.when(F.col("line_no") % 7 != 1, F.col("raw")).alias("raw"))
+    return parsed.join(found, ["session_id", "line_no"]).withColumn("turn", F.floor((F.col("line_no") - 1) / 9) + 1)
+
+
+@query(
+    "exposure_findings",
+    q(
+        FOUND,
+        """SELECT lang AS session_id, d.doc_id+1 AS line_no, d.doc_id//9+1 AS turn, 'response_item/message' AS event_type, kind, occurrences
+ FROM fnd JOIN documents d ON d.doc_id=fnd.doc_id WHERE d.doc_id%9<>0 AND d.doc_id%7<>0""",
+    ),
+)
+def exposure_findings(spark, sf_dir):
+    """Credentials in records that reach the model, at line starts and after escapes as well."""
+    return exposure.findings(exposed_records(spark, sf_dir)).drop("agent", "severity")
+
+
+@query(
+    "exposure_counts",
+    "SELECT lang AS session_id, count(*) FILTER (WHERE doc_id%7<>0) AS scanned_records, count(*) FILTER (WHERE doc_id%7=0) AS unreadable_records FROM documents WHERE doc_id%9<>0 GROUP BY 1",
+)
+def exposure_counts(spark, sf_dir):
+    return exposure.scan_counts(exposed_records(spark, sf_dir)).drop("agent")
+
+
+@query(
+    "redacted_records",
+    q(
+        PLANTED,
+        r"""SELECT doc_id, sha256(r) AS body_fp, '[REDACTED:environment-secret]' AS password, len(regexp_extract_all(r,'\[REDACTED:[a-z-]+\]')) - len(regexp_extract_all(text,'\[REDACTED:[a-z-]+\]')) + 1 AS n
+ FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+  '\bsk-ant-[A-Za-z0-9_-]{20,}','[REDACTED:anthropic-api-key]','g'),'\bsk-proj-[A-Za-z0-9_-]{15,}','[REDACTED:openai-api-key]','g'),'\bgh[pousr]_[A-Za-z0-9]{36,}','[REDACTED:github-token]','g'),
+  '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b','[REDACTED:aws-access-key-id]','g'),
+  '(?i)(\b[A-Za-z0-9_.-]*(?:password|passwd|secret|api[_-]?key|access[_-]?key|token)[A-Za-z0-9_]*\s*[=:]\s*\\?["'']?)([^\s"''\\,;(){}<>\[\]]{8,})','\1[REDACTED:environment-secret]','g') AS r
+  FROM (SELECT doc_id, 'first line'||chr(10)||CASE WHEN doc_id%3=0 THEN 'AKIA'||upper(substr(md5(CAST(doc_id AS VARCHAR)),1,16))||chr(9) ELSE '' END||text AS text FROM pl))""",
+    ),
+)
+def redacted_records(spark, sf_dir):
+    """Redacted bodies and counts of whole records, with keys planted right after an escaped line end."""
+    d = F.col("doc_id")
+    key = F.when(d % 3 == 0, F.concat(F.lit("AKIA"), F.upper(F.left(F.md5(d.cast("string")), F.lit(16))), F.lit("\t"))).otherwise("")
+    body = F.concat(F.lit("first line\n"), key, F.col("text"))
+    record = F.to_json(F.struct(d.alias("id"), body.alias("body"), F.lit("hunter2hunter2").alias("password")))
+    out = planted(spark, sf_dir).select("doc_id", secrets.redact_record(record).alias("r"))
+    back = out.select("doc_id", F.from_json("r.text", "id bigint, body string, password string").alias("j"), F.col("r.n").alias("n"))
+    return back.select("doc_id", F.sha2("j.body", 256).alias("body_fp"), "j.password", "n")

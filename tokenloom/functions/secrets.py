@@ -75,6 +75,22 @@ def scan(text: Column) -> Column:
     return F.filter(F.array(*counts), lambda s: s["occurrences"] > 0)
 
 
+_STRINGS = r'("(?:[^"\\]|\\.)*+")(\s*:)?'
+
+
+def record_text(raw: Column) -> Column:
+    """The string values of a JSON record as they read without escapes, one a line.
+
+    A member's name precedes its value on the same line, so that ``name: value`` still
+    reads as an assignment.  What is not JSON is taken as it is.
+    """
+    literals = F.regexp_extract_all(raw, F.lit(_STRINGS), F.lit(1))
+    named = F.regexp_extract_all(raw, F.lit(_STRINGS), F.lit(2))
+    decoded = F.from_json(F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]")), "array<string>")
+    shown = F.zip_with(decoded, named, lambda d, c: F.concat(d, F.when(F.length(c) > 0, ": ").otherwise("\n")))
+    return F.coalesce(F.when(F.size(literals) > 0, F.array_join(shown, "")), raw)
+
+
 def redacted(text: Column) -> Column:
     """The text with every credential shape replaced by ``[REDACTED:<kind>]``."""
     out = text

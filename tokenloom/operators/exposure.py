@@ -13,11 +13,12 @@ from tokenloom.schema import SESSION
 def findings(events: DataFrame) -> DataFrame:
     """(kind, occurrences) per record, with turn, line and record type; never a value.
 
-    ``events`` carry ``raw``; only records that reach the model are scanned.
+    ``events`` carry ``raw``; only records that reach the model are scanned, in
+    decoded form, because an escape in front of a key hides where the key begins.
     """
     severity = F.create_map(*[F.lit(x) for pair in secrets.SEVERITY.items() for x in pair])
     found = events.where(occupies_context()).select(
-        *SESSION, "line_no", "turn", "raw_type", F.explode(secrets.scan(F.col("raw"))).alias("f")
+        *SESSION, "line_no", "turn", "raw_type", F.explode(secrets.scan(secrets.record_text(F.col("raw")))).alias("f")
     )
     return found.select(
         *SESSION,

@@ -13,7 +13,6 @@ from tokenloom.sources.lines import read_lines, with_positions
 from tokenloom.sources.profile import AgentProfile
 
 
-
 @dataclass(frozen=True)
 class LogTables:
     sessions: DataFrame
@@ -21,14 +20,20 @@ class LogTables:
     turns: DataFrame
 
 
-def ingest(spark: SparkSession, agent: AgentProfile, path: str | list[str], with_content: bool = False) -> LogTables:
-    """Parse every log below ``path``.
+def ingest(
+    spark: SparkSession,
+    agent: AgentProfile,
+    path: str | list[str],
+    with_content: bool = False,
+    glob: str = "*.jsonl",
+) -> LogTables:
+    """Parse every log below ``path`` whose file name matches ``glob``.
 
     Lines are parsed where they are read and only the narrow event columns are
     kept; numbering, turn assignment and everything after work on those.  Raw
     text is never shuffled.
     """
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, glob)
     sessions = stage(agent.inventory(lines))
     parsed = agent.normalise(
         lines.select(
