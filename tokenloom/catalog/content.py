@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tokenloom import bridge
 from tokenloom.catalog import lake
 from tokenloom.catalog.context import peak_items
 from tokenloom.catalog.corpus import facts
+from tokenloom.catalog.ingest import LL, linear_parsed
 from tokenloom.catalog.lake import r6
 from tokenloom.catalog.registry import query
 from tokenloom.catalog.sql import CITEMS, EVT, q
@@ -17,6 +20,7 @@ from tokenloom.operators import composition as comp
 from tokenloom.operators import instructions, transcript
 from tokenloom.plans.skew import top_k_per_group
 from tokenloom.schema import SESSION
+from tokenloom.session import ensure_checkpoint_dir
 from tokenloom.sinks import archive, export, feed
 
 # --- documents as items: language = session, source = turn -------------------
@@ -160,6 +164,34 @@ def doctor_duplicates(spark, sf_dir):
     return totals.join(shown, keys)
 
 
+@query(
+    "doctor_panel",
+    q(
+        SIZED,
+        """SELECT i.session_id, i.turn, i.unmeasured_items, coalesce(g.n,0) AS duplicate_groups, coalesce(g.r,0) AS repeated_tokens, coalesce(l.n,0) AS low_information_items, coalesce(l.w,0) AS waste_score_tokens
+ FROM (SELECT session_id, turn, count(*) FILTER (WHERE fp IS NULL) AS unmeasured_items FROM d0 GROUP BY 1,2) i
+ LEFT JOIN (SELECT session_id, turn, count(*) AS n, CAST(sum(total_tokens-first_tokens) AS BIGINT) AS r FROM dg GROUP BY 1,2) g ON g.session_id=i.session_id AND g.turn=i.turn
+ LEFT JOIN (SELECT session_id, turn, count(*) AS n, CAST(sum(waste) AS BIGINT) AS w FROM low GROUP BY 1,2) l ON l.session_id=i.session_id AND l.turn=i.turn""",
+    ),
+)
+def doctor_panel(spark, sf_dir):
+    """The figures of the panel for every turn; sizes as the table gives them."""
+    return comp.diagnosis(sized_items(spark, sf_dir), document_snaps(spark, sf_dir)).drop("agent")
+
+
+@query(
+    "doctor_low_information",
+    q(
+        SIZED,
+        "SELECT session_id, turn, item_id, waste AS waste_score_tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn ORDER BY waste DESC, seq) AS rn FROM low) WHERE rn<=8",
+    ),
+)
+def doctor_low_information(spark, sf_dir):
+    """The panel's eight worst items of every turn."""
+    worst = comp.worst_items(sized_items(spark, sf_dir), document_snaps(spark, sf_dir))
+    return worst.select("session_id", "turn", "item_id", "waste_score_tokens")
+
+
 @query(
     "exact_recount_coverage",
     """SELECT CASE WHEN role='system' THEN 'opaque' WHEN turn=0 THEN 'unavailable' ELSE 'counted' END AS status, count(*) AS items, CAST(sum(CASE WHEN role<>'system' AND turn<>0 THEN len(string_split(text,' ')) END) AS BIGINT) AS tokens FROM conversations GROUP BY 1""",
@@ -223,6 +255,27 @@ def instruction_file_status(spark, sf_dir):
     return instructions.compare_files(recorded, files, max_bytes=4 * 1024 * 1024).select("line_no", "status", "path")
 
 
+@query(
+    "instruction_files_read",
+    """SELECT CAST(conv_id AS VARCHAR) AS folder, TRUE AS regular, CAST(strlen(body) AS BIGINT) AS bytes, sha256(body) AS digest, length(body) AS chars
+ FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn)||chr(10) AS body FROM conversations GROUP BY 1)""",
+)
+def instruction_files_read(spark, sf_dir):
+    """Every conversation written as a file of the shared folder; size and digest of the files."""
+    root = f"{ensure_checkpoint_dir(spark)}/notes-{uuid.uuid4().hex}"
+    (
+        bridge.read(spark, sf_dir, "conversations")
+        .select(F.col("conv_id").alias("conv"), "turn", F.col("text").alias("value"))
+        .repartition("conv")
+        .sortWithinPartitions("conv", "turn")
+        .select("conv", "value")
+        .write.partitionBy("conv")
+        .text(root, lineSep="\n")
+    )
+    files = instructions.read_instruction_files(spark, root, glob="*.txt")
+    return files.select(F.regexp_extract("path", "conv=([^/]+)", 1).alias("folder"), "regular", "bytes", "digest", "chars")
+
+
 # --- transcripts -------------------------------------------------------------
 
 
@@ -242,6 +295,63 @@ def transcript_page(spark, sf_dir):
     return transcript.page(numbered, 10, 10).drop("agent", "truncated")
 
 
+@query(
+    "transcript_page_texts",
+    q(
+        LL,
+        """,
+lf AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq)-1 AS idx, repeat('x',CAST(size AS INTEGER)) AS f FROM ll WHERE w IN ('comp','call','result','msg','think','tools','meta')),
+lx AS (SELECT *, CASE w WHEN 'comp' THEN 'm' WHEN 'call' THEN '{"command":["run","f'||CAST(k%6 AS VARCHAR)||'.py"],"pad":"'||f||'"}' WHEN 'msg' THEN 'p'||CAST(k AS VARCHAR)||chr(10)||f
+  WHEN 'meta' THEN f WHEN 'think' THEN nullif(f||CASE WHEN k%2=0 THEN chr(10)||'[encrypted reasoning]' ELSE '' END,'') WHEN 'result' THEN CASE WHEN k%5=0 THEN '[inline image]'||chr(10)||'t'||CAST(k AS VARCHAR) ELSE nullif(f,'') END END AS text FROM lf WHERE idx BETWEEN 10 AND 19)
+SELECT session_id, idx AS index, CASE WHEN length(text)>2000 THEN left(text,2000)||'…' ELSE coalesce(text,'') END AS text, coalesce(length(text)>2000,FALSE) AS truncated, text IS NULL AS unavailable,
+  CASE WHEN w='msg' THEN 'p'||CAST(k AS VARCHAR)||'/'||CASE WHEN size>1000 THEN left(f,1000)||'…' ELSE f END END AS part_texts,
+  CASE WHEN w='msg' THEN 1+length(CAST(k AS VARCHAR))+size END AS part_chars, w='msg' AND size>1000 AS part_truncated FROM lx""",
+    ),
+)
+def transcript_page_texts(spark, sf_dir):
+    """Entries 10 to 19 of every log with their texts; a message's two blocks share the budget."""
+    keys = ["session_id", "seq"]
+    texts = bridge.linear_lines(spark, sf_dir).select(
+        "session_id",
+        (F.col("line_no") - 1).alias("seq"),
+        transcript.linear_text(F.col("raw")).alias("text"),
+        transcript.linear_block_roles(F.col("raw")).alias("blocks"),
+    )
+    events = linear_parsed(spark, sf_dir).drop("content").withColumn("turn", F.lit(None).cast("bigint"))
+    # Number first: only the page's records are joined to their texts.
+    shown = transcript.visible(events).where(F.col("index").between(10, 19))
+    page = transcript.page(shown.join(texts, keys, "left"), 10, 10)
+    parts = F.when(F.size("parts") > 0, F.col("parts"))
+    return page.select(
+        "session_id", "index", "text", "truncated", "unavailable",
+        F.array_join(parts["text"], "/").alias("part_texts"),
+        F.aggregate(parts["chars"], F.lit(0).cast("bigint"), lambda a, b: a + b).alias("part_chars"),
+        F.exists(F.coalesce("parts", F.array()), lambda p: p["truncated"]).alias("part_truncated"),
+    )
+
+
+@query(
+    "message_block_roles",
+    """SELECT doc_id, n, CASE WHEN doc_id%4=0 THEN 'assistant' WHEN n=0 AND doc_id%3=0 THEN 'developer' ELSE 'user' END AS role, sha256(CASE WHEN n=0 AND doc_id%3=0 THEN '<environment_context>'||text ELSE text END) AS fp
+ FROM (SELECT doc_id, 'a'||text AS text, unnest([0,1]) AS n FROM documents)""",
+)
+def message_block_roles(spark, sf_dir):
+    """Two blocks a message: an injected first block is not the user's word."""
+    d = F.col("doc_id")
+    text = F.concat(F.lit("a"), F.col("text"))
+    block = lambda t: F.struct(F.lit("input_text").alias("type"), t.alias("text"))
+    first = F.when(d % 3 == 0, F.concat(F.lit("<environment_context>"), text)).otherwise(text)
+    message = F.struct(
+        F.lit("message").alias("type"),
+        F.when(d % 4 == 0, "assistant").otherwise("user").alias("role"),
+        F.array(block(first), block(text)).alias("content"),
+    )
+    raw = F.to_json(F.struct(F.lit("response_item").alias("type"), message.alias("payload")))
+    docs = bridge.read_spread(spark, sf_dir, "documents")
+    blocks = docs.select("doc_id", F.posexplode(transcript.linear_block_roles(raw)).alias("n", "b"))
+    return blocks.select("doc_id", "n", "b.role", F.sha2("b.text", 256).alias("fp"))
+
+
 @query(
     "transcript_text_graph",
     """

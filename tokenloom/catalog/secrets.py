@@ -138,6 +138,20 @@ def exposure_counts(spark, sf_dir):
     return exposure.scan_counts(exposed_records(spark, sf_dir)).drop("agent")
 
 
+@query(
+    "doctor_secrets",
+    q(
+        FOUND,
+        """SELECT session_id, line_no, kind, occurrences FROM (SELECT lang AS session_id, d.doc_id+1 AS line_no, kind, occurrences, row_number() OVER (PARTITION BY lang ORDER BY d.doc_id, kind) AS rn
+ FROM fnd JOIN documents d ON d.doc_id=fnd.doc_id WHERE d.doc_id%9<>0 AND d.doc_id%7<>0) WHERE rn<=12""",
+    ),
+)
+def doctor_secrets(spark, sf_dir):
+    """The panel's first twelve findings of every session."""
+    first = exposure.first_findings(exposure.findings(exposed_records(spark, sf_dir)))
+    return first.select("session_id", "line_no", "kind", "occurrences")
+
+
 @query(
     "redacted_records",
     q(

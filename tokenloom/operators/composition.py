@@ -262,3 +262,27 @@ def low_information(items: DataFrame, snapshots: DataFrame) -> DataFrame:
 def unmeasured_items(items: DataFrame) -> DataFrame:
     """Items per turn whose content could not be fingerprinted."""
     return items.groupBy(*TURN).agg(F.count_if(F.col("fp").isNull()).alias("unmeasured_items"))
+
+
+def diagnosis(items: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Repeats, low information and unmeasured items of every turn, in figures."""
+    repeats = duplicate_groups(items, snapshots).groupBy(*TURN).agg(
+        F.count(F.lit(1)).alias("duplicate_groups"), F.sum("repeated_tokens").alias("repeated_tokens")
+    )
+    low = low_information(items, snapshots).groupBy(*TURN).agg(
+        F.count(F.lit(1)).alias("low_information_items"), F.sum("waste_score_tokens").alias("waste_score_tokens")
+    )
+    counts = ["duplicate_groups", "repeated_tokens", "low_information_items", "waste_score_tokens"]
+    return (
+        unmeasured_items(items)
+        .join(repeats, TURN, "left")
+        .join(low, TURN, "left")
+        .select(*TURN, "unmeasured_items", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts])
+    )
+
+
+def worst_items(items: DataFrame, snapshots: DataFrame, k: int = 8) -> DataFrame:
+    """The ``k`` items of each turn that waste most; earlier items first on ties."""
+    return top_k_per_group(
+        low_information(items, snapshots), TURN, [F.col("waste_score_tokens").desc(), F.col("seq")], k, spread=F.col("seq")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import secrets
 from tokenloom.operators.turns import occupies_context
+from tokenloom.plans.skew import top_k_per_group
 from tokenloom.schema import SESSION
 
 
@@ -37,3 +38,8 @@ def scan_counts(events: DataFrame) -> DataFrame:
         F.count("raw").alias("scanned_records"),
         F.count_if(F.col("raw").isNull()).alias("unreadable_records"),
     )
+
+
+def first_findings(found: DataFrame, k: int = 12) -> DataFrame:
+    """The first ``k`` findings of every session in log order."""
+    return top_k_per_group(found, SESSION, [F.col("line_no"), F.col("kind")], k, spread=F.col("line_no"))

@@ -36,9 +36,11 @@ def instruction_drift(events: DataFrame) -> DataFrame:
     )
 
 
-def read_instruction_files(spark: SparkSession, path: str) -> DataFrame:
-    """Digest and size of today's instruction files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def read_instruction_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Digest and size of today's instruction files below ``path`` whose name matches ``glob``."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    )
     return files.select(
         F.regexp_replace("path", "^file:", "").alias("path"),
         F.lit(True).alias("regular"),

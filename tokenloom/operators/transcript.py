@@ -13,7 +13,7 @@ from tokenloom.sources import variant as j
 from tokenloom.sources.graph_agent import ATTACHMENT_KEYS
 
 PAGE_DEFAULT = 40
-PAGE_TEXT_CHARS, ENTRY_TEXT_CHARS, LABEL_CHARS = 2_000, 200_000, 60
+PAGE_TEXT_CHARS, LABEL_CHARS = 2_000, 60
 
 # Placeholders for content that has no text.
 IMAGE = "[inline image]"
@@ -202,10 +202,31 @@ def visible(events: DataFrame) -> DataFrame:
 def page(numbered: DataFrame, offset: int, limit: int = PAGE_DEFAULT, budget: int = PAGE_TEXT_CHARS) -> DataFrame:
     """Entries ``offset .. offset + limit`` of every session given.
 
-    ``numbered`` carries ``text``; only the page's texts are shortened and returned.
+    ``numbered`` carries ``text`` and may carry ``blocks`` (``array<struct<role, text>>``,
+    see :func:`linear_block_roles`).  Only the page's texts are shortened and returned.
+    An entry with blocks reads as its blocks joined by line ends, and the blocks share
+    the budget evenly: ``parts`` holds each with its whole length.
     """
     limit = max(1, limit)
     part = numbered.where(F.col("index").between(offset, offset + limit - 1))
+    said = F.col("text")
+    extra = []
+    if "blocks" in numbered.columns:
+        each = F.floor(F.lit(budget) / F.greatest(F.size("blocks"), F.lit(1))).cast("int")
+        said = F.when(F.size("blocks") > 0, F.array_join(F.col("blocks.text"), "\n")).otherwise(F.col("text"))
+        shortened = F.transform(
+            "blocks",
+            lambda b: F.struct(
+                b["role"].alias("role"),
+                F.length(b["text"]).cast("bigint").alias("chars"),
+                (F.length(b["text"]) > each).alias("truncated"),
+                F.when(F.length(b["text"]) > each, F.concat(F.left(b["text"], each), F.lit("…")))
+                .otherwise(b["text"])
+                .alias("text"),
+            ),
+        )
+        extra = [F.coalesce(shortened, F.array().cast("array<struct<role:string,chars:bigint,truncated:boolean,text:string>>")).alias("parts")]
+    part = part.withColumn("text", said)
     full = F.coalesce("text", F.when(F.col("kind") == "message", F.col("preview")), F.lit(""))
     return part.select(
         *SESSION,
@@ -218,6 +239,7 @@ def page(numbered: DataFrame, offset: int, limit: int = PAGE_DEFAULT, budget: in
         (F.length(full) > budget).alias("truncated"),
         F.col("text").isNull().alias("unavailable"),
         F.coalesce("is_error", F.lit(False)).alias("error"),
+        *extra,
     )
 
 
