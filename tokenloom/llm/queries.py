@@ -85,12 +85,62 @@ def op8(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op9_license_scan")
+def _license_sql() -> str:
+    """Every line against every template, without size bounds."""
+    rows = ", ".join(f"('{name}', '{notice}')" for name, notice in license_scan.TEMPLATES.items())
+    pairs = lambda text: (
+        r"regexp_extract_all(lower(" + text + r"), '[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*')"
+    )
+    return f"""
+    WITH lic(name, notice) AS (VALUES {rows}),
+    lines AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               unnest(range(len(string_split(text, chr(10))))) AS line_no
+        FROM documents WHERE text IS NOT NULL
+    ), words AS (
+        SELECT doc_id, line_no, NULL AS name, {pairs("line")} AS ws FROM lines
+        UNION ALL SELECT NULL, NULL, name, {pairs("notice")} FROM lic
+    ), grams AS (
+        SELECT doc_id, line_no, name, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g
+        FROM words WHERE len(ws) > 1
+    ), scores AS (
+        SELECT l.doc_id, l.line_no, t.name AS license,
+               CAST(2 AS DOUBLE) * len(list_intersect(l.g, t.g)) / (len(l.g) + len(t.g)) AS dice
+        FROM grams l JOIN grams t ON l.name IS NULL AND t.name IS NOT NULL
+    )
+    SELECT doc_id, line_no, license, dice FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) AS n FROM scores
+    ) WHERE n = 1 AND dice >= 0.8
+    """
+
+
+@query("op9_license_scan", _license_sql())
 def op9(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op10_embedding_near_dedup")
+@query(
+    "op10_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), link AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+    ), reach AS (
+        SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+    ), low AS (
+        SELECT a, min(b) AS m FROM reach GROUP BY a
+    ), near AS (
+        SELECT a, count(*) AS n FROM link GROUP BY a
+    )
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+           vec_id <= coalesce(m, vec_id) AS kept
+    FROM embeddings LEFT JOIN near ON near.a = vec_id LEFT JOIN low ON low.a = vec_id
+    """,
+)
 def op10(spark, sf_dir):
     return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
 
