@@ -19,6 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that travel to Python together.
+BATCH_ROWS = 1_000
+
+
+def short_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches hold at most ``BATCH_ROWS`` rows.
+
+    The memory of a Python worker follows its largest batch of whole texts.  A session
+    that asks for fewer rows keeps its setting.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return docs
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import gram_hashes
+from tokenloom.llm.common import gram_hashes, short_batches
 from tokenloom.session import stage
 
 #: Bytes of benchmark text that go to the tasks at once.
@@ -168,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, rate: float = RA
                 ]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "edits", "begin", "end"])
 
-        found = docs.select("doc_id", "text").mapInPandas(run, schema)
+        found = short_batches(docs).select("doc_id", "text").mapInPandas(run, schema)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out
 

@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.common import short_batches
 from tokenloom.llm.learning import adam
 
 KINDS = ("email", "ip", "card", "phone")
@@ -324,7 +325,7 @@ def train(docs: DataFrame, rows: int = ROWS) -> Field:
                         out.append((kind, text[low:start], text[start:end], text[end:high]))
             yield pd.DataFrame(out, columns=["kind", "left", "value", "right"])
 
-    found = docs.select("text").mapInPandas(run, "kind string, left string, value string, right string").distinct()
+    found = short_batches(docs).select("text").mapInPandas(run, "kind string, left string, value string, right string").distinct()
     order = F.xxhash64("value", "left", "right", "kind")
     found = found.orderBy(order, "kind", "left", "value", "right").limit(rows).collect()
     rng = Random(5)
@@ -386,7 +387,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             yield out.assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", *out.columns]]
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return short_batches(docs).select("doc_id", "text").mapInPandas(run, schema)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -408,7 +409,7 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = [None if t is None else masked(t, all_spans(t, field)[1]) for t in batch["text"]]
             yield batch.assign(text=pd.Series(texts, batch.index, object))
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = short_batches(docs).mapInPandas(run, docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         counted = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import encode, mix
+from tokenloom.llm.common import encode, mix, short_batches
 from tokenloom.llm.learning import adam, fold, sample, sigmoid
 from tokenloom.llm.repeats import word_hashes, word_spans
 
@@ -106,15 +106,15 @@ def context_sums(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": [rows["part"].iloc[0]], "sums": [total.tobytes()]})
 
     wire = "part int, sums binary"
-    parts = docs.select("text").mapInPandas(run, wire).groupBy("part").applyInPandas(add, wire).collect()
+    parts = short_batches(docs).select("text").mapInPandas(run, wire).groupBy("part").applyInPandas(add, wire).collect()
     table = np.zeros((FORMS, SIZE + 1), np.int64)
     for row in parts:
         table[row["part"] : row["part"] + PART] = np.frombuffer(row["sums"], np.int64).reshape(-1, SIZE + 1)
     return (table[:, :SIZE] / np.maximum(table[:, SIZE:], 1)).astype(np.float32)
 
 
-def _slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Consecutive texts of about a bounded size together."""
+def _slices(texts: list[bytes], size: int = 1 << 17) -> Iterator[list[bytes]]:
+    """Consecutive texts of about a bounded size together; a slice's pairs take some 200 bytes a byte of text."""
     kept, held = [], 0
     for text in texts:
         kept.append(text)
@@ -210,7 +210,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             result = network.score(pools(encode(batch["text"]), vectors))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": result})
 
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    scored = short_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
     held = F.coalesce(fold("doc_id", FOLDS) == HELD, F.lit(True)).alias("held_out")
     return scored.select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -224,4 +224,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch[network.score(pools(encode(batch["text"]), vectors)) >= THRESHOLD]
 
-    return docs.mapInPandas(run, docs.schema)
+    return short_batches(docs).mapInPandas(run, docs.schema)

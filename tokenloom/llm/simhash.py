@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import LOWER, encode, mix
+from tokenloom.llm.common import LOWER, encode, mix, short_batches
 from tokenloom.llm.components import components
 from tokenloom.session import stage
 
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int, lanes: int = 1) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], **{n: prints[:, i] for i, n in enumerate(names)}})
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, schema)
+    return short_batches(docs).select("doc_id", "text").where("doc_id is not null").mapInPandas(run, schema)
 
 
 def _bits(value: Column, start: int, width: int) -> Column:
