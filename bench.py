@@ -41,6 +41,8 @@ HEADLINE = [
     "content_compressed_sizes",
     "secret_scan",
     "redact_text",
+    "e2e_linear_turns",
+    "e2e_graph_turns",
     "ingest_graph_events",
     "ingest_linear_events",
     "scan_log_files",
