@@ -62,3 +62,49 @@ def test_near_copies_are_found(spark):
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(pairs) > 50 and np.mean([found[2 * i + 1] == 2 * i for i in pairs]) > 0.85
     assert all(found[2 * i + 1] // 2 == i for i in range(150))
+
+
+def test_near_copies_by_narrow_strata(spark):
+    """Pairs just above 0.8 are linked, pairs below are not: five-word Jaccard by brute force."""
+    import random
+
+    rng, strata = random.Random(11), {"above": [], "below": []}
+    while min(map(len, strata.values())) < 150:
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+        v = list(w)
+        for k in rng.sample(range(5, 295), rng.randint(6, 13)):
+            v[k] = f"e{rng.randint(0, 10**6)}"
+        a, b = ({tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (w, v))
+        jaccard = len(a & b) / len(a | b)
+        name = "above" if 0.8 <= jaccard < 0.82 else "below" if 0.7 <= jaccard < 0.79 else None
+        if name:
+            strata[name].append((" ".join(w), " ".join(v)))
+    for name, pairs in strata.items():
+        rows = [(2 * i + k, pair[k]) for i, pair in enumerate(pairs) for k in (0, 1)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+        linked = np.mean([found[2 * i + 1] == 2 * i for i in range(len(pairs))])
+        assert linked > 0.99 if name == "above" else linked == 0
+
+
+def test_near_copies_in_large_buckets(spark):
+    """Buckets over the limit give the groups of all pairs."""
+    import random
+
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    rows = [(0, " ".join(base)), (90, None), (91, " "), (92, "two words"), (93, "TWO  words")]
+    for i in range(1, 40):
+        v = list(base)
+        for k in rng.sample(range(120), 1 + i % 4):
+            v[k] = f"e{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(v)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows if (w := (t or "").lower().split())}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = {i: i for i, _ in rows} | {91: 90}
+    for _ in rows:
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (256, 3):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, hot=hot).collect()} == want
