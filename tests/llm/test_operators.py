@@ -214,6 +214,39 @@ def test_splitting_tree_gives_every_draw_to_one_shard(spark, corpus):
     assert {sum(r["blocks"] for r in rows if r["shard"] == k) for k in range(8)} == {128}
 
 
+def test_mix_is_the_sum_of_draws_from_the_tree(spark, corpus, monkeypatch):
+    docs = frame(spark, corpus)
+    mixed = mixing.mix_sources(docs, block_words=50)
+    want = sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["taken"]) for r in mixed.collect())
+    asked = []
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda q, shards, seed: asked.append(shards) or tree(q, shards, seed))
+    rows = mixing.deal_sources(docs, block_words=50, shard_words=1000).collect()
+    assert sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["taken"]) for r in rows) == want
+    assert asked == [-(-sum(r["taken"] for r in rows) // 1000)] and asked[0] > 3
+    assert all(r["taken"] == sum(d["words"] for d in r["draws"]) for r in rows)
+    assert {d["shard"] for r in rows for d in r["draws"]} == set(range(asked[0]))
+    # Draws of one document in one shard still have places of their own.
+    assert all(len({d["place"] for d in r["draws"]}) == len(r["draws"]) for r in rows)
+    assert mixing.deal_sources(frame(spark, [])).count() == 0
+
+
+def test_mixing_query_and_stage_draw_from_the_tree(spark, monkeypatch):
+    import corpus_pipeline
+    from tokenloom.llm.queries import op2
+
+    asked = []
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: asked.append(1) or tree(*a))
+    sf = "/root/testdata/sf0.001"
+    rows = op2(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    staged = corpus_pipeline.mixing_stage(spark, docs, sf).collect()
+    assert asked == [1, 1] and len(rows) == len(staged) == docs.count()
+    for r in rows + staged:
+        assert r["taken"] == sum(d["words"] for d in r["draws"])
+
+
 def test_licences(spark):
     text = "Some prose here.\nlicensed under THE apache license version 2.0\nunder the\n\nReleased under the MIT License."
     rows = [(1, text, "a"), (2, None, "a"), (3, "", "a"), (4, "word " * 5000, "a"), (None, "Licensed under CC BY-NC 4.0.", "a")]

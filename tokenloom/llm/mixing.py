@@ -30,6 +30,8 @@ from tokenloom.session import stage
 
 #: Words of a block, and how often a source may be repeated.
 BLOCK_WORDS, CAP = 20_000, 3
+#: Words of a shard, so the number of shards grows with the mix.
+SHARD_WORDS = 1_000_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -210,22 +212,48 @@ def shard_quotas(mixed: DataFrame, shards: int, seed: int = 1) -> DataFrame:
     return counts.select("shard", "source", (last - F.col("blocks") + 1).alias("first"), last.alias("last"))
 
 
+def block_draws(mixed: DataFrame, shards: int, seed: int = 1) -> DataFrame:
+    """``(source, rank, drawn)``: pass and shard of every draw of a block, in the order of the passes."""
+    blocks = mixed.groupBy(F.col("source").alias("s")).agg(F.max("rank").alias("n_blocks"))
+    quotas = shard_quotas(mixed, shards, seed).where("last >= first")
+    draws = quotas.select("source", "shard", F.explode(F.sequence("first", "last")).alias("draw"))
+    draws = draws.join(stage(blocks), draws["source"].eqNullSafe(F.col("s"))).drop("s")
+    lap = F.floor((F.col("draw") - 1) / F.col("n_blocks")).cast("int")
+    draws = draws.select("source", "shard", "n_blocks", "draw", lap.alias("pass"))
+    draws = draws.withColumn("rank", F.col("draw") - F.col("pass") * F.col("n_blocks"))
+    return draws.groupBy("source", "rank").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("drawn"))
+
+
+def deal(mixed: DataFrame, shards: int, seed: int = 1) -> DataFrame:
+    """``mixed`` with ``draws``, that is shard, place in it and words of each time a document is drawn.
+
+    ``taken`` is the sum of the words of the draws.
+    """
+    drawn = stage(block_draws(mixed, shards, seed)).select(
+        F.col("source").alias("s"), F.col("rank").alias("r"), "drawn"
+    )
+    placed = mixed.join(drawn, mixed["source"].eqNullSafe(F.col("s")) & (mixed["rank"] == F.col("r")), "left")
+    extra = F.col("taken") - F.col("passes") * F.col("size")
+    draw = lambda d: F.struct(
+        d["shard"].alias("shard"),
+        F.xxhash64(F.lit(seed + 3), "order", d["pass"]).alias("place"),
+        F.when(d["pass"] < F.col("passes"), F.col("size")).otherwise(extra).cast("long").alias("words"),
+    )
+    none = F.array().cast("array<struct<shard:int,place:bigint,words:bigint>>")
+    draws = F.coalesce(F.filter(F.transform("drawn", draw), lambda d: d["words"] > 0), none)
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
+    return placed.withColumn("draws", draws).withColumn("taken", taken).select(*mixed.columns, "draws")
+
+
+def deal_sources(
+    docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 1
+) -> DataFrame:
+    """The mix of :func:`mix_sources`, dealt to as many shards as its words need."""
+    mixed = stage(mix_sources(docs, block_words, seed))
+    words = mixed.agg(F.coalesce(F.sum("taken"), F.lit(0)).alias("n")).first()["n"]
+    return deal(mixed, max(1, math.ceil(words / shard_words)), seed)
+
+
 def shard_of(mixed: DataFrame, shards: int, seed: int = 1) -> DataFrame:
     """The draws of every document: ``(doc_id, source, shard, place, words)``, one row for each time it is taken."""
-    quotas = stage(shard_quotas(mixed, shards, seed))
-    blocks = mixed.groupBy("source").agg(F.max("rank").alias("n_blocks"))
-    extra = F.col("taken") - F.col("passes") * F.col("size")
-    draws = mixed.join(stage(blocks).withColumnRenamed("source", "s"), mixed["source"].eqNullSafe(F.col("s"))).drop("s")
-    draws = draws.select(
-        "doc_id", "source", "size", "order", "rank", "n_blocks", extra.alias("extra"), "passes",
-        F.explode(F.sequence(F.lit(0), F.col("passes").cast("int"))).alias("pass"),
-    )
-    words = F.when(F.col("pass") < F.col("passes"), F.col("size")).otherwise(F.col("extra"))
-    draws = draws.withColumn("words", words).where("words > 0")
-    draws = draws.withColumn("draw", F.col("pass") * F.col("n_blocks") + F.col("rank"))
-    ranges = F.collect_list(F.struct("first", "last", "shard"))
-    by_source = stage(quotas.where("last >= first").groupBy(F.col("source").alias("s")).agg(ranges.alias("ranges")))
-    found = draws.join(by_source, draws["source"].eqNullSafe(F.col("s"))).drop("s")
-    shard = F.filter("ranges", lambda r: F.col("draw").between(r["first"], r["last"]))[0]["shard"]
-    place = F.xxhash64(F.lit(seed + 3), "order", "pass")
-    return found.select("doc_id", "source", shard.alias("shard"), place.alias("place"), "words")
+    return deal(mixed, shards, seed).select("doc_id", "source", F.inline("draws"))

@@ -76,8 +76,8 @@ def op6(spark, sf_dir):
 
 @query("op2_mixing")
 def op2(spark, sf_dir):
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.deal_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "draws")
 
 
 @query("op8_decontamination")
