@@ -339,6 +339,31 @@ def test_pii_query_and_redaction(spark):
     assert clean[101]["text"] is None and clean[3]["n_chars"] == len(clean[3]["text"])
 
 
+SPELLED = ["und.34 at mail7 dot example dot com", "und.34(at)mail7.example.com", "und.34 (at) mail7.example.com", "und.34[at]mail7[dot]example[dot]com"]
+
+
+def test_spelled_out_addresses(spark, monkeypatch):
+    rng, rows = random.Random(9), []
+    kinds = ["+1 (0{:02}) 555-77{:02}", "und.{}@mail{}.example.com", "10.0.{}.{}"]
+    for i in range(120):
+        lead = [" ".join(rng.choice("some more plain words stand here".split()) for _ in range(4)) for _ in range(2)]
+        rows.append((i, f" {lead[0]} ".join(["say", kinds[i % 3].format(i % 90, 10 + i % 80), lead[1]]), "a"))
+    seen, fit = [], pii.fit
+    monkeypatch.setattr(pii, "fit", lambda examples: seen.extend(examples) or fit(examples))
+    field = pii.train(frame(spark, rows))
+    # Every kind has segments that the field can hold, base and damaged.
+    gold = [t for _, truth in seen for t in truth]
+    assert all(b - a <= pii.LONGEST for a, b, _ in gold) and len(gold) == 240
+    assert [sum(k == n for *_, k in gold) for n in range(3)] == [80, 80, 0]
+    text = lambda a: f"please write some words to {a} when you stand here"
+    for a in SPELLED:
+        assert pii.all_spans(text(a), field)[1] == [(27, 27 + len(a), "email")], a
+    assert pii.all_spans("plain words stand at home and here", field)[1] == []
+    more = rows + [(200 + i, text(a), "a") for i, a in enumerate(SPELLED)]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, more)).collect()}
+    assert {clean[200 + i] for i in range(len(SPELLED))} == {text("[EMAIL]")}
+
+
 def naive_cosine(vectors):
     good = {i: v for i, v in vectors if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     unit = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v in good.items()}

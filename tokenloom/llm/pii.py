@@ -36,14 +36,16 @@ from tokenloom.llm.common import short_batches
 from tokenloom.llm.learning import adam
 
 KINDS = ("email", "ip", "card", "phone")
-ROWS, LONGEST, AROUND = 400, 9, 3
+ROWS, LONGEST, AROUND = 400, 24, 3
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]| at (?=\S+ dot )")
+#: A spelled-out host is part of its trigger, so that a stretch never ends inside of it.
+_HOST = r"\S{1,255}(?: dot \S{1,255})+"
+_TRIGGER = re.compile(rf"[0-9@]|[(\[{{]\s?at\s?[)\]}}](?:\s?{_HOST})?| at {_HOST}")
 
 Span = tuple[int, int, str]
 
@@ -140,6 +142,9 @@ def _shape(token: str) -> str:
     return " " if token.isspace() else token
 
 
+_SPELLED = frozenset(["at", "dot", *"()[]{}"])
+
+
 def features(tokens: list[str], shapes: list[str], i: int, j: int) -> tuple[str, ...]:
     """Features of the tokens ``i .. j - 1`` as one segment; () where a segment cannot be an entity."""
     first, last = tokens[i], tokens[j - 1]
@@ -152,6 +157,10 @@ def features(tokens: list[str], shapes: list[str], i: int, j: int) -> tuple[str,
     shape = "".join("a" if s == "a" else s[0] if s[0] == "9" else s for s in shapes[i:j])
     size = len(number)
     letters = sum(s == "a" for s in shapes[i:j])
+    ats = sum(s in ("at", "@") for s in shapes[i:j])
+    dots = sum(s in ("dot", ".") for s in shapes[i:j])
+    # Blanks that do not stand beside a spelled-out mark.
+    loose = sum(s == " " and not {shapes[k - 1], shapes[k + 1]} & _SPELLED for k, s in enumerate(shapes[i:j], i))
     return (
         f"shape={shape}",
         f"size={size}/{letters > 0}",
@@ -163,6 +172,8 @@ def features(tokens: list[str], shapes: list[str], i: int, j: int) -> tuple[str,
         f"luhn={size > 11 and luhn(number)}",
         f"long={max((len(t) for t in inside if t[0].isdigit()), default=0)}",
         f"tokens={j - i}",
+        f"mail={min(ats, 2)}/{min(dots, 1)}/{min(loose, 2)}",
+        f"loose={min(loose, 3)}/{letters > 0}",
     )
 
 
@@ -342,7 +353,7 @@ def _example(left: str, value: str, right: str, kind: int | None):
         left, right = left + " ", " " + right
     tokens = [_TOKEN.findall(x) for x in (left, value, right)]
     flat = tokens[0] + tokens[1] + tokens[2]
-    if kind is not None and len(tokens[1]) > LONGEST + 2:
+    if kind is not None and len(tokens[1]) > LONGEST:
         return None
     begin = len(tokens[0])
     truth = set() if kind is None else {(begin, begin + len(tokens[1]), kind)}
