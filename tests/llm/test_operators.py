@@ -358,12 +358,23 @@ def test_spelled_out_addresses(spark, monkeypatch):
     text = lambda a: f"please write some words to {a} when you stand here"
     for a in SPELLED:
         assert pii.all_spans(text(a), field)[1] == [(27, 27 + len(a), "email")], a
+    for a in ("und.34 AT mail7 DOT example DOT com", "und.34\nat mail7 dot example\ndot com", "und.34 (AT) mail7.example.com"):
+        assert pii.all_spans(text(a), field)[1] == [(27, 27 + len(a), "email")], a
     assert pii.all_spans("plain words stand at home and here", field)[1] == []
     more = rows + [(200 + i, text(a), "a") for i, a in enumerate(SPELLED)]
     clean = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, more)).collect()}
     assert {clean[200 + i] for i in range(len(SPELLED))} == {text("[EMAIL]")}
 
 
+def test_stretches_around_spelled_out_marks():
+    forms = ["jane at example.com", "jane AT host DOT example DOT com", "jane\nat host dot com", "jane ( At ) host.com"]
+    forms += ["jane at\thost.com", "jane at host  dot\nexample dot com"]
+    for form in forms:
+        assert any(form in "".join(tokens) for _, tokens in pii.regions(f"words stand here {form} and others here")), form
+    for plain in ("we met at home and left", "look at that. Then go", "at last the dot is here"):
+        assert not list(pii.regions(plain)), plain
+
+
 def naive_cosine(vectors):
     good = {i: v for i, v in vectors if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     unit = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v in good.items()}

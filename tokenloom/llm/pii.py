@@ -4,9 +4,10 @@
 always stay.  *The field* adds spans that the patterns miss, such as a card number with
 a wrong digit, a phone number without ``+`` or an address spelled with "at" and "dot".
 
-A text is looked at only around triggers (digits, ``@``, "at" in brackets or before a
-word and "dot"), cut into tokens.  A segment of at most ``LONGEST`` tokens is scored as a whole, for each type,
-by features of the whole span: its shape, digits, checks and neighbours.  Everything
+A text is looked at only around triggers (digits, ``@``, "at" in brackets, before a word
+and "dot", or before a word with a dot inside; in any case, with any blanks), cut into
+tokens.  A segment of at most ``LONGEST`` tokens is scored as a whole, for each type, by
+features of the whole span: its shape, digits, checks and neighbours.  Everything
 else is a segment of one token without type.  The dynamic program over bounded segments
 chooses boundaries and types together, in time proportional to the text.
 
@@ -44,8 +45,9 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A spelled-out host is part of its trigger, so that a stretch never ends inside of it.
-_HOST = r"\S{1,255}(?: dot \S{1,255})+"
-_TRIGGER = re.compile(rf"[0-9@]|[(\[{{]\s?at\s?[)\]}}](?:\s?{_HOST})?| at {_HOST}")
+_HOST = r"\S{1,255}(?:\s+dot\s+\S{1,255})+"
+_BARE = rf"\sat\s+(?:{_HOST}|(?=[^\s.]{{1,255}}\.[^\s.]))"
+_TRIGGER = re.compile(rf"(?i:[0-9@]|[(\[{{]\s*at\s*[)\]}}](?:\s*{_HOST})?|{_BARE})")
 
 Span = tuple[int, int, str]
 
