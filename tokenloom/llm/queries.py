@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tokenloom.llm import decontaminate, embedding_dedup, license_scan, mixing, quality, simhash
-from tokenloom.llm import pii, substring_dedup, suffix_dedup, toxicity
+from tokenloom.llm import hard_negatives, pii, substring_dedup, suffix_dedup, toxicity
 from tokenloom.llm.common import table
 from tokenloom.llm.registry import query
 
@@ -158,3 +160,34 @@ def op4(spark, sf_dir):
 @query("op7_pii")
 def op7(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+               CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0
+    ), p AS (
+        SELECT a, b, score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+    )
+    SELECT p.a AS anchor_id, p.b AS positive_id,
+           CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank,
+           s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.a = s.a AND NOT s.same
+     AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+    QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) <= 10
+    """,
+)
+def op13(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved))
