@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenloom.llm import decontaminate, embedding_dedup, license_scan, mixing, quality, simhash
-from tokenloom.llm import hard_negatives, pii, substring_dedup, suffix_dedup, toxicity
+from tokenloom.llm import hard_negatives, pii, prefix_trie, substring_dedup, suffix_dedup, toxicity
 from tokenloom.llm.common import table
 from tokenloom.llm.registry import query
 
@@ -191,3 +191,54 @@ def op13(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors.withColumn("label", moved))
+
+
+@query(
+    "op11_prefix_trie",
+    """
+    WITH own AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+               struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), conv AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS base, list(t ORDER BY i) AS ts FROM own GROUP BY conv_id
+    ), crc AS (  -- CRC-32 bit by bit: a number of 256 or more brings a character in, 0 is one shift
+        SELECT conv_id, xor(list_reduce(
+            list_prepend(4294967295, flatten(list_transform(
+                string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c) + 256, 0, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda s, e: CASE WHEN e >= 256 THEN xor(s, e - 256)
+                              WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295) % 6 AS h
+        FROM conv
+    ), rebuilt AS (
+        SELECT c.conv_id, list_concat(coalesce(b.ts, [])[1:h], c.ts[h + 1:]) AS ts
+        FROM conv c JOIN crc USING (conv_id) LEFT JOIN conv b ON b.conv_id = c.base
+    ), member AS (
+        SELECT conv_id, d, ts[1:d] AS node, len(ts) AS n
+        FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)
+    ), node AS (
+        SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+        FROM member GROUP BY d, node
+    ), kids AS (
+        SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2
+    ), full_node AS (
+        SELECT node.*, coalesce(kids.n, 0) AS n_children,
+               CASE WHEN node.d > 0 THEN (n_convs - 1) * length(node[-1].text) ELSE 0 END AS saved
+        FROM node LEFT JOIN kids USING (d, node)
+    ), up AS (
+        SELECT unnest(range(0, d + 1)) AS a, node, n_children, saved FROM full_node
+    ), sums AS (
+        SELECT a AS d, node[1:a] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+        FROM up GROUP BY 1, 2
+    )
+    SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+           n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+    FROM full_node f JOIN sums s ON s.d = f.d AND s.node = f.node
+    LEFT JOIN node p ON f.d > 0 AND p.d = f.d - 1 AND p.node = f.node[1:f.d - 1]
+    """,
+)
+def op11(spark, sf_dir):
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    turns = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.rebuild(turns, base, head, most=5))
