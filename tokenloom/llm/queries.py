@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenloom.llm import decontaminate, embedding_dedup, license_scan, mixing, quality, simhash
-from tokenloom.llm import hard_negatives, pii, prefix_trie, substring_dedup, suffix_dedup, toxicity
+from tokenloom.llm import hard_negatives, language_id, pii, prefix_trie, substring_dedup, suffix_dedup, toxicity
 from tokenloom.llm.common import table
 from tokenloom.llm.registry import query
 
@@ -242,3 +242,8 @@ def op11(spark, sf_dir):
     head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
     turns = prefix_trie.turns(table(spark, sf_dir, "conversations"))
     return prefix_trie.trie(*prefix_trie.rebuild(turns, base, head, most=5))
+
+
+@query("op12_language_id")
+def op12(spark, sf_dir):
+    return language_id.predict(table(spark, sf_dir, "documents"))
