@@ -81,8 +81,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def neighbours(kinds: DataFrame, cosine: float, hasher: Hasher) -> DataFrame:
     """Of distinct vectors ``(rep, embedding, copies)``: rows ``(node, other, n)``.
 
-    ``n`` is how many vectors (copies counted) ``node`` is linked with in one tile, and
-    NULL for rows that are joining links ``node - other``.
+    ``n`` is how many vectors (copies counted) ``node`` is linked with in one tile; it is
+    0 in rows that are joining links ``node - other``.  No value is NULL, since a column
+    with NULLs would go through doubles, which round large numbers.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,18 +110,19 @@ def neighbours(kinds: DataFrame, cosine: float, hasher: Hasher) -> DataFrame:
     ).select("key", "slot", "rep", "tile", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"))
     ready = pairs.join(kinds, "rep").repartition("key", "slot", "i", "j").sortWithinPartitions("key", "slot", "i", "j")
 
-    def work(slot: int, ids, weight, units, at_left, at_right) -> tuple[list, list]:
+    def work(slot: int, ids, weight, units, at_left, at_right) -> tuple[np.ndarray, ...]:
         close = np.zeros((len(ids), len(ids)), bool)
         close[np.ix_(at_left, at_right)] = units[at_left] @ units[at_right].T >= cosine
         a, b = np.nonzero(np.triu(close | close.T, 1))
         if not len(a):
-            return [], []
+            return ()
         keys = hasher(units)[:, :slot]
         fresh = ~(keys[a] == keys[b]).any(axis=1) if slot else np.ones(len(a), bool)
         count = np.bincount(a[fresh], weight[b[fresh]], len(ids)) + np.bincount(b[fresh], weight[a[fresh]], len(ids))
         root = _roots(len(ids), a, b)
         some, moved = np.flatnonzero(count), np.flatnonzero(root != np.arange(len(ids)))
-        return [(ids[x], None, int(count[x])) for x in some], [(ids[x], ids[root[x]], None) for x in moved]
+        counts = np.stack((ids[some], ids[some], count[some].astype(np.int64)))
+        return counts, np.stack((ids[moved], ids[root[moved]], np.zeros(len(moved), np.int64)))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, names = None, ["key", "slot", "i", "j"]
@@ -133,7 +135,7 @@ def neighbours(kinds: DataFrame, cosine: float, hasher: Hasher) -> DataFrame:
             yield frame(kept, names)
 
     def frame(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
-        out = []
+        out = [np.empty((3, 0), np.int64)]
         group = rows[names].to_numpy(np.int64)
         heads = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1)))) if len(rows) else []
         ids, weight, tile = (rows[c].to_numpy() for c in ("rep", "copies", "tile"))
@@ -142,10 +144,8 @@ def neighbours(kinds: DataFrame, cosine: float, hasher: Hasher) -> DataFrame:
             if y - x > 1:
                 _, slot, i, j = group[x].tolist()
                 part = slice(x, y)
-                counts, joins = work(slot, ids[part], weight[part], _units(vectors[part]), tile[part] == i, tile[part] == j)
-                out += counts + joins
-        found = pd.DataFrame(out, columns=["node", "other", "n"])
-        return found.astype({"node": "Int64", "other": "Int64", "n": "Int64"})
+                out += work(slot, ids[part], weight[part], _units(vectors[part]), tile[part] == i, tile[part] == j)
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["node", "other", "n"])
 
     return ready.mapInPandas(compare, "node long, other long, n long")
 
@@ -160,11 +160,11 @@ def link(vectors: DataFrame, cosine: float = 0.95, tables: int = TABLES) -> Data
     kinds = stage(kinds.withColumn("kind", F.xxhash64("embedding")))
     numbered = kinds.select(F.col("kind").alias("rep"), "embedding", "copies")
     found = stage(neighbours(numbered, cosine, Hasher(tables, PROJECTIONS, STEP)))
-    counts = found.where("n is not null").groupBy("node").agg(F.sum("n").alias("near"))
+    counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("near"))
     member = rows.where(usable).join(kinds, "embedding").select("vec_id", "kind", "copies")
     member = stage(member.join(stage(counts), member["kind"] == F.col("node"), "left"))
     names = kinds.select("kind", "rep")
-    joins = found.where("n is null").select("node", "other")
+    joins = found.where("n = 0").select("node", "other")
     a, b = names.toDF("node", "a"), names.toDF("other", "b")
     links = joins.join(a, "node").join(b, "other").select("a", "b")
     same = member.join(names, "kind").where("vec_id != rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
