@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +76,32 @@ def gram_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
             return mix(out)
         part = part[: len(part) - span] * np.uint64(power) + part[span:]
         power, span = power * power % (1 << 64), span * 2
+
+
+def beside(rows: DataFrame, work: Callable[[list], list], made: str) -> DataFrame:
+    """``rows`` with the column ``text`` replaced by the columns ``made``, which ``work(texts)`` gives in order.
+
+    The other columns stay Arrow arrays on their way through Python: pandas would turn
+    whole numbers beside a NULL into doubles, which round those above 2**53.
+    """
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    names = [f.name for f in kept] + [f.split()[0] for f in made.split(", ")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [c if isinstance(c, pa.Array) else pa.array(c) for c in work(batch.column("text").to_pylist())]
+            held = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays(held + found, names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def only_where(rows: DataFrame, test: Callable[[list], np.ndarray]) -> DataFrame:
+    """The rows, untouched, for whose ``text`` the test holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.asarray(test(batch.column("text").to_pylist()), bool)))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -30,10 +30,11 @@ from random import Random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import short_batches
+from tokenloom.llm.common import beside, short_batches
 from tokenloom.llm.learning import adam
 
 KINDS = ("email", "ip", "card", "phone")
@@ -389,18 +390,17 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``doc_id``, counts and digest of base spans, and all spans of every document."""
     field = train(docs) if field is None else field
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                base, spans = all_spans(text or "", field)
-                count = [sum(s[2] == k for s in base) for k in KINDS]
-                rows.append((*count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
-            yield out.assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", *out.columns]]
+    def work(texts: list) -> list:
+        rows = []
+        for text in texts:
+            base, spans = all_spans(text or "", field)
+            count = [sum(s[2] == k for s in base) for k in KINDS]
+            rows.append((*count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+        kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 2
+        return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return short_batches(docs).select("doc_id", "text").mapInPandas(run, schema)
+    made = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    return beside(short_batches(docs).select("doc_id", "text"), work, made)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -417,12 +417,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """The rows with spans masked in ``text`` and ``n_chars`` (where there is one) counted anew."""
     field = train(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [None if t is None else masked(t, all_spans(t, field)[1]) for t in batch["text"]]
-            yield batch.assign(text=pd.Series(texts, batch.index, object))
+    def work(texts: list) -> list:
+        return [pa.array([None if t is None else masked(t, all_spans(t, field)[1]) for t in texts], pa.string())]
 
-    out = short_batches(docs).mapInPandas(run, docs.schema)
+    out = beside(short_batches(docs), work, "text string").select(*docs.columns)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         counted = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import encode, mix, short_batches
+from tokenloom.llm.common import beside, encode, mix, only_where, short_batches
 from tokenloom.llm.learning import adam, fold, sample, sigmoid
 from tokenloom.llm.repeats import word_hashes, word_spans
 
@@ -204,24 +204,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every document."""
     vectors = context_sums(docs)
     network = train(docs, labels, vectors)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            result = network.score(pools(encode(batch["text"]), vectors))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": result})
-
-    scored = short_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
     held = F.coalesce(fold("doc_id", FOLDS) == HELD, F.lit(True)).alias("held_out")
-    return scored.select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = short_batches(docs).select("doc_id", held, "text")
+    scored = beside(rows, lambda texts: [network.score(pools(encode(texts), vectors))], "score double")
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose text scores at least the threshold, judged row by row, with their columns."""
     vectors = context_sums(docs)
     network = train(docs, labels, vectors)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[network.score(pools(encode(batch["text"]), vectors)) >= THRESHOLD]
-
-    return short_batches(docs).mapInPandas(run, docs.schema)
+    return only_where(short_batches(docs), lambda texts: network.score(pools(encode(texts), vectors)) >= THRESHOLD)
