@@ -12,8 +12,11 @@ logistic loss the score ``sigmoid(f)`` is a probability.
 A document is the set of its lower-cased words without marks around them, hashed to
 ``2 ** BITS`` numbers.  The classifier is linear in the ``FEATURES`` numbers whose
 share among positives exceeds that among unlabelled rows by most deviations; a penalty
-moves weights without use to zero.  At most ``ROWS`` labelled rows outside the held
-fold are read to fit; all documents are scored, whole.
+moves weights without use to zero.  At most ``ROWS`` labelled and ``UNLABELLED`` other
+rows outside the held fold are read to fit; the unlabelled side holds the others and the
+labelled rows with their labels taken off, and the prior is the share of label 1.  The
+labels then only set slope and shift of the score (:func:`calibrate`).  All documents
+are scored, whole.
 
 Results for odd input: NULL and empty texts have no words and get the score of the
 bias; rows without id are scored and count as held out; without a positive row every
@@ -29,12 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import encode
+from tokenloom.llm.common import beside, encode
 from tokenloom.llm.learning import adam, fold, sample, sigmoid
 from tokenloom.llm.repeats import word_hashes, word_spans
 
 FOLDS, HELD = 3, 1
-ROWS, FEATURES, BITS = 20_000, 256, 20
+ROWS, UNLABELLED, FEATURES, BITS = 10_000, 10_000, 256, 20
 THRESHOLD = 0.7
 
 #: Bytes that belong to a word's core: letters, digits and everything outside ASCII.
@@ -72,14 +75,13 @@ def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.
 
     def gradient(parameters):
         weights, bias = parameters
-        zp, zu = sigmoid(p @ weights + bias), sigmoid(u @ weights + bias)
+        fp, fu = p @ weights + bias, u @ weights + bias
+        zp, zu = sigmoid(fp), sigmoid(fu)
         # Slopes of the three means of the logistic loss with respect to f.
-        miss, clean, wrong = prior * (zp - 1) / n_p, zu / n_u, -prior * zp / n_p
-        risk = np.logaddexp(0, u @ weights + bias).mean() - prior * np.logaddexp(0, p @ weights + bias).mean()
-        if risk < 0:
-            clean, wrong = -clean, -wrong
-            miss = np.zeros_like(miss)
-        slope_p, slope_u = miss + wrong, clean
+        slope_p, slope_u = prior * (zp - 1) / n_p, np.zeros(n_u)
+        if np.logaddexp(0, fu).mean() > prior * np.logaddexp(0, fp).mean():
+            slope_p, slope_u = slope_p - prior * zp / n_p, zu / n_u
+        # Held at zero, the estimate of the loss on clean text has no slope; the positives' own stays.
         return [
             p.T @ slope_p + u.T @ slope_u + 1e-5 * np.sign(weights) + 1e-5 * weights,
             np.array(slope_p.sum() + slope_u.sum()),
@@ -90,8 +92,28 @@ def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.
     return chosen, weights, float(bias)
 
 
+def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make ``sigmoid(slope * margin + shift)`` fit labels; drawn towards 1 and 0."""
+
+    def gradient(parameters):
+        slope, shift = parameters
+        off = (sigmoid(slope * margin + shift) - label) / len(label)
+        return [np.array((off * margin).sum() + 1e-3 * (slope - 1)), np.array(off.sum() + 1e-3 * shift)]
+
+    slope, shift = adam([np.array(1.0), np.array(0.0)], gradient, 300, 0.05)
+    return max(float(slope), 0.1), float(shift)
+
+
+def _unlabelled(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """``(doc_id, text)`` of at most ``bound`` documents outside the held fold that have no label, by hash order."""
+    ids = docs.select("doc_id").where(fold("doc_id", FOLDS) != HELD).distinct()
+    ids = ids.join(labels.where("toxic is not null").select("doc_id").distinct(), "doc_id", "left_anti")
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """The model, fitted on the driver from the word sets of a bounded sample."""
+    """The model, fitted on the driver from the word sets of two bounded samples."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,17 +123,25 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
             held = [x[:, 1].astype(np.int32).tobytes() for x in np.split(pairs, cuts)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "words": held})
 
-    chosen = sample(docs, labels, "toxic", FOLDS, HELD, ROWS)
-    rows = chosen.mapInPandas(sets, "doc_id long, label int, words binary").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    label = rows["label"].to_numpy() == 1
-    if not label.any():
+    chosen = sample(docs, labels, "toxic", FOLDS, HELD, ROWS).select("doc_id", "text", "label")
+    others = _unlabelled(docs, labels, UNLABELLED).withColumn("label", F.lit(-1))
+    rows = chosen.unionByName(others).mapInPandas(sets, "doc_id long, label int, words binary").toPandas()
+    # Rows that repeat an id are told apart by their words.
+    rows = rows.sort_values(["doc_id", "words"], kind="stable")
+    label = rows["label"].to_numpy()
+    if not (label == 1).any():
         return np.empty(0, np.int64), np.empty(0), -np.inf
     words = [np.frombuffer(w, np.int32).astype(np.int64) for w in rows["words"]]
-    # Unlabelled text: all rows of the sample with their labels taken off.
-    both = [w for w, y in zip(words, label) if y] + words
-    positive = np.arange(len(both)) < label.sum()
-    return fit(both, positive, float(np.clip(label.mean(), 1e-3, 0.999)))
+    # The unlabelled side: documents without label, and the labelled ones with theirs taken off.
+    both = [w for w, y in zip(words, label) if y == 1] + words
+    positive = np.arange(len(both)) < (label == 1).sum()
+    prior = float(np.clip(label[label >= 0].mean(), 1e-3, 0.999))
+    numbers, weights, bias = fit(both, positive, prior)
+    table = np.zeros(1 << BITS)
+    table[numbers] = weights
+    margin = np.array([table[w].sum() for w, y in zip(words, label) if y >= 0]) + bias
+    slope, shift = calibrate(margin, label[label >= 0])
+    return numbers, weights * slope, bias * slope + shift
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,14 +150,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table = np.zeros(1 << BITS, np.float64)
     table[chosen] = weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            numbers, owner = word_numbers(encode(batch["text"]))
-            useful = np.flatnonzero(table[numbers])
-            pairs = np.unique(np.stack((owner[useful], numbers[useful]), 1), axis=0)
-            z = np.bincount(pairs[:, 0], table[pairs[:, 1]], len(batch)) + bias
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": sigmoid(z)})
+    def work(texts: list) -> list:
+        numbers, owner = word_numbers(encode(texts))
+        useful = np.flatnonzero(table[numbers])
+        pairs = np.unique(np.stack((owner[useful], numbers[useful]), 1), axis=0)
+        return [sigmoid(np.bincount(pairs[:, 0], table[pairs[:, 1]], len(texts)) + bias)]
 
-    rows = docs.select("doc_id", "text", F.coalesce(fold("doc_id", FOLDS) == HELD, F.lit(True)).alias("held_out"))
-    scored = rows.mapInPandas(run, "doc_id long, held_out boolean, score double")
+    held = F.coalesce(fold("doc_id", FOLDS) == HELD, F.lit(True)).alias("held_out")
+    scored = beside(docs.select("doc_id", held, "text"), work, "score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
