@@ -269,7 +269,70 @@ def test_decontamination(spark):
     assert got == {(1, 7, 0), (2, 7, 3), (None, 7, 0)}
     kept = decontaminate.drop_leaks(frame(spark, rows), bench)
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
-    assert {r["doc_id"] for r in kept.collect()} == {3, 4, 5, 6, None}
+    # The row without id holds the whole item, so it goes like any other.
+    assert {r["doc_id"] for r in kept.collect()} == {3, 4, 5, 6}
+    clean = frame(spark, [(None, words(60, 5), "a"), (2**53 + 1, words(60, 6), "a")])
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(clean, bench).collect()} == {None, 2**53 + 1}
+
+
+def naive_leaks(text, items, rate):
+    """Fewest edits of every item against any part of a text, where its budget allows them."""
+    out = {}
+    for number, item in items:
+        budget = min(int(len(item) * rate), (len(item) - decontaminate.GRAM) // decontaminate.GRAM)
+        cost = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            row = [i]
+            for j, y in enumerate(text, 1):
+                row.append(min(cost[j] + 1, row[j - 1] + 1, cost[j - 1] + (x != y)))
+            cost = row
+        if min(cost) <= budget:
+            out[number] = min(min(cost), out.get(number, budget))
+    return out
+
+
+def test_decontamination_equals_all_alignments(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 64)
+    rng = random.Random(12)
+    items = [(i, "".join(rng.choice("abcde ") for _ in range(rng.randint(40, 90)))) for i in range(4)] + [(4, "ab" * 30)]
+    rows = []
+    for i in range(24):
+        part = list(items[i % 5][1])
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(part))
+            rng.choice([lambda: part.__delitem__(at), lambda: part.insert(at, "x"), lambda: part.__setitem__(at, "y")])()
+        rows.append((i, "zq " * rng.randint(0, 9) + "".join(part) + " qz" * rng.randint(0, 9), "a"))
+    rows += [(50, "ab" * 200, "a"), (51, "ba" * 200, "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    normal = [(n, decontaminate.normal(t).decode()) for n, t in items]
+    want = {
+        (i, n): e for i, t, _ in rows for n, e in naive_leaks(decontaminate.normal(t).decode(), normal, decontaminate.RATE).items()
+    }
+    assert got == want and len(want) > 12
+
+
+def test_repetitive_text_is_searched_in_bounded_memory():
+    index = decontaminate.Index.of([{"item_id": 1, "text": "ab" * 500}], decontaminate.GRAM, decontaminate.RATE)
+    hits = decontaminate.search(decontaminate.normal("ab" * 16_000), index, decontaminate.GRAM)
+    assert [h[:2] for h in hits] == [(1, 0)]
+
+
+def test_large_ids_beside_rows_without_id(spark):
+    """Whole numbers above 2**53 stay what they are in a batch that also holds a NULL."""
+    big, text = 2**53 + 1, "write to bob@mail.example.com now"
+    docs = frame(spark, [(None, text, "a"), (big, text, "a"), (big + 2, None, "a")]).coalesce(1)
+    labels = spark.createDataFrame([(big, 1, 1), (big + 2, 0, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(big, text * 3)], "item_id long, text string")
+    three = frame(spark, [(None, text * 3, "a"), (big, text * 3, "a"), (big + 2, None, "a")]).coalesce(1)
+    ids = {None, big, big + 2}
+    for found in (
+        toxicity.score(docs, labels), quality.score(docs, labels), pii.find(docs), pii.redact(docs),
+        quality.keep_good(docs, labels.where("false")),
+    ):
+        assert {r["doc_id"] for r in found.collect()} == ids
+    assert {r["doc_id"] for r in decontaminate.leaks(three, bench).collect()} == {None, big}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(three, bench).collect()} == {big + 2}
 
 
 def test_alignment_is_the_edit_distance():
@@ -400,6 +463,18 @@ def test_embeddings(spark, tile, monkeypatch):
     assert got[200]["n_links"] >= 9 and got[302]["n_links"] == 0
 
 
+def test_planted_pairs_of_vectors_are_components(spark):
+    rng = np.random.default_rng(11)
+    near = []
+    for i in range(400):
+        v = rng.standard_normal(64)
+        near += [(2 * i, v.tolist()), (2 * i + 1, (v + 0.05 * rng.standard_normal(64)).tolist())]
+    vectors = spark.createDataFrame(near, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding_dedup.link(vectors).collect()}
+    assert naive_groups(range(800), naive_cosine(near)) == {i: r["component_id"] for i, r in got.items()}
+    assert sum(r["kept"] for r in got.values()) == 400 and all(r["n_links"] == 1 for r in got.values())
+
+
 def labelled(spark, bad, n=400):
     rows = [(i, words(30, i, 50) + (" " + bad(i) if i % 4 == 0 else ""), "a") for i in range(n)]
     rows += [(None, "x", "a"), (n, None, "a"), (n + 1, "", "a"), (n + 2, "y " * 9000, "a")]

@@ -21,12 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import gram_hashes, short_batches
-from tokenloom.session import stage
+from tokenloom.llm.common import gram_hashes, only_where, short_batches
 
 #: Bytes of benchmark text that go to the tasks at once.
 BLOCK = 8 << 20
@@ -113,6 +113,32 @@ def align(item: bytes, text: bytes, low: int, high: int, budget: int) -> tuple[i
     return (int(cost[best]), int(origin[best]), int(len(item) + low + best)) if cost[best] <= budget else None
 
 
+#: Pairs of equal grams, one of the text and one of an item, that are counted at once.
+PAIRS = 1 << 20
+
+
+def _bands(index: Index, hits: np.ndarray, first: np.ndarray, count: np.ndarray, shift: int, span: int):
+    """Numbers of the bands that hold equal grams and how many pairs each holds, a slice of pairs at a time."""
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    total, at = np.cumsum(count), 0
+    while at < len(hits):
+        done = int(total[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        n = count[at:stop]
+        row = np.repeat(first[at:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item = index.item[row]
+        # Diagonals are shifted by the text's length so that bands number from 0.
+        band = (np.repeat(hits[at:stop], n) - index.place[row] + shift) // (index.budget[item] + 1)
+        part, found = np.unique(item * span + band, return_counts=True)
+        keys, back = np.unique(np.concatenate((keys, part)), return_inverse=True)
+        counts = np.bincount(back, np.concatenate((counts, found)), len(keys)).astype(np.int64)
+        at = stop
+    # A band reaches over two steps: its own and the next.
+    both, back = np.unique(np.concatenate((keys, keys - 1)), return_inverse=True)
+    counts = np.bincount(back, np.concatenate((counts, counts)), len(both)).astype(np.int64)
+    return both[both >= 0], counts[both >= 0]
+
+
 def search(data: bytes, index: Index, q: int) -> list[tuple]:
     """``(item id, edits, begin, end)`` of the best occurrence of every item in a normalised text."""
     hashes = grams(np.frombuffer(data, np.uint8), q)
@@ -121,15 +147,9 @@ def search(data: bytes, index: Index, q: int) -> list[tuple]:
     count = np.searchsorted(index.hashes, hashes[hits], "right") - first
     if not count.any():
         return []
-    row = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    item = index.item[row]
-    # Diagonals are shifted by the text's length so that bands number from 0.
     shift = max(len(t) for t in index.texts)
-    step = index.budget[item] + 1
-    band = (np.repeat(hits, count) - index.place[row] + shift) // step
     span = (len(data) + 2 * shift) + 2
-    key = np.concatenate((item * span + band, item * span + band - 1))
-    key, found = np.unique(key[key >= 0], return_counts=True)
+    key, found = _bands(index, hits, first, count, shift, span)
     kept = key[found >= index.need[key // span]]
     best: dict[int, tuple] = {}
     for k in kept.tolist():
@@ -143,37 +163,41 @@ def search(data: bytes, index: Index, q: int) -> list[tuple]:
     return [(index.ids[n], *best[n]) for n in sorted(best)]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, rate: float = RATE) -> DataFrame:
-    """``(doc_id, item_id, edits, begin, end)``: items that occur in texts; places are bytes of the normal form."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, q: int, rate: float) -> Iterator[Broadcast]:
+    """The benchmark in blocks of about ``BLOCK`` bytes, each sent to the executors."""
     items = benchmark.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // BLOCK))
-    schema = "doc_id long, item_id long, edits long, begin long, end long"
-    out = None
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         index = Index.of(rows, q, rate)
-        if index is None:
-            continue
-        shared = spark.sparkContext.broadcast(index)
+        if index is not None:
+            yield benchmark.sparkSession.sparkContext.broadcast(index)
+
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            block = shared.value
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, rate: float = RATE) -> DataFrame:
+    """``(doc_id, item_id, edits, begin, end)``: items that occur in texts; places are bytes of the normal form."""
+    made = ["item_id", "edits", "begin", "end"]
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in made)
+    rows, out = short_batches(docs).select("doc_id", "text"), None
+    for shared in _blocks(benchmark, q, rate):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [
-                    (doc, *hit)
-                    for doc, text in zip(batch["doc_id"], batch["text"])
-                    for hit in search(normal(text), block, q)
-                ]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "edits", "begin", "end"])
-
-        found = short_batches(docs).select("doc_id", "text").mapInPandas(run, schema)
+                texts = batch.column("text").to_pylist()
+                found = [(i, *hit) for i, text in enumerate(texts) for hit in search(normal(text), shared.value, q)]
+                row, *rest = zip(*found) if found else ([],) * 5
+                ids = batch.column("doc_id").take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in rest)], names=["doc_id", *made])
+
+        found = rows.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item occurs; rows without id are judged by their text alone."""
-    named = stage(leaks(docs.where("doc_id is not null"), benchmark).select("doc_id").distinct())
-    return docs.join(named, "doc_id", "left_anti").select(*docs.columns)
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, rate: float = RATE) -> DataFrame:
+    """The documents in which no benchmark item occurs; every row is judged by its own text."""
+    left = short_batches(docs)
+    for shared in _blocks(benchmark, q, rate):
+        left = only_where(left, lambda texts, shared=shared: [not search(normal(t), shared.value, q) for t in texts])
+    return left
