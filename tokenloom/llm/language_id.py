@@ -139,15 +139,18 @@ def chains(support: np.ndarray, owner: np.ndarray, moves: np.ndarray) -> np.ndar
     filled = at < (begin + counts)[text_of][:, None]
     force = np.exp(support - support.max(axis=1, keepdims=True))[np.where(filled, at, 0)]
     step, head = np.exp(moves - moves.max()), turn == 0
-    even = np.full((kinds, kinds), 1 / kinds)
+    even, full = np.full((kinds, kinds), 1 / kinds), filled.all(axis=0)
 
     def ahead(x: np.ndarray, t: int) -> np.ndarray:
         """One word further: ``x`` has the languages of the word before in its last axis."""
-        y = x @ step
+        y = (x.reshape(-1, kinds) @ step).reshape(x.shape)
         if t == 0:
             y[head] = x[head] @ even
-        y = y * (force[:, t] if x.ndim == 2 else force[:, t, None])
-        return _scaled(np.where(filled[:, t].reshape(-1, *[1] * (x.ndim - 1)), y, x))
+        y *= force[:, t] if x.ndim == 2 else force[:, t, None]
+        if not full[t]:
+            y = np.where(filled[:, t].reshape(-1, *[1] * (x.ndim - 1)), y, x)
+        # One language has force 1 at each word, so eight words cannot bring all of them near zero.
+        return y if t % 8 else _scaled(y)
 
     whole = np.broadcast_to(np.eye(kinds), (len(turn), kinds, kinds))
     for t in range(STEPS):
@@ -168,7 +171,9 @@ def chains(support: np.ndarray, owner: np.ndarray, moves: np.ndarray) -> np.ndar
     x = after
     for t in range(STEPS - 1, -1, -1):
         forward[:, t] *= x
-        x = np.where(filled[:, t, None], _scaled((force[:, t] * x) @ step.T), x)
+        y = (force[:, t] * x) @ step.T
+        y = y if full[t] else np.where(filled[:, t, None], y, x)
+        x = y if t % 8 else _scaled(y)
     out = forward[filled]
     return out / out.sum(axis=1, keepdims=True)
 
@@ -207,39 +212,37 @@ def _stretches(docs: DataFrame, rows: int) -> pd.DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, lang, n)``: how often each word, as a hash, stands in learnable texts of each language."""
 
-    def fold_counts(held: list[tuple]) -> tuple:
-        keys = np.concatenate([h[0] for h in held])
-        keys, back = np.unique(keys, axis=0, return_inverse=True)
-        return keys, np.bincount(back.ravel(), np.concatenate([h[1] for h in held]), len(keys)).astype(np.int64)
+    def folded(held: list[tuple]) -> tuple:
+        words, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return words, np.bincount(back, np.concatenate([h[1] for h in held]), len(words)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
+        held: dict[str, list[tuple]] = {}
+        sizes: dict[str, int] = {}
 
-        def out(keys, n) -> pa.RecordBatch:
-            order = np.array(list(names))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys[:, 1].view(np.int64)), pa.array(order[keys[:, 0].astype(np.int64)]), pa.array(n)],
-                names=["word", "lang", "n"],
-            )
+        def out(lang: str) -> pa.RecordBatch:
+            words, n = folded(held.pop(lang))
+            sizes.pop(lang)
+            names = pa.array([lang] * len(words), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), names, pa.array(n)], names=["word", "lang", "n"])
 
-        held, size = [], 0
         for batch in batches:
-            codes = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.uint64)
+            langs = np.array(batch.column("lang").to_pylist(), object)
             for at, part in _slices(batch.column("text")):
                 data, starts, ends, owner = words_of(part)
-                if len(starts):
-                    keys = np.stack((codes[at + owner], word_hashes(data, starts, ends)), 1)
-                    held.append((keys, np.ones(len(keys))))
-                    size += len(keys)
-                # Folded now and then; sent when many different words have come together.
-                if size > 1 << 19:
-                    held = [fold_counts(held)]
-                    size = len(held[0][1])
-                    if size > 1 << 18:
-                        yield out(*held.pop())
-                        size = 0
-        if held:
-            yield out(*fold_counts(held))
+                hashes, spoken = word_hashes(data, starts, ends), langs[at : at + len(part)]
+                for lang in set(spoken):
+                    words, n = np.unique(hashes[(spoken == lang)[owner]], return_counts=True)
+                    held.setdefault(lang, []).append((words, n))
+                    sizes[lang] = sizes.get(lang, 0) + len(words)
+                    # Folded now and then; sent when many different words have come together.
+                    if sizes[lang] > 1 << 19:
+                        held[lang] = [folded(held[lang])]
+                        sizes[lang] = len(held[lang][0][0])
+                        if sizes[lang] > 1 << 18:
+                            yield out(lang)
+        for lang in list(held):
+            yield out(lang)
 
     parts = _learnable(docs).select("lang", "text").mapInArrow(count, "word long, lang string, n long")
     return parts.groupBy("word", "lang").agg(F.sum("n").alias("n"))
