@@ -421,7 +421,7 @@ def covered_windows(
     side = np.zeros(n, U64)
     for d in range(rule.reach + 1):
         if d:
-            side = mix(side * _STEP + left[:, d - 1])
+            side = mix(side * _STEP + left[:, d - 1].astype(U64))
         t = rule.size - d
         node = np.cumsum(common < t)
         shared = np.bincount(node, minlength=1)[node] > 1 if n else np.empty(0, bool)

@@ -35,16 +35,18 @@ def front_decode(common: np.ndarray, tails: np.ndarray, size: int) -> np.ndarray
     return rows[source, np.arange(size)]
 
 
-def merge_runs(runs: list[tuple[list[bytes], list[int]]], size: int) -> tuple[list[int], list[int], list[int]]:
+def merge_runs(runs: list[tuple[bytes | list[bytes], list[int]]], size: int) -> tuple[list[int], list[int], list[int]]:
     """Run and row of every suffix in sorted order, and what it shares with the one before.
 
-    ``runs`` holds sorted fixed-size strings with their common prefix lengths.
+    ``runs`` holds sorted fixed-size strings (joined or as a list) with their common prefix
+    lengths; a string is cut out only when its turn comes.
     """
+    runs = [(r if isinstance(r, bytes) else b"".join(r), c) for r, c in runs]
     width = 1
     while width < len(runs):
         width *= 2
     end = b"\xff" * size + b"\xff"
-    heads = [r[0][0] if r[0] else end for r in runs] + [end] * (width - len(runs))
+    heads = [r[0][:size] or end for r in runs] + [end] * (width - len(runs))
     shares = [0] * width
     losers = [-1] * width
     at = [0] * width
@@ -77,7 +79,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]], size: int) -> tuple[li
         passed = play(i, (i + width) // 2)
         winner = passed if passed >= 0 else winner
     out_run, out_row, out_common = [], [], []
-    total = sum(len(r[0]) for r in runs)
+    total = sum(len(r[1]) for r in runs)
     if width == 1:
         winner = 0
     while len(out_run) < total:
@@ -86,9 +88,9 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]], size: int) -> tuple[li
         out_row.append(row)
         out_common.append(shares[winner])
         at[winner] = row = row + 1
-        strings, common = runs[winner]
-        if row < len(strings):
-            heads[winner], shares[winner] = strings[row], common[row]
+        raw, common = runs[winner]
+        if row < len(common):
+            heads[winner], shares[winner] = raw[row * size : (row + 1) * size], common[row]
         else:
             heads[winner], shares[winner] = end, 0
         winner = play(winner, (winner + width) // 2)
@@ -98,16 +100,13 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]], size: int) -> tuple[li
 def _merge(sent: list[list[np.ndarray]], rule: Rule) -> list[np.ndarray]:
     """Answers of one group: a bit for each string that an earlier document also has."""
     sizes = [len(s[0]) for s in sent]
-    rows = [front_decode(s[6], s[7], rule.size) for s in sent]
-    runs = []
-    for r, s in zip(rows, sent):
-        raw = r.tobytes()
-        runs.append(([raw[i : i + rule.size] for i in range(0, len(raw), rule.size)], s[6].tolist()))
+    runs = [(front_decode(s[6], s[7], rule.size).tobytes(), s[6].tolist()) for s in sent]
     run, row, common = merge_runs(runs, rule.size)
+    del runs
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     order = begins[np.array(run, np.int64)] + np.array(row, np.int64)
-    lefts, rights = (np.concatenate([s[i] for s in sent]).astype(np.int64) for i in (3, 4))
-    left = np.concatenate([s[5].reshape(-1, rule.reach) for s in sent]).astype(np.uint64)
+    lefts, rights = (np.concatenate([s[i] for s in sent]) for i in (3, 4))
+    left = np.concatenate([s[5].reshape(-1, rule.reach) for s in sent])
     owner = np.concatenate([s[1] for s in sent])
     rank = repeats.ranks(owner, np.zeros(len(owner), np.int64))
     bits = np.empty(len(order), np.uint64)
