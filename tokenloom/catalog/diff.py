@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tokenloom import bridge
 from tokenloom.catalog import lake
-from tokenloom.catalog.graph import graph_member_table, graph_size_table
+from tokenloom.catalog.graph import graph_base_table, graph_forest
 from tokenloom.catalog.registry import query
 from tokenloom.catalog.sql import CONV, EVT, GWALK, conv_items, q
 from tokenloom.functions.usage import estimate_tokens
 from tokenloom.operators import composition as comp
 from tokenloom.operators import diff, lifecycle
 from tokenloom.operators.calibrate import calibrate
+from tokenloom.operators.chains import presence_changes
 from tokenloom.operators.compaction_diff import compaction_diffs, multiset_match
 from tokenloom.operators.reconstruct import linear_members, promote_current_prompt
 from tokenloom.schema import SESSION
@@ -229,40 +230,46 @@ LIFE = (
     + """,
 scan AS (SELECT t.session_id, t.turn, a.side, TRUE AS readable, c.seq AS comp FROM gturns t JOIN gv a ON a.session_id=t.session_id AND a.seq=t.anchor_seq
    LEFT JOIN (SELECT session_id, turn, seq FROM walk WHERE kind='compacted') c ON c.session_id=t.session_id AND c.turn=t.turn),
-sn AS (SELECT *, row_number() OVER w AS ord, lead(turn) OVER w AS n_turn, lead(comp) OVER w AS n_comp FROM scan WINDOW w AS (PARTITION BY session_id, side ORDER BY turn)),
+sn AS (SELECT *, row_number() OVER w AS ord, lead(turn) OVER w AS n_turn, lead(readable) OVER w AS n_readable, lead(CASE WHEN readable THEN comp END) OVER w AS n_comp,
+   sum(CASE WHEN readable THEN 0 ELSE 1 END) OVER w AS unread FROM scan WINDOW w AS (PARTITION BY session_id, side ORDER BY turn)),
 pres AS (SELECT m.session_id, 'claude:'||CAST(m.seq+1 AS VARCHAR) AS item_id, m.seq, m.turn, s.side, s.ord - row_number() OVER (PARTITION BY m.session_id, m.seq ORDER BY m.turn) AS island
-   FROM members m JOIN sn s ON s.session_id=m.session_id AND s.turn=m.turn),
+   FROM members m JOIN sn s ON s.session_id=m.session_id AND s.turn=m.turn WHERE s.readable),
 runs AS (SELECT session_id, item_id, seq, side, min(turn) AS from_turn, max(turn) AS to_turn, count(*) AS turns FROM pres GROUP BY session_id, item_id, seq, side, island)
 """
 )
 
 
-def graph_scans(spark, sf_dir):
+def graph_scans(bases):
     """Each turn of the graph sessions: its thread, whether its chain could be read, its compaction."""
-    sides = lake.graph_log(spark, sf_dir).select(*SESSION, F.col("seq").alias("anchor_seq"), F.col("is_sidechain").alias("side"))
-    turns = lake.graph_turn_table(spark, sf_dir).select(*SESSION, "turn", "anchor_seq")
-    sizes = graph_size_table(spark, sf_dir).select(
-        *SESSION, "turn", F.col("available").alias("readable"), F.col("compaction_seq").alias("compaction_line")
-    )
     return lifecycle.number_scans(
-        turns.join(sides, [*SESSION, "anchor_seq"]).join(sizes, [*SESSION, "turn"]).drop("anchor_seq")
+        bases.select(
+            *SESSION,
+            "turn",
+            "side",
+            F.col("available").alias("readable"),
+            F.when(F.col("available"), F.col("compaction_seq")).alias("compaction_line"),
+        )
     )
 
 
 @lake.table
 def graph_scan_table(spark, sf_dir):
-    return graph_scans(spark, sf_dir)
+    return graph_scans(graph_base_table(spark, sf_dir))
+
+
+def stretches(spark, sf_dir, bases):
+    """Stretches of turns that hold each record, from the interval numbers of the forest."""
+    nodes, tables = graph_forest(spark, sf_dir)
+    changes = presence_changes(nodes, tables, lifecycle.thread_order(bases))
+    lines = lake.graph_log(spark, sf_dir).select(*SESSION, "seq", "line_no")
+    named = changes.join(lines, [*SESSION, "seq"])
+    named = named.withColumn("item_id", F.concat(F.lit("claude:"), F.col("line_no").cast("string")))
+    return lifecycle.change_runs(named.drop("seq", "line_no"))
 
 
 @lake.table
 def graph_runs(spark, sf_dir):
-    log = lake.graph_log(spark, sf_dir).select(*SESSION, "seq", "line_no", F.col("is_sidechain").alias("side"))
-    presence = (
-        graph_member_table(spark, sf_dir)
-        .join(log, [*SESSION, "seq"])
-        .select(*SESSION, F.concat(F.lit("claude:"), F.col("line_no").cast("string")).alias("item_id"), "side", "turn")
-    )
-    return lifecycle.item_runs(presence, graph_scan_table(spark, sf_dir))
+    return stretches(spark, sf_dir, graph_base_table(spark, sf_dir))
 
 
 @query("lifecycle_runs", q(LIFE, "SELECT session_id, item_id, from_turn, to_turn, turns FROM runs"))
@@ -270,22 +277,36 @@ def lifecycle_runs(spark, sf_dir):
     return graph_runs(spark, sf_dir).drop("agent", "side")
 
 
-@query(
-    "lifecycle_items",
-    q(
-        LIFE,
-        """SELECT r.session_id, r.item_id, r.first_present, r.last_present, r.turns_present, r.runs, s.n_turn IS NULL AS still_present,
- CASE WHEN s.n_turn IS NOT NULL THEN CASE WHEN s.n_comp IS NOT NULL AND s.n_comp IS DISTINCT FROM s.comp THEN 'compaction' ELSE 'branch-diverged' END END AS departure,
- s.n_turn AS departure_turn, CAST(0 AS BIGINT) AS unknown_turns, coalesce(g.turn<>r.first_present, FALSE) AS first_seen_disagrees
+ITEMS = """SELECT r.session_id, r.item_id, r.first_present, r.last_present, r.turns_present, r.runs, s.n_turn IS NULL AS still_present,
+ CASE WHEN s.n_turn IS NOT NULL AND s.n_readable THEN CASE WHEN s.n_comp IS NOT NULL AND s.n_comp IS DISTINCT FROM s.comp THEN 'compaction' ELSE 'branch-diverged' END END AS departure,
+ s.n_turn AS departure_turn, CAST(s.unread - f.unread + CASE WHEN s.n_readable THEN 0 WHEN s.n_turn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS unknown_turns, coalesce(g.turn<>r.first_present, FALSE) AS first_seen_disagrees
  FROM (SELECT session_id, item_id, seq, side, min(from_turn) AS first_present, max(to_turn) AS last_present, CAST(sum(turns) AS BIGINT) AS turns_present, count(*) AS runs FROM runs GROUP BY 1,2,3,4) r
- JOIN sn s ON s.session_id=r.session_id AND s.side=r.side AND s.turn=r.last_present JOIN gt g ON g.session_id=r.session_id AND g.seq=r.seq""",
-    ),
-)
-def lifecycle_items(spark, sf_dir):
-    recorded = lake.graph_log(spark, sf_dir).select(
+ JOIN sn s ON s.session_id=r.session_id AND s.side=r.side AND s.turn=r.last_present
+ JOIN sn f ON f.session_id=r.session_id AND f.side=r.side AND f.turn=r.first_present JOIN gt g ON g.session_id=r.session_id AND g.seq=r.seq"""
+
+
+def _recorded(spark, sf_dir):
+    return lake.graph_log(spark, sf_dir).select(
         *SESSION, F.concat(F.lit("claude:"), F.col("line_no").cast("string")).alias("item_id"), F.col("turn").alias("first_seen_turn")
     )
-    return lifecycle.lifecycles(graph_runs(spark, sf_dir), graph_scan_table(spark, sf_dir), recorded).drop("agent")
+
+
+@query("lifecycle_items", q(LIFE, ITEMS))
+def lifecycle_items(spark, sf_dir):
+    return lifecycle.lifecycles(graph_runs(spark, sf_dir), graph_scan_table(spark, sf_dir), _recorded(spark, sf_dir)).drop("agent")
+
+
+@query("lifecycle_items_unreadable", q(LIFE.replace("TRUE AS readable", "t.turn%7<>3 AS readable"), ITEMS))
+def lifecycle_items_unreadable(spark, sf_dir):
+    """The same where every seventh turn of a session could not be read: stretches break, causes are unknown."""
+    lost = F.col("turn") % 7 == 3
+    bases = graph_base_table(spark, sf_dir).select(
+        *SESSION, "turn", "side", (F.col("available") & ~lost).alias("available"),
+        *[F.when(~lost, F.col(c)).alias(c) for c in ("compaction_seq", "base", "base_entry")],
+    )
+    bases = stage(bases)
+    runs = stage(stretches(spark, sf_dir, bases))
+    return lifecycle.lifecycles(runs, graph_scans(bases), _recorded(spark, sf_dir)).drop("agent")
 
 
 @query(

@@ -8,6 +8,7 @@ from tokenloom.catalog import lake
 from tokenloom.catalog.registry import query
 from tokenloom.catalog.sql import GV, GWALK, q
 from tokenloom.operators import chains
+from tokenloom.session import stage
 
 
 @query("turns_graph", q(GV, "SELECT session_id, turn, ts, model, prompt_tokens, anchor_seq, response_start_seq FROM gturns"))
@@ -35,9 +36,26 @@ def graph_member_table(spark, sf_dir):
     return chains.graph_members(lake.graph_log(spark, sf_dir), lake.graph_turn_table(spark, sf_dir))
 
 
+_FORESTS: dict[tuple[str, str], tuple] = {}
+
+
+def graph_forest(spark, sf_dir):
+    """The numbered node table and its jump tables, made once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FORESTS:
+        nodes, tables = chains.numbered_nodes(lake.graph_log(spark, sf_dir))
+        _FORESTS[key] = (stage(nodes), tables)
+    return _FORESTS[key]
+
+
+@lake.table
+def graph_base_table(spark, sf_dir):
+    return chains.turn_bases(graph_forest(spark, sf_dir)[0], lake.graph_turn_table(spark, sf_dir))
+
+
 @lake.table
 def graph_size_table(spark, sf_dir):
-    return chains.graph_context_sizes(lake.graph_log(spark, sf_dir), lake.graph_turn_table(spark, sf_dir))
+    return chains.base_sizes(graph_forest(spark, sf_dir)[0], graph_base_table(spark, sf_dir))
 
 
 @query("chain_members", q(GWALK, "SELECT session_id, turn, seq, CAST(dist AS BIGINT) AS distance FROM members"))

@@ -56,6 +56,44 @@ def item_runs(presence: DataFrame, numbered: DataFrame) -> DataFrame:
     )
 
 
+def thread_order(bases: DataFrame) -> DataFrame:
+    """Every turn's position in its thread and where the chains of its neighbours begin.
+
+    ``bases``: session, ``side``, ``turn``, ``base``, ``base_entry`` (NULL: nothing held).
+    """
+    place = F.struct("base_entry")
+    return running(
+        bases,
+        THREAD,
+        "turn",
+        {
+            "ordinal": running_count(F.lit(True), inclusive=True),
+            "__before": last_known(place),
+            "__after": next_known(place, inclusive=False),
+        },
+    ).select(*THREAD, "turn", "ordinal", "base", "base_entry", F.col("__before.base_entry").alias("before"), F.col("__after.base_entry").alias("after"))
+
+
+def change_runs(changes: DataFrame) -> DataFrame:
+    """Unbroken stretches from their ends: every entry goes with the next leaving.
+
+    ``changes``: session, ``item_id``, ``side``, ``turn``, ``ordinal``, ``enters``.
+    """
+    leaves = ~F.col("enters")
+    # An item may enter and leave within one turn; the entry comes first.
+    ranked = changes.withColumn("__at", F.col("ordinal") * 2 + leaves.cast("bigint"))
+    paired = running(
+        ranked, ITEM, "__at", {"__to": next_known(F.when(leaves, F.struct("turn", "ordinal")), inclusive=False)}
+    ).where("enters")
+    return paired.select(
+        *ITEM,
+        "side",
+        F.col("turn").alias("from_turn"),
+        F.col("__to.turn").alias("to_turn"),
+        (F.col("__to.ordinal") - F.col("ordinal") + 1).alias("turns"),
+    )
+
+
 def departure(agent: Column, nxt: Column, held: Column) -> Column:
     """Why an item left after its last turn; NULL when it did not or nobody knows."""
     moved = nxt["compaction_line"].isNotNull() & ~nxt["compaction_line"].eqNullSafe(held)
