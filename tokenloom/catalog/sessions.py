@@ -11,11 +11,11 @@ from tokenloom import bridge
 from tokenloom.catalog import lake
 from tokenloom.catalog.registry import query
 from tokenloom.catalog.sql import q
-from tokenloom.functions.secrets import redacted
 from tokenloom.operators import catalog as cat
 from tokenloom.schema import SESSION
 from tokenloom.session import ensure_checkpoint_dir
 from tokenloom.sources import inventory, lines
+from tokenloom.sources.growing import SCHEMA, GrowingLines
 
 FILES = """
 f0 AS (SELECT CAST(user_id%40 AS VARCHAR)||'-'||CAST(event_id//65536 AS VARCHAR) AS file, event_id AS n, CAST(props->>'$.k' AS BIGINT) AS k,
@@ -25,9 +25,14 @@ f2 AS (SELECT file, n, row_number() OVER w AS line_no, CAST(sum(framed) OVER w A
 """
 
 
-@lake.table
-def scanned_files(spark, sf_dir):
-    """Write the lines as files in the shared folder, then scan the files."""
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def log_folder(spark, sf_dir) -> str:
+    """The lines written as files into the shared folder, once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _FOLDERS:
+        return _FOLDERS[key]
     root = f"{ensure_checkpoint_dir(spark)}/logs-{uuid.uuid4().hex}"
     (
         bridge.line_files(spark, sf_dir)
@@ -37,7 +42,13 @@ def scanned_files(spark, sf_dir):
         .write.partitionBy("file")
         .text(root, lineSep="\n")
     )
-    return lines.raw_lines(spark, root, glob="*.txt")
+    _FOLDERS[key] = root
+    return root
+
+
+@lake.table
+def scanned_files(spark, sf_dir):
+    return lines.raw_lines(spark, log_folder(spark, sf_dir), glob="*.txt")
 
 
 @query("scan_log_files", q(FILES, "SELECT file, line_no, byte_offset, byte_len, n FROM f2 WHERE byte_len>0"))
@@ -51,11 +62,36 @@ def scan_log_files(spark, sf_dir):
     )
 
 
+@query("tail_growing_files", q(FILES, "SELECT file, byte_offset, byte_len, n FROM f2 WHERE byte_len>0"))
+def tail_growing_files(spark, sf_dir):
+    """One poll of the stream over growing files, in ranges of 64 KiB that cut lines anywhere."""
+    spark.dataSource.register(GrowingLines)
+    out = f"{ensure_checkpoint_dir(spark)}/tail-{uuid.uuid4().hex}"
+    polled = (
+        spark.readStream.format("growing_lines")
+        .option("path", log_folder(spark, sf_dir))
+        .option("suffix", ".txt")
+        .option("rangeBytes", 1 << 16)
+        .load()
+    )
+    poll = polled.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
+    poll = poll.start(out, format="parquet")
+    poll.awaitTermination()
+    if poll.exception() is not None:
+        raise poll.exception()
+    return spark.read.schema(SCHEMA).parquet(out).select(
+        F.regexp_extract("path", "file=([^/]+)", 1).alias("file"),
+        "byte_offset",
+        "byte_len",
+        F.get_json_object("raw", "$.n").cast("bigint").alias("n"),
+    )
+
+
 @query("recover_record_by_position", q(FILES, "SELECT file, line_no, n FROM f2 WHERE byte_len>0 AND line_no%9=0"))
 def recover_record_by_position(spark, sf_dir):
     table = scanned_files(spark, sf_dir)
     wanted = table.where(F.col("line_no") % 9 == 0).select("path", "line_no")
-    found = lines.recover_records(wanted, table, redact=redacted)
+    found = lines.recover_records(wanted, table)
     return found.select(
         F.regexp_extract("path", "file=([^/]+)", 1).alias("file"),
         "line_no",
@@ -63,6 +99,42 @@ def recover_record_by_position(spark, sf_dir):
     )
 
 
+PLANTED = """
+rec AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn+1 AS line_no, left(regexp_replace(text,'[^A-Za-z ]','','g'),40) AS t, conv_id*100+turn AS n FROM conversations),
+planted AS (SELECT *, CASE n%3 WHEN 0 THEN chr(92)||'n' WHEN 1 THEN chr(92)||'t' ELSE chr(92)||'"' END AS esc FROM rec)
+"""
+
+
+@query(
+    "records_hide_keys_behind_escapes",
+    q(
+        PLANTED,
+        """SELECT session_id, line_no, '{"t":"'||t||esc||'[REDACTED:aws-access-key-id]'||esc||'","n":'||n||'}' AS raw FROM planted
+UNION ALL SELECT session_id, line_no, 'hit '||CASE WHEN length(h)>176 THEN left(h,176)||'…' ELSE h END FROM (
+ SELECT session_id, line_no, '{"t":"'||t||esc||'[REDACTED:aws-access-key-id]'||esc||'","n":'||n||'}' AS h FROM planted WHERE n%5=0)""",
+    ),
+)
+def records_hide_keys_behind_escapes(spark, sf_dir):
+    """Keys planted behind line ends, tabs and quotes of JSON records, recovered and searched."""
+    conv = bridge.read(spark, sf_dir, "conversations")
+    n = F.col("conv_id") * 100 + F.col("turn")
+    esc = F.concat(F.lit("\\"), F.when(n % 3 == 0, "n").when(n % 3 == 1, "t").otherwise('"'))
+    key = F.concat(F.lit("AKIA"), F.lpad(n.cast("string"), 16, "0"))
+    text = F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(40))
+    raw = F.concat(F.lit('{"t":"'), text, esc, key, esc, F.lit('","n":'), n.cast("string"), F.lit("}"))
+    table = conv.select(
+        F.lit("codex").alias("agent"), F.col("conv_id").cast("string").alias("session_id"), F.col("conv_id").cast("string").alias("path"),
+        (F.col("turn") + 1).alias("line_no"), F.col("turn"), n.alias("n"), raw.alias("raw"),
+    )
+    records = lines.recover_records(table.select("session_id", "path", "line_no"), table).select("session_id", "line_no", "raw")
+    searched = table.where("n % 5 = 0")
+    hits = cat.search_lines(searched.select("agent", "session_id", "line_no", "raw"), "akia")
+    found = cat.first_hits(hits, table.select("agent", "session_id", "line_no", "turn"), limit=1 << 30)
+    return records.unionByName(
+        found.select("session_id", "line_no", F.concat(F.lit("hit "), F.col("preview")).alias("raw"))
+    )
+
+
 @query(
     "oversized_and_malformed",
     """SELECT doc_id, CASE WHEN length(text)=0 THEN NULL WHEN doc_id%3=0 THEN 'note' WHEN doc_id%3=1 THEN 'deep' END AS sniffed, doc_id%5<>0 AS parsed FROM documents""",
@@ -315,4 +387,4 @@ def search_first_hits(spark, sf_dir):
         F.floor(F.col("turn") / 2 + 1).cast("bigint").alias("turn"), F.col("text").alias("raw"),
     )
     hits = cat.search_lines(table.drop("turn"), "the")
-    return cat.first_hits(hits, table.drop("raw"), redacted).drop("agent")
+    return cat.first_hits(hits, table.drop("raw")).drop("agent")

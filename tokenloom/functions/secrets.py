@@ -185,6 +185,11 @@ def redact_record(raw: Column) -> Column:
     return F.struct(out.alias("text"), (marker_count(out) - marker_count(raw)).alias("n"))
 
 
+def redact_line(raw: Column) -> Column:
+    """A log line whatever its form: values of a JSON record are decoded first, then what stands outside of them."""
+    return redacted(redact_record(raw)["text"])
+
+
 def verbatim_record(raw: Column) -> Column:
     """The transform that keeps records as they are."""
     return F.struct(raw.alias("text"), F.lit(0).cast("bigint").alias("n"))

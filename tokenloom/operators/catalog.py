@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import is_temporary_path, leaf
+from tokenloom.functions.secrets import redact_line
 from tokenloom.schema import SESSION
 
 PAGE_DEFAULT = 200
@@ -158,7 +159,7 @@ def search_lines(lines: DataFrame, needle: str) -> DataFrame:
     return lines.where(F.lower("raw").contains(needle.strip().lower()))
 
 
-def first_hits(hits: DataFrame, turns_by_line: DataFrame, redact, limit: int = HITS_DEFAULT) -> DataFrame:
+def first_hits(hits: DataFrame, turns_by_line: DataFrame, redact=redact_line, limit: int = HITS_DEFAULT) -> DataFrame:
     """A page of hits with turn and redacted preview."""
     taken = hits.orderBy(*SESSION, "line_no").limit(max(1, limit))
     preview = redact(F.trim("raw"))

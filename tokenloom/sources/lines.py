@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions.secrets import redact_line
 from tokenloom.plans.scan import running, running_count, running_sum
 
 #: Records up to this size always fit into a VARIANT.
@@ -104,10 +105,11 @@ def parsed(raw: Column) -> Column:
     return F.try_parse_json(raw)
 
 
-def recover_records(items: DataFrame, lines: DataFrame, redact=None) -> DataFrame:
-    """The raw record behind each item, redacted unless told otherwise.
+def recover_records(items: DataFrame, lines: DataFrame, redact=redact_line) -> DataFrame:
+    """The raw record behind each item, redacted as a record unless told otherwise.
 
-    ``items`` carry ``path`` and ``line_no``; only those lines are fetched.
+    ``items`` carry ``path`` and ``line_no``; only those lines are fetched.  ``None``
+    for ``redact`` gives them as they are.
     """
     found = items.join(lines.select("path", "line_no", "raw"), ["path", "line_no"], "left")
     return found if redact is None else found.withColumn("raw", redact(F.col("raw")))

@@ -1,8 +1,7 @@
-"""New lines of growing logs, landed as files a stream can read.
+"""New lines of growing logs whose line table is at hand, landed as files a stream can read.
 
-A file stream sees each path once, but live logs grow in place.  A poll reads
-only files that changed, takes the lines past the last known offset and lands
-them as new files.
+This works on a table of numbered lines, so it costs a pass over that table.  Where
+logs grow in place, :mod:`tokenloom.sources.growing` reads only the bytes that are new.
 """
 
 from __future__ import annotations
