@@ -113,8 +113,24 @@ def _differ(left: list[Column], right: list[Column]) -> Column:
     return total
 
 
+def _lanes_differ(left: list[Column], right: list[Column]) -> Column:
+    """How many of the four-bit lanes differ: their bits are gathered in the lowest one."""
+    total = F.lit(0)
+    for a, b in zip(left, right):
+        x = a.bitwiseXOR(b)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def _links(
-    keyed: DataFrame, names: list[str], max_bits: int, hot: int, real: Callable[[DataFrame], DataFrame] | None = None
+    keyed: DataFrame,
+    names: list[str],
+    max_bits: int,
+    hot: int,
+    real: Callable[[DataFrame], DataFrame] | None = None,
+    count: Callable[[list[Column], list[Column]], Column] = _differ,
 ) -> DataFrame:
     """Links that join the same groups as all pairs within ``max_bits`` that share a key.
 
@@ -128,15 +144,17 @@ def _links(
     link between two groups is lost.
     """
     real = real or (lambda pairs: pairs)
-    differ = _differ([F.col(f"a.p.{n}") for n in names], [F.col(f"b.p.{n}") for n in names])
+    differ = count([F.col(f"a.p.{n}") for n in names], [F.col(f"b.p.{n}") for n in names])
     pair = (F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    large = stage(keyed.groupBy("key").count().where(F.col("count") > hot).select("key"))
-    cold = keyed.join(large, "key", "left_anti")
-    near = cold.alias("a").join(
-        cold.alias("b"),
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (differ <= max_bits),
-    )
-    warm = stage(keyed.join(large, "key", "left_semi"))
+    warm, near = keyed, None
+    if hot > 1:
+        large = stage(keyed.groupBy("key").count().where(F.col("count") > hot).select("key"))
+        cold = keyed.join(large, "key", "left_anti")
+        near = cold.alias("a").join(
+            cold.alias("b"),
+            (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (differ <= max_bits),
+        ).select(*pair)
+        warm = stage(keyed.join(large, "key", "left_semi"))
     turn = F.xxhash64("key", "rep")
     leader = stage(warm.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "rep", "p")).alias("l")))
     leader = leader.select("key", "l.rep", "l.p")
@@ -144,7 +162,8 @@ def _links(
         leader.alias("b"),
         (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") != F.col("b.rep")) & (differ <= max_bits),
     )
-    links = stage(real(near.select(*pair).union(star.select(*pair)).distinct()))
+    star = star.select(*pair)
+    links = stage(real((star if near is None else near.union(star)).distinct()))
     if warm.isEmpty():
         return links
     found = components(links)
@@ -177,9 +196,10 @@ def groups(prints: DataFrame, max_bits: int, hot: int = 256) -> DataFrame:
 
 #: MinHash bands and values of a band: a pair at 0.8 shares a band with a chance of 0.99994.
 BANDS, DEEP = 32, 6
-#: Of the values one bit each is kept.  Pairs at 0.8 differ in 19 of the 192 on average;
-#: more than 44 are six deviations away.
-SKETCH_BITS = 44
+#: Of each value four bits are kept, one lane of a sketch.  Candidates share a band; of the other
+#: 186 lanes a pair at 0.8 differs in 35 on average and in more than 56 with a chance of 0.0001.
+SKETCH_LANES = 56
+_SKETCH = [f"b{i}" for i in range(BANDS * DEEP // 16)]
 
 _TURNS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * DEEP, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -197,7 +217,7 @@ def _set_id(shingles: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, set_id, b0 .. b2, keys)`` of every document with an id: its shingle set, one bit of
+    """``(doc_id, set_id, b0 .. b11, keys)`` of every document with an id: its shingle set, four bits of
     each minimum, and a key of every band; no key without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,16 +227,17 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 shingles = np.unique(shingle_hashes(text, width))
                 low = minima(shingles)
                 ids.append(_set_id(shingles))
-                bits.append(np.packbits((mix(low) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64))
+                lanes = (mix(low) & np.uint64(15)).astype(np.uint8)
+                bits.append((lanes[0::2] | lanes[1::2] << 4).view(np.int64))
                 key = np.arange(BANDS, dtype=np.uint64)
                 for values in low.reshape(BANDS, DEEP).T:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values)
                 keys.append(key.view(np.int64) if len(shingles) else key[:0].view(np.int64))
-            bits = np.array(bits, np.int64).reshape(-1, 3)
+            bits = np.array(bits, np.int64).reshape(-1, len(_SKETCH))
             out = {"doc_id": batch["doc_id"].to_numpy(), "set_id": np.array(ids, np.uint64).view(np.int64)}
-            yield pd.DataFrame({**out, **{f"b{i}": bits[:, i] for i in range(3)}, "keys": keys})
+            yield pd.DataFrame({**out, **{n: bits[:, i] for i, n in enumerate(_SKETCH)}, "keys": keys})
 
-    schema = "doc_id long, set_id long, b0 long, b1 long, b2 long, keys array<long>"
+    schema = "doc_id long, set_id long, " + ", ".join(f"{n} long" for n in _SKETCH) + ", keys array<long>"
     return short_batches(docs).select("doc_id", "text").where("doc_id is not null").mapInPandas(run, schema)
 
 
@@ -244,25 +265,29 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return sized.where(F.col("n") / (F.col("i") + F.col("j") - F.col("n")) >= similarity).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot: int = 1) -> DataFrame:
     """``(doc_id, component_id)``: documents linked at a Jaccard similarity of their shingle sets.
 
     Equal sets are folded.  Candidates share one of ``BANDS`` bands of MinHash values, so
     a pair at 0.8 is missed with a chance of less than 0.0001, one at 0.9 of 1e-10.  The
     sets of documents that share a band are then built, and a candidate links only if
-    its exact similarity is high enough, so nothing below it is linked directly.
+    its exact similarity is high enough, so nothing below it is linked directly.  In every
+    bucket a leader is compared first, so a group of near copies costs its size.
     """
-    names = ["b0", "b1", "b2"]
     prints = stage(sketches(docs, width))
-    first = [F.first(c).alias(c) for c in (*names, "keys")]
+    first = [F.first(c).alias(c) for c in (*_SKETCH, "keys")]
     kinds = stage(prints.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *first))
-    keyed = kinds.select(F.explode("keys").alias("key"), F.col("set_id").alias("rep"), F.struct(*names).alias("p"))
+    keyed = kinds.select(F.explode("keys").alias("key"), F.col("set_id").alias("rep"))
     shared = stage(keyed.groupBy("key").count().where("count > 1").select("key"))
-    keyed = stage(keyed.join(shared, "key", "left_semi"))
+    keyed = keyed.join(shared, "key", "left_semi")
+    # Only sets that share a band need their sketch.
+    sketched = kinds.select(F.col("set_id").alias("rep"), F.struct(*_SKETCH).alias("p"))
+    keyed = stage(keyed.join(sketched, "rep").select("key", "rep", "p"))
     nodes = keyed.select(F.col("rep").alias("set_id")).distinct()
     wanted = stage(kinds.join(nodes, "set_id", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
     sets = stage(shingle_sets(docs.join(broadcast_if_small(wanted), "doc_id", "left_semi"), width))
-    found = components(_links(keyed, names, SKETCH_BITS, hot, lambda pairs: _similar(pairs, sets, similarity)))
+    real = lambda pairs: _similar(pairs, sets, similarity)
+    found = components(_links(keyed, _SKETCH, SKETCH_LANES, hot, real, _lanes_differ))
     placed = stage(
         kinds.join(found, kinds["set_id"] == found["node"], "left").select(
             "set_id", "rep", F.coalesce("component", "set_id").alias("c")
