@@ -131,11 +131,14 @@ def _links(
     hot: int,
     real: Callable[[DataFrame], DataFrame] | None = None,
     count: Callable[[list[Column], list[Column]], Column] = _differ,
+    banded: bool = False,
 ) -> DataFrame:
     """Links that join the same groups as all pairs within ``max_bits`` that share a key.
 
     ``keyed`` is ``(key, rep, p)`` with the words ``names`` in ``p``; of the pairs found
-    only those that ``real`` keeps are links.
+    only those that ``real`` keeps are links.  Where ``banded``, ``p`` also holds all ``keys``
+    of the set and the ``band`` of this one, and two sets are compared in the first band
+    that they share.
 
     A bucket of at most ``hot`` fingerprints is compared pair by pair.  In a larger one
     every member is first compared with one leader, another one in each bucket; then
@@ -173,10 +176,11 @@ def _links(
     placed = stage(placed)
     most = placed.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
     minor = stage(placed.join(stage(most), "key").where("c != most").drop("most"))
-    cross = minor.alias("a").join(
-        placed.alias("b"),
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & (differ <= max_bits),
-    )
+    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & (differ <= max_bits)
+    if banded:
+        earlier = [F.slice(f"{x}.p.keys", F.lit(1), F.col("a.p.band")) for x in "ab"]
+        meets = meets & ~F.exists(F.zip_with(*earlier, lambda x, y: x == y), lambda same: same)
+    cross = minor.alias("a").join(placed.alias("b"), meets)
     return links.union(stage(real(cross.select(*pair).distinct())))
 
 
@@ -277,17 +281,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ho
     prints = stage(sketches(docs, width))
     first = [F.first(c).alias(c) for c in (*_SKETCH, "keys")]
     kinds = stage(prints.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *first))
-    keyed = kinds.select(F.explode("keys").alias("key"), F.col("set_id").alias("rep"))
+    keyed = kinds.select(F.posexplode("keys").alias("band", "key"), F.col("set_id").alias("rep"))
     shared = stage(keyed.groupBy("key").count().where("count > 1").select("key"))
     keyed = keyed.join(shared, "key", "left_semi")
     # Only sets that share a band need their sketch.
-    sketched = kinds.select(F.col("set_id").alias("rep"), F.struct(*_SKETCH).alias("p"))
-    keyed = stage(keyed.join(sketched, "rep").select("key", "rep", "p"))
+    sketched = kinds.select(F.col("set_id").alias("rep"), *_SKETCH, "keys")
+    keyed = stage(keyed.join(sketched, "rep").select("key", "rep", F.struct(*_SKETCH, "keys", "band").alias("p")))
     nodes = keyed.select(F.col("rep").alias("set_id")).distinct()
     wanted = stage(kinds.join(nodes, "set_id", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
     sets = stage(shingle_sets(docs.join(broadcast_if_small(wanted), "doc_id", "left_semi"), width))
     real = lambda pairs: _similar(pairs, sets, similarity)
-    found = components(_links(keyed, _SKETCH, SKETCH_LANES, hot, real, _lanes_differ))
+    found = components(_links(keyed, _SKETCH, SKETCH_LANES, hot, real, _lanes_differ, banded=True))
     placed = stage(
         kinds.join(found, kinds["set_id"] == found["node"], "left").select(
             "set_id", "rep", F.coalesce("component", "set_id").alias("c")
