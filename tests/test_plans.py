@@ -1,12 +1,16 @@
 """Scans, order statistics, chains and digests against plain Python."""
 
+import datetime as dt
 import random
 import statistics
 
 from pyspark.sql import functions as F
 
+from tokenloom.operators.cost import as_of_revision
+from tokenloom.operators.reconstruct import linear_members
 from tokenloom.plans.dag import ancestor_totals, chain_members, jump_tables
 from tokenloom.plans.digest import ordered_digest
+from tokenloom.plans.hops import on_path
 from tokenloom.plans.quantile import median_ranks, nearest_rank, ranked_values
 from tokenloom.plans.scan import (
     dense_number,
@@ -19,6 +23,7 @@ from tokenloom.plans.scan import (
     with_neighbours,
 )
 from tokenloom.plans.skew import broadcast_if_small, top_k_per_group
+from tokenloom.sinks import feed
 
 
 def test_running_measures_cross_blocks(spark):
@@ -145,3 +150,74 @@ def test_ordered_digest_sees_order_and_content(spark):
     swapped = a[:4095] + [a[4096], a[4095]] + a[4097:]
     assert digest(a) == digest(list(a)) != digest(swapped)
     assert digest(a) != digest(a[:-1])
+
+
+def test_paths_of_hops_cross_blocks(spark):
+    rng = random.Random(9)
+    seqs = {k: [rng.randint(1, 4) if rng.random() < 0.98 else None for _ in range(n)] for k, n in [("a", 1), ("b", 70), ("c", 300)]}
+    seqs["d"] = [4] * 200
+    rows = [(k, i + 1, h) for k, hops in seqs.items() for i, h in enumerate(hops)]
+    got = on_path(spark.createDataFrame(rows, "k string, n bigint, hop int"), ["k"], "n", "hop", 4, bits=2).collect()
+    for k, hops in seqs.items():
+        want, at = [], 0
+        while at is not None and at < len(hops):
+            want.append(at + 1)
+            at = None if hops[at] is None else at + hops[at]
+        assert sorted(r.n for r in got if r.k == k) == want
+
+
+def test_items_meet_the_turns_that_hold_them(spark):
+    rng = random.Random(4)
+    kinds = ["user", "model", "system-prompt", "compaction-summary", None]
+    items = [("x", s, f"i{q}", q, rng.choice(kinds)) for s in "ab" for q in range(60)]
+    turns = []
+    for s in "ab":
+        for t in range(12):
+            comp = rng.choice([None, rng.randint(0, 55)])
+            turns.append(("x", s, t, None if t == 11 else rng.randint(0, 62), comp))
+    pool = spark.createDataFrame(items, "agent string, session_id string, item_id string, seq bigint, source_kind string")
+    asked = spark.createDataFrame(turns, "agent string, session_id string, turn bigint, cutoff_seq bigint, comp_seq bigint")
+    got = sorted((r.session_id, r.turn, r.seq) for r in linear_members(pool, asked, width=7).collect())
+    want = []
+    for _, s, t, cutoff, comp in turns:
+        for _, s2, _, q, kind in items:
+            if s2 == s and cutoff is not None and q < cutoff:
+                if q == comp if kind == "compaction-summary" else comp is None or q > comp or kind == "system-prompt":
+                    want.append((s, t, q))
+    assert got == sorted(want) and got
+
+
+def test_marks_cover_records_across_blocks(spark):
+    rng = random.Random(8)
+    spark.conf.set("tokenloom.scan.blockRows", "5")
+    try:
+        day = dt.datetime(2026, 1, 1)
+        marks = [
+            (rng.choice([None, rng.randint(1, 40)]), rng.randint(0, 45), rng.choice(["read", "dismiss"]), day + dt.timedelta(hours=i))
+            for i in rng.sample(range(50), 14)
+        ]
+        records = spark.range(1, 41).select("id")
+        got = feed.with_state(records, spark.createDataFrame(marks, "id bigint, up_to_id bigint, action string, at timestamp")).collect()
+    finally:
+        spark.conf.unset("tokenloom.scan.blockRows")
+    assert len(got) == 40
+    for r in got:
+        reads = [at for i, up, act, at in marks if act == "read" and (i == r.id or i is None and up >= r.id)]
+        gone = [at for i, up, act, at in marks if act == "dismiss" and i == r.id]
+        assert (r.read_at, r.dismissed_at) == (min(reads, default=None), min(gone, default=None))
+
+
+def test_prices_in_force_across_days(spark):
+    day = dt.datetime(2026, 1, 1)
+    rng = random.Random(2)
+    revisions = [(f"v{i:02d}", day + dt.timedelta(hours=rng.choice([0, 5, 30, 31, 80, 200]))) for i in range(12)]
+    now = day + dt.timedelta(hours=150)
+    asked = [(i, None if i % 9 == 0 else day + dt.timedelta(hours=i - 5)) for i in range(170)]
+    got = as_of_revision(
+        spark.createDataFrame(asked, "i bigint, ts timestamp"), spark.createDataFrame(revisions, "sha string, recorded_at timestamp"), now
+    ).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        at = r.ts or now
+        known = [(rec, sha) for sha, rec in revisions if rec <= at and rec <= now]
+        assert r.sha == (max(known)[1] if known and at <= now else None)

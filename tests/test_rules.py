@@ -160,6 +160,8 @@ def test_residual_steps_match_the_fold(spark):
                 level = max(1000, level + rng.choice([-20000, -7000, 7000, 15000]))
             points.append((t, None if rng.random() < 0.1 else level + rng.randint(0, 900)))
         sessions[f"s{s}"] = points
+    # Every turn of a rising session is a candidate of one run, most of them equal.
+    sessions["rising"] = [(t, 3000 * t + rng.choice([0, 0, 0, 900])) for t in range(1, 3000)]
     rows = [("x", s, t, u) for s, pts in sessions.items() for t, u in pts]
     out = residual.residual_steps(spark.createDataFrame(rows, "agent string, session_id string, turn bigint, unlogged bigint")).collect()
     got = {}

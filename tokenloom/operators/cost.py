@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tokenloom.functions.usage import category_cost, tier_price
+from tokenloom.plans.scan import next_known, running
 from tokenloom.plans.skew import broadcast_if_small
 from tokenloom.schema import AGENT_GRAPH, AGENT_LINEAR, SESSION
 
@@ -57,12 +57,18 @@ def revision_days(revisions: DataFrame, now: dt.datetime) -> DataFrame:
     """Each revision on every day it was in force, with its exact interval.
 
     An as-of lookup becomes an equality on the day plus a check inside the day.
-    Revisions are commits to one file: a small dimension, ordered in one task.
+    Of revisions with one time the last ``sha`` is in force.  The end of each
+    interval is the next time known, looked up in blocks of one day.
     """
-    stamped = revisions.select("sha", "recorded_at").distinct().where(F.col("recorded_at") <= F.lit(now))
-    spans = stamped.withColumn(
-        "until", F.lead("recorded_at").over(Window.partitionBy(F.lit(1)).orderBy("recorded_at", "sha"))
+    stamped = (
+        revisions.where(F.col("recorded_at") <= F.lit(now))
+        .groupBy("recorded_at")
+        .agg(F.max("sha").alias("sha"))
+        .withColumn("file", F.lit(1))
     )
+    day = F.unix_date(F.to_date("recorded_at")).cast("bigint")
+    ends = {"until": next_known(F.col("recorded_at"), inclusive=False)}
+    spans = running(stamped, ["file"], "recorded_at", ends, block=day).select("sha", "recorded_at", "until")
     last_day = F.to_date(F.coalesce("until", F.lit(now)))
     return spans.withColumn("day", F.explode(F.sequence(F.to_date("recorded_at"), last_day)))
 

@@ -209,23 +209,43 @@ def item_pool(events: DataFrame) -> DataFrame:
     return body.unionByName(summaries)
 
 
-def linear_members(pool: DataFrame, turns: DataFrame) -> DataFrame:
+#: Positions of a log that meet in one group when items are joined to turns.
+MEMBER_RANGE = 4_096
+
+
+def linear_members(pool: DataFrame, turns: DataFrame, width: int = MEMBER_RANGE) -> DataFrame:
     """Items of the given turns of straight logs.
 
     ``turns`` carries ``cutoff_seq`` and ``comp_seq``; pass only the turns
-    wanted, because the result lists every item of every turn.
+    wanted, because the result lists every item of every turn.  A turn reads the
+    ranges of ``width`` positions between its compaction and its cutoff, the
+    system prompts (range -1) and the summary of its compaction (a range of its
+    own below that), so items of other epochs never meet it and a long session
+    is many groups.  Each item lies in one range: no pair appears twice.
     """
-    wanted = turns.select(*SESSION, "turn", "cutoff_seq", "comp_seq")
     summary = F.col("source_kind") == "compaction-summary"
-    held = F.when(summary, F.col("seq") == F.col("comp_seq")).otherwise(
-        F.col("comp_seq").isNull()
-        | (F.col("seq") > F.col("comp_seq"))
-        | (F.col("source_kind") == "system-prompt")
+    system = F.col("source_kind") == "system-prompt"
+    items = pool.withColumn(
+        "__range",
+        F.when(summary, -F.col("seq") - 2)
+        .when(system, F.lit(-1))
+        .otherwise(F.floor(F.col("seq") / F.lit(width)))
+        .cast("bigint"),
+    )
+    first = F.floor((F.coalesce("comp_seq", F.lit(-1)) + 1) / F.lit(width)).cast("bigint")
+    last = F.floor((F.col("cutoff_seq") - 1) / F.lit(width)).cast("bigint")
+    own = F.when(F.col("comp_seq").isNotNull(), F.array(F.lit(-1).cast("bigint"), -F.col("comp_seq") - 2)).otherwise(
+        F.array(F.lit(-1).cast("bigint"))
+    )
+    between = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    wanted = turns.where(F.col("cutoff_seq").isNotNull()).select(
+        *SESSION, "turn", "cutoff_seq", "comp_seq", F.explode(F.concat(own, between)).alias("__range")
     )
+    apart = F.col("comp_seq").isNull() | (F.col("__range") < 0) | (F.col("seq") > F.col("comp_seq"))
     return (
-        pool.join(wanted, SESSION)
-        .where((F.col("seq") < F.col("cutoff_seq")) & held)
-        .drop("cutoff_seq", "comp_seq")
+        items.join(wanted, [*SESSION, "__range"])
+        .where((F.col("seq") < F.col("cutoff_seq")) & apart)
+        .drop("cutoff_seq", "comp_seq", "__range")
     )
 
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.plans.hops import on_path
 from tokenloom.plans.quantile import median_ranks, nearest_rank, ranked_values
 from tokenloom.plans.scan import (
     dense_number,
     last_known,
     neighbour_window,
     running,
-    running_count,
     with_neighbours,
 )
 from tokenloom.schema import RESIDUAL_STEP_TOKENS, SESSION, STEP_WINDOW
+from tokenloom.session import cut
 
 TURN = [*SESSION, "turn"]
 
@@ -110,9 +111,8 @@ def residual_steps(
 
     The medians of the ``window`` known turns before and from a turn on are
     compared.  Candidates of one sign at most ``window`` turns apart are one
-    change; the larger wins and moves the reference point, so a run of
-    candidates is folded in order.  A run cannot be long: every ``2 * window``
-    turns of it raise a 32-bit figure by the threshold.
+    change; the larger wins and moves the reference point.  That fold is a path
+    of hops over at most ``window + 1`` candidates, so runs may have any length.
     """
     known = dense_number(series.where(F.col("unlogged").isNotNull()).select(*TURN, "unlogged"), SESSION, "turn")
     frame = neighbour_window(SESSION, "n")
@@ -134,33 +134,25 @@ def residual_steps(
         .where(F.abs("growth") >= threshold)
         .select(*TURN, "from_tokens", "to_tokens", "growth")
     )
-    linked = running(steps, SESSION, "turn", {"p": last_known(F.struct("turn", "growth"))})
-    fresh = (
-        F.col("p").isNull()
-        | (F.col("turn") - F.col("p.turn") > window)
-        | (F.signum("growth") != F.signum(F.col("p.growth")))
-    )
-    grouped = running(
-        linked.withColumn("fresh", fresh).drop("p"),
+    # What takes a candidate's place depends on the candidate alone: the first
+    # later one that is larger, of the other sign, or out of reach.
+    reach = window + 1
+    frame = neighbour_window(SESSION, "n").rowsBetween(1, reach)
+    later = with_neighbours(
+        dense_number(steps, SESSION, "turn"),
         SESSION,
-        "turn",
-        {"grp": running_count(F.col("fresh"), inclusive=True)},
-    )
-    runs = grouped.groupBy(*SESSION, "grp").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "from_tokens", "to_tokens", "growth"))).alias("steps")
-    )
-    kept = F.aggregate(
-        "steps",
-        F.array().cast("array<struct<turn:bigint,from_tokens:bigint,to_tokens:bigint,growth:bigint>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["turn"] - F.element_at(acc, -1)["turn"] <= window),
-            F.when(
-                F.abs(s["growth"]) > F.abs(F.element_at(acc, -1)["growth"]),
-                F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), s),
-            ).otherwise(acc),
-        ).otherwise(F.array_append(acc, s)),
+        "n",
+        0,
+        reach,
+        {"ahead": F.collect_list(F.struct("turn", "growth")).over(frame)},
     )
-    return runs.select(*SESSION, F.explode(kept).alias("s")).select(*SESSION, "s.*")
+    apart = lambda s: (s["turn"] - F.col("turn") > window) | (F.signum(s["growth"]) != F.signum("growth"))
+    larger = lambda s: F.abs(s["growth"]) > F.abs("growth")
+    hop = F.array_position(F.transform("ahead", lambda s: apart(s) | larger(s)), True)
+    hops = later.withColumn("hop", F.when(hop > 0, hop))
+    final = F.col("hop").isNull() | apart(F.get("ahead", F.col("hop").cast("int") - 1))
+    candidates = cut(hops.withColumn("final", final).drop("ahead"))
+    return on_path(candidates, SESSION, "n", "hop", reach).where("final").select(*steps.columns)
 
 
 def near_compaction(steps: DataFrame, events: DataFrame, within: int = STEP_WINDOW) -> DataFrame:

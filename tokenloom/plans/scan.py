@@ -50,6 +50,8 @@ class Measure:
             return F.coalesce(F.sum(self.expr).over(ahead), F.lit(0))
         if self.kind == "max":
             return F.max(self.expr).over(ahead)
+        if self.kind == "min":
+            return F.min(self.expr).over(ahead)
         if self.kind == "last":
             return F.last(self.expr, ignorenulls=True).over(ahead)
         # "next": read the block backwards, because a frame that ends at
@@ -66,6 +68,8 @@ class Measure:
             return F.sum(self.expr)
         if self.kind == "max":
             return F.max(self.expr)
+        if self.kind == "min":
+            return F.min(self.expr)
         position = F.when(self.expr.isNotNull(), F.col(order))
         return F.max_by(self.expr, position) if self.kind == "last" else F.min_by(self.expr, position)
 
@@ -76,6 +80,8 @@ class Measure:
             return F.coalesce(F.sum(total).over(before), F.lit(0))
         if self.kind == "max":
             return F.max(total).over(before)
+        if self.kind == "min":
+            return F.min(total).over(before)
         if self.kind == "last":
             return F.last(total, ignorenulls=True).over(before)
         after = Window.partitionBy(*keys).orderBy(F.col(_BLOCK).desc())
@@ -86,6 +92,8 @@ class Measure:
             return local + carried
         if self.kind == "max":
             return F.greatest(local, carried)
+        if self.kind == "min":
+            return F.least(local, carried)
         return F.coalesce(local, carried)
 
 
@@ -101,6 +109,10 @@ def running_max(expr: Column, inclusive: bool = False) -> Measure:
     return Measure("max", expr, inclusive)
 
 
+def running_min(expr: Column, inclusive: bool = False) -> Measure:
+    return Measure("min", expr, inclusive)
+
+
 def last_known(expr: Column, inclusive: bool = False) -> Measure:
     """The latest non-null value at or before the row (before it, when exclusive)."""
     return Measure("last", expr, inclusive)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tokenloom.functions.text import alert_key
-from tokenloom.plans.scan import running, running_count
+from tokenloom.plans.scan import running, running_count, running_min
 from tokenloom.session import cut
 
 
@@ -72,16 +71,21 @@ def with_state(records: DataFrame, marks: DataFrame) -> DataFrame:
         F.min(F.when(F.col("action") == "dismiss", F.col("at"))).alias("dismissed_at"),
     )
     # A mark for all is spread over the records it covers as a running minimum
-    # from the newest id down; records are at most the visible ones.
-    everything = marks.where(F.col("id").isNull() & (F.col("action") == "read")).select(
-        F.col("up_to_id").alias("id"), "at"
+    # from the newest id down, in blocks of ids.
+    everything = (
+        marks.where(F.col("id").isNull() & (F.col("action") == "read"))
+        .groupBy(F.col("up_to_id").alias("id"))
+        .agg(F.min("at").alias("at"))
     )
-    points = records.select("id", F.lit(None).cast("timestamp").alias("at"), F.lit(True).alias("is_record")).unionByName(
-        everything.withColumn("is_record", F.lit(False))
+    points = (
+        records.select("id", F.lit(None).cast("timestamp").alias("at"), F.lit(True).alias("is_record"))
+        .unionByName(everything.withColumn("is_record", F.lit(False)))
+        .groupBy("id")
+        .agg(F.min("at").alias("at"), F.max("is_record").alias("is_record"))
+        .select("*", (-F.col("id")).alias("falling"), F.lit(1).alias("feed"))
     )
-    falling = Window.partitionBy(F.lit(1)).orderBy(F.col("id").desc(), F.col("is_record").asc())
     covered = (
-        points.withColumn("all_read", F.min("at").over(falling.rowsBetween(Window.unboundedPreceding, 0)))
+        running(points, ["feed"], "falling", {"all_read": running_min(F.col("at"), inclusive=True)})
         .where("is_record")
         .select("id", "all_read")
     )
