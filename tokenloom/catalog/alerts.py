@@ -127,28 +127,114 @@ def feed_numbering(spark, sf_dir):
     return numbered.select((F.col("id") - 5).alias("id"), F.lit(5).alias("base"))
 
 
-@query(
-    "stream_alert_feed",
-    q(KEYED, "SELECT dedupe_key, max(rule) AS rule, min(seq) AS seq FROM fk GROUP BY 1"),
-)
-def stream_alert_feed(spark, sf_dir):
-    """The monitor polled three times over growing files; the oracle is the batch result."""
+def polled_feed(spark, source, settings):
+    """The feed after three polls over growing files."""
     root = f"{ensure_checkpoint_dir(spark)}/monitor-{uuid.uuid4().hex}"
-    source = monitor.monitor_input(bridge.log_events(spark, sf_dir))
     last = source.agg(F.max("seq").alias("m")).first()["m"]
     for part in range(3):
         lo, hi = last * part // 3, last * (part + 1) // 3
         chunk = source.where((F.col("seq") > lo) & (F.col("seq") <= hi) if part else F.col("seq") <= hi)
         chunk.write.mode("append").parquet(f"{root}/events")
-        run = monitor.run_monitor(spark, f"{root}/events", f"{root}/feed", f"{root}/state", S)
+        run = monitor.run_monitor(spark, f"{root}/events", f"{root}/feed", f"{root}/state", settings)
         run.awaitTermination()
         if run.exception():
             raise run.exception()
-    return monitor.read_feed(spark, f"{root}/feed").groupBy("dedupe_key").agg(
+    return monitor.read_feed(spark, f"{root}/feed")
+
+
+#: Rules that look into the prompt, the records' text or the prices.
+DEEP = [
+    "large_contributor", "secret_exposure", "duplicate_context", "low_entropy_content", "residual_step",
+    "instruction_drift", "cost_budget",
+]
+
+
+@query(
+    "stream_alert_feed",
+    q(KEYED, "SELECT dedupe_key, max(rule) AS rule, min(seq) AS seq FROM fk GROUP BY 1"),
+)
+def stream_alert_feed(spark, sf_dir):
+    """The rules over log records, polled three times; the oracle is the batch result."""
+    source = monitor.monitor_input(bridge.log_events(spark, sf_dir))
+    return polled_feed(spark, source, S.without(*DEEP)).groupBy("dedupe_key").agg(
         F.max("rule").alias("rule"), F.min("seq").alias("seq")
     )
 
 
+WATCH = alerts.AlertSettings(
+    spike_tokens=150_000, contributor_tokens=300, duplicate_tokens=200, low_entropy_tokens=150, cost_budget_micros=12_000
+)
+
+
+def priced_events(spark, sf_dir):
+    """``events`` as a log with coarse sizes, contents named by size, planted credentials, sizes and prices."""
+    k = bridge.read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("bigint").alias("k")
+    )
+    log = bridge.log_events(spark, sf_dir).join(k, "seq")
+    k, held = F.col("k"), F.col("char_len").isNotNull()
+    size = (F.floor(F.col("char_len") / 500) * 500 + 500).cast("bigint")
+    prices = F.array(*[(k * n + 1).cast("bigint") for n in (5, 3, 2, 1)])
+    return log.withColumns(
+        {
+            "char_len": size,
+            "fp": F.when(held & (k % 3 != 0), F.concat(F.lit("f"), size.cast("string"))),
+            "original_bytes": size * 10,
+            "compressed_bytes": F.floor(size * (k % 97 + 3) / 10),
+            "secret_kinds": F.when(held & (k % 50 == 7), F.array(F.lit("aws-access-key-id"))),
+            "secret_counts": F.when(held & (k % 50 == 7), F.array(1 + k % 3)),
+            "micros": F.when(k % 31 != 0, k * 9),
+            "current_micros": F.when(k % 31 != 0, prices),
+        }
+    )
+
+
+WATCHED = (
+    KEYED
+    + """,
+wi AS (SELECT e.*, CASE WHEN occ THEN char_len//500*500+500 END AS size FROM evt e),
+it AS (SELECT *, CAST(ceil(CASE WHEN kind='compacted' THEN byte_len ELSE size END/CAST(3.8 AS DOUBLE)) AS BIGINT) AS raw,
+         CASE WHEN kind='compacted' THEN 'codex:compaction:' ELSE 'codex:' END||CAST(line_no AS VARCHAR) AS item_id,
+         CASE WHEN occ AND k%3<>0 THEN 'f'||CAST(size AS VARCHAR) END AS fp,
+         CASE WHEN occ AND size*10>=4096 THEN CAST(size*(k%97+3)//10 AS DOUBLE)/(size*10) END AS ratio FROM wi WHERE occ OR kind='compacted'),
+mb AS (SELECT t.turn AS t, t.prompt_tokens, i.* FROM turns t JOIN it i ON i.session_id=t.session_id AND i.seq<t.cutoff_seq
+   AND CASE WHEN i.kind='compacted' THEN i.seq=t.comp_seq ELSE t.comp_seq IS NULL OR i.seq>t.comp_seq OR i.mechanism='base_instructions' END),
+tk0 AS (SELECT *, CAST(sum(raw) OVER (PARTITION BY session_id, t) AS BIGINT) AS est FROM mb),
+tk AS (SELECT *, CASE WHEN est>prompt_tokens THEN raw*prompt_tokens//est ELSE raw END AS tokens, coalesce(prompt_tokens, est) AS total FROM tk0),
+big AS (SELECT *, row_number() OVER (PARTITION BY session_id, t ORDER BY tokens DESC, seq) AS rn FROM tk),
+dup AS (SELECT session_id, t, fp, sum(tokens)-arg_min(tokens, seq) AS rep FROM tk WHERE fp IS NOT NULL GROUP BY ALL HAVING count(*)>1),
+inj AS (SELECT *, lag(size) OVER w AS p_size FROM wi WHERE kind='context_injection' AND mechanism IN ('base_instructions','nested_memory','skill','dynamic_skill')
+   WINDOW w AS (PARTITION BY session_id, mechanism, label ORDER BY seq)),
+pay AS (SELECT session_id, turn, sum(CASE WHEN k%31<>0 THEN k*9 ELSE 0 END) OVER w AS obs, count(*) FILTER (WHERE k%31=0) OVER w AS unpriced, count(*) OVER w AS n,
+   sum(k*5+1) OVER w AS c1, sum(k*3+1) OVER w AS c2, sum(k*2+1) OVER w AS c3, sum(k+1) OVER w AS c4 FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY turn)),
+owed AS (SELECT session_id, turn, obs + CASE WHEN unpriced=0 THEN 10*(c1//n+c2//n+c3//n+c4//n) ELSE 0 END AS cost FROM pay),
+deep AS (
+ SELECT session_id, 'large_contributor' AS rule, seq, 'contributor:'||session_id||':'||CAST(t AS VARCHAR)||':'||item_id AS dedupe_key, tokens AS amount FROM big WHERE rn<=20 AND (tokens>=300 OR tokens*1.0/greatest(total,1)>=0.25)
+ UNION ALL SELECT session_id, 'duplicate_context', t, 'duplicate:'||session_id||':'||CAST(t AS VARCHAR)||':'||fp, rep FROM dup WHERE rep>=200
+ UNION ALL SELECT session_id, 'low_entropy_content', seq, 'entropy:'||session_id||':'||CAST(t AS VARCHAR)||':'||item_id, CAST(round(tokens*greatest(0, 1-ratio)) AS BIGINT) FROM tk WHERE ratio<=0.75 AND round(tokens*greatest(0, 1-ratio))>=150
+ UNION ALL SELECT session_id, 'secret_exposure', line_no, 'secret:'||session_id||':'||CAST(line_no AS VARCHAR)||':aws-access-key-id', 1+k%3 FROM wi WHERE occ AND k%50=7
+ UNION ALL SELECT session_id, 'instruction_drift', seq, 'instructions:'||session_id||':'||mechanism||':'||CAST(turn AS VARCHAR), size-p_size FROM inj WHERE p_size<>size AND turn IS NOT NULL
+ UNION ALL SELECT session_id, 'cost_budget', 0, 'cost:'||session_id||':12000', arg_min(cost, turn) FROM owed WHERE cost>=12000 GROUP BY session_id),
+every AS (SELECT rule, seq, dedupe_key, amount FROM deep UNION ALL SELECT rule, seq, dedupe_key, amount FROM al WHERE rule<>'format_drift')
+"""
+)
+
+
+@query(
+    "stream_all_rules",
+    q(WATCHED, "SELECT dedupe_key, max(rule) AS rule, min(seq) AS seq, arg_min(amount, seq) AS amount FROM every GROUP BY 1"),
+)
+def stream_all_rules(spark, sf_dir):
+    """Ten rules in the stream, turn by turn; the oracle lists every prompt of every turn.
+
+    Findings of drifting formats are one per agent, so the feed's first count of them depends on the polls;
+    ``stream_alert_feed`` compares their keys.
+    """
+    found = polled_feed(spark, monitor.monitor_input(priced_events(spark, sf_dir)), WATCH.without("format_drift"))
+    own = F.concat(F.lit("v2:codex:"), F.octet_length("session_id").cast("string"), F.lit(":"), F.col("session_id"), F.lit(":"))
+    return found.select(F.substr("dedupe_key", F.length(own) + 1).alias("dedupe_key"), "rule", "seq", "amount")
+
+
 # --- rules over prepared inputs ----------------------------------------------
 
 

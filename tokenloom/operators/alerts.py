@@ -46,6 +46,7 @@ class AlertSettings:
     low_entropy_tokens: int = 20_000
     residual_tokens: int = 5_000
     cost_budget_micros: int | None = None
+    forecast_turns: int = 10
     rules_off: frozenset[str] = frozenset()
 
     def __post_init__(self):

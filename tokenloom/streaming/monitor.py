@@ -1,7 +1,9 @@
 """Alert rules over a growing log: keyed state in, feed records out.
 
 Normalised events arrive as files; state per session holds what the batch rules
-look back for, so a poll costs the new records only.
+look back for, so a poll costs the new records only.  Eleven of the twelve rules
+run here; steps of the residual need a ratio fitted over the whole session, so
+they are a batch rule over the sessions that changed.
 """
 
 from __future__ import annotations
@@ -14,10 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tokenloom.functions.usage import prompt_tokens
+from tokenloom.functions import secrets
+from tokenloom.functions.usage import estimate_tokens, prompt_tokens
 from tokenloom.operators.alerts import AlertSettings
-from tokenloom.schema import SESSION
+from tokenloom.operators.instructions import TRACKED
+from tokenloom.operators.reconstruct import classify
+from tokenloom.operators.turns import occupies_context
+from tokenloom.schema import LOW_ENTROPY_BYTES, LOW_ENTROPY_RATIO, RATIO_LINEAR_AGENT, SESSION
 from tokenloom.sinks import feed
+from tokenloom.streaming.prompt import COPY_STATE, ITEM_STATE, Item, Prompt, Spend, short_name
 
 #: What the monitor needs of an event; nothing wider enters the state operator.
 INPUT = T.StructType(
@@ -38,6 +45,21 @@ INPUT = T.StructType(
         T.StructField("tokens_after", T.LongType()),
         T.StructField("prompt_tokens", T.LongType()),
         T.StructField("window", T.LongType()),
+        T.StructField("role", T.StringType()),
+        T.StructField("mechanism", T.StringType()),
+        T.StructField("label", T.StringType()),
+        T.StructField("char_len", T.LongType()),
+        # The record as an item of the prompt; NULL tokens where it is none.
+        T.StructField("item_id", T.StringType()),
+        T.StructField("raw_tokens", T.LongType()),
+        T.StructField("fp", T.StringType()),
+        T.StructField("packed", T.DoubleType()),
+        # Credential shapes in the record.
+        T.StructField("secret_kinds", T.ArrayType(T.StringType())),
+        T.StructField("secret_counts", T.ArrayType(T.LongType())),
+        # What a reported request cost, and per category at current prices; NULL without a price.
+        T.StructField("micros", T.LongType()),
+        T.StructField("current_micros", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -61,14 +83,32 @@ _CHECKPOINT = (
     " error_key string, error_run bigint"
 )
 BANDS = ["normal", "warning", "critical"]
+_SUMS = "raw bigint, opened bigint, observed bigint, unpriced bigint, priced bigint, over boolean, current string"
+#: Lists of a prompt that are kept between polls.
+_PARTS = ["tail", "system", "large", "poor"]
+_KEYS = {"large_contributor": "contributor", "duplicate_context": "duplicate", "low_entropy_content": "entropy"}
 
 
-def monitor_input(events: DataFrame) -> DataFrame:
-    """Project normalised events of straight logs onto the monitor's columns."""
-    report = F.col("kind") == "token_report"
-    return events.select(
+def monitor_input(events: DataFrame, ratio: float = RATIO_LINEAR_AGENT) -> DataFrame:
+    """Project normalised events of straight logs onto the monitor's columns.
+
+    ``raw`` (the record, scanned for credentials), ``fp``, ``original_bytes``,
+    ``compressed_bytes``, ``micros`` and ``current_micros`` are used where
+    ``events`` carry them; the rules that need a missing one stay silent.
+    """
+    report, compacted = F.col("kind") == "token_report", F.col("kind") == "compacted"
+    have = set(events.columns)
+    given = lambda name, kind: F.col(name) if name in have else F.lit(None).cast(kind)
+    unnamed = F.lit(None).cast("struct<tool:string,target:string>")
+    items = classify(events.withColumn("call", unnamed))
+    held = occupies_context() & F.col("category").isNotNull()
+    line = F.col("line_no").cast("string")
+    shrunk = F.try_divide(given("compressed_bytes", "bigint"), given("original_bytes", "bigint"))
+    low = (given("original_bytes", "bigint") >= LOW_ENTROPY_BYTES) & (shrunk <= LOW_ENTROPY_RATIO)
+    found = F.when(held, secrets.scan(secrets.record_text(F.col("raw")))) if "raw" in have else None
+    return items.select(
         *SESSION,
-        (F.col("path") if "path" in events.columns else F.lit("")).alias("path"),
+        (F.col("path") if "path" in have else F.lit("")).alias("path"),
         "seq",
         "line_no",
         "kind",
@@ -82,6 +122,20 @@ def monitor_input(events: DataFrame) -> DataFrame:
         F.col("compaction.tokens_after").alias("tokens_after"),
         F.when(report, prompt_tokens("usage")).alias("prompt_tokens"),
         F.when(report, F.col("usage.context_window")).alias("window"),
+        "role",
+        "mechanism",
+        F.when(held & (F.col("kind") != "context_injection"), F.col("item_label")).otherwise(F.col("label")).alias("label"),
+        "char_len",
+        F.concat(F.when(compacted, "codex:compaction:").otherwise("codex:"), line).alias("item_id"),
+        F.when(compacted, estimate_tokens(F.col("byte_len"), ratio))
+        .when(held, estimate_tokens(F.col("char_len"), ratio))
+        .alias("raw_tokens"),
+        F.when(held, given("fp", "string")).alias("fp"),
+        F.when(held & low, shrunk).alias("packed"),
+        (given("secret_kinds", "array<string>") if found is None else found["kind"]).alias("secret_kinds"),
+        (given("secret_counts", "array<bigint>") if found is None else found["occurrences"]).alias("secret_counts"),
+        F.when(report, given("micros", "bigint")).alias("micros"),
+        F.when(report, given("current_micros", "array<bigint>")).alias("current_micros"),
     )
 
 
@@ -94,6 +148,14 @@ def next_band(previous: int, used: float, s: AlertSettings) -> int:
     return 0
 
 
+def _listed(values) -> list:
+    return [] if values is None or isinstance(values, float) else list(values)
+
+
+def _whole(value) -> int | None:
+    return int(value) if pd.notna(value) else None
+
+
 class SessionMonitor(StatefulProcessor):
     """The checkpoint of one session and the rules that read it."""
 
@@ -104,6 +166,11 @@ class SessionMonitor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.checkpoint = handle.getValueState("checkpoint", _CHECKPOINT)
         self.calls = handle.getMapState("calls", "call_id string", "tool string, target string")
+        self.sums = handle.getValueState("sums", _SUMS)
+        self.items = handle.getListState("items", f"part string, {ITEM_STATE}")
+        self.copies = handle.getMapState("copies", "fp string", COPY_STATE)
+        self.instructions = handle.getMapState("instructions", "mechanism string, label string", "char_len bigint")
+        self.waiting = handle.getListState("waiting", "seq bigint, line_no bigint, mechanism string, label string, growth bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         news = pd.concat(list(rows)).sort_values("seq")
@@ -113,17 +180,53 @@ class SessionMonitor(StatefulProcessor):
         if state is not None and (state[0] != path or news["seq"].iloc[0] <= state[1]):
             # Another file, or the log was rewritten: take stock, stay quiet.
             state, silent = None, True
-            self.calls.clear()
+            for part in (self.calls, self.sums, self.items, self.copies, self.instructions, self.waiting):
+                part.clear()
         out = self._fold(key, news, path, state)
         if not silent and out:
             yield pd.DataFrame(out, columns=ALERTS.fieldNames()).astype(
                 {"turn": "Int64", "line_no": "Int64", "seq": "Int64", "amount": "Int64"}
             )
 
+    def _load(self) -> tuple[Prompt, Spend]:
+        saved = self.sums.get() if self.sums.exists() else (0, None, 0, 0, 0, False, None)
+        prompt = Prompt(self.settings, saved[0], saved[1])
+        for part, *fields in self.items.get():
+            getattr(prompt, part).append(Item(*fields))
+        prompt.copies = {k[0]: (v[0], v[1]) for k, v in self.copies.iterator()}
+        return prompt, Spend(*saved[2:6], [int(x) for x in saved[6].split()] if saved[6] else None)
+
+    def _save(self, prompt: Prompt, spend: Spend) -> None:
+        sums = " ".join(map(str, spend.sums))
+        self.sums.update((prompt.raw, prompt.opened, spend.observed, spend.unpriced, spend.turns, spend.over, sums))
+        rows = [(part, *item) for part in _PARTS for item in getattr(prompt, part)]
+        if rows:
+            self.items.put(rows)
+        else:
+            self.items.clear()
+        if prompt.emptied:
+            self.copies.clear()
+        for fp in prompt.touched:
+            self.copies.updateValue((fp,), prompt.copies[fp])
+
+    def _drift(self, r) -> tuple | None:
+        """A tracked instruction whose size differs from when it was last injected."""
+        if r.kind != "context_injection" or r.mechanism not in TRACKED or r.label is None:
+            return None
+        name = (r.mechanism, r.label)
+        size = _whole(r.char_len)
+        before = self.instructions.getValue(name)[0] if self.instructions.containsKey(name) else None
+        self.instructions.updateValue(name, (size,))
+        if before is None or size is None or before == size:
+            return None
+        return int(r.seq), int(r.line_no), r.mechanism, r.label, size - before
+
     def _fold(self, key, news: pd.DataFrame, path: str, state) -> list[tuple]:
         s, (agent, session) = self.settings, key
         _, _, turns, prompt, band, window, error_key, error_run = state or (path, -1, 0, None, 0, None, None, 0)
         out: list[tuple] = []
+        held, spend = self._load()
+        drifts = list(self.waiting.get())
         # Records wait for the report that closes their turn.
         pending: list[list] = []
 
@@ -134,11 +237,18 @@ class SessionMonitor(StatefulProcessor):
                 return row
 
         for r in news.itertuples(index=False):
+            label = r.label
+            drift = self._drift(r)
+            if drift is not None:
+                drifts.append(drift)
+            for kind, times in zip(_listed(r.secret_kinds), _listed(r.secret_counts)):
+                pending.append(alert("secret_exposure", secrets.SEVERITY[kind], f"secret:{session}:{r.line_no}:{kind}", None, r.line_no, r.line_no, int(times), kind))
             if r.kind == "tool_call" and r.call_id is not None:
                 self.calls.updateValue((r.call_id,), (r.tool, r.target))
             elif r.kind == "tool_result":
                 call = self.calls.getValue((r.call_id,)) if r.call_id is not None and self.calls.containsKey((r.call_id,)) else (None, None)
                 tool = r.tool if r.tool is not None else call[0]
+                label = call[1] or tool or label
                 if not r.is_error:
                     error_key, error_run = None, 0
                 else:
@@ -172,6 +282,28 @@ class SessionMonitor(StatefulProcessor):
                 if size is not None and prompt is not None and size - prompt >= s.spike_tokens:
                     alert("prompt_spike", "warning", f"spike:{session}:{turns}", turns, None, r.seq, size - prompt, None)
                 prompt = size
+                for rule, item, name, amount, detail in held.close(int(r.seq), size):
+                    alert(rule, "warning", f"{_KEYS[rule]}:{session}:{turns}:{name}", turns, None, turns if item is None else item.seq, amount, detail)
+                for seq, line, mechanism, name, growth in drifts:
+                    alert("instruction_drift", "warning", f"instructions:{session}:{mechanism}:{turns}", turns, line, seq, growth, short_name(name))
+                drifts = []
+                spend.add(_whole(r.micros), [int(x) for x in _listed(r.current_micros)] or None)
+                budget = s.cost_budget_micros
+                if budget is not None and not spend.over and spend.expected(s.forecast_turns) >= budget:
+                    spend.over = True
+                    alert("cost_budget", "warning", f"cost:{session}:{budget}", None, None, 0, spend.expected(s.forecast_turns), None)
+            item = None
+            if pd.notna(r.raw_tokens):
+                place = "summary" if r.kind == "compacted" else "system" if r.mechanism == "base_instructions" else "plain"
+                packed = float(r.packed) if pd.notna(r.packed) else None
+                item = Item(int(r.seq), r.item_id, label, int(r.raw_tokens), place, r.fp, packed)
+            if r.kind != "token_report":
+                held.record(r.kind, r.role, int(r.seq), item)
+        self._save(held, spend)
+        if drifts:
+            self.waiting.put(drifts)
+        else:
+            self.waiting.clear()
         self.checkpoint.update((path, int(news["seq"].iloc[-1]), turns, prompt, band, window, error_key, error_run))
         return [tuple(r) for r in out]
 
