@@ -59,23 +59,35 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def gram_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Mixed hash of the run of ``size`` 64-bit symbols that starts at each place where one fits.
+    """Mixed hash of the run of ``size`` symbols that starts at each place where one fits, as wide as a symbol.
 
     Spans are doubled and joined, so the work grows with the logarithm of the size.
     """
+    kind = symbols.dtype.type
+    range_ = 1 << 8 * symbols.dtype.itemsize
     n = len(symbols) - size + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
-    power, span, part, out, done = 0x9E3779B97F4A7C15, 1, symbols, None, 0
+        return np.empty(0, kind)
+    power, span, part, out, done = 0x9E3779B97F4A7C15 % range_, 1, symbols, None, 0
     while True:
         if size & span:
             piece = part[done : done + n]
-            out = piece if out is None else out * np.uint64(power) + piece
+            out = piece if out is None else out * kind(power) + piece
             done += span
         if span * 2 > size:
-            return mix(out)
-        part = part[: len(part) - span] * np.uint64(power) + part[span:]
-        power, span = power * power % (1 << 64), span * 2
+            return mix(out) if kind is np.uint64 else mix_short(out)
+        part = part[: len(part) - span] * kind(power) + part[span:]
+        power, span = power * power % range_, span * 2
+
+
+def mix_short(x: np.ndarray) -> np.ndarray:
+    """A bijective 32-bit finaliser."""
+    x = x ^ (x >> np.uint32(16))
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def beside(rows: DataFrame, work: Callable[[list], list], made: str) -> DataFrame:

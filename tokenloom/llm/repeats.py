@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,8 @@ def _byte_table() -> np.ndarray:
 
 
 _TABLE = _byte_table()
+#: Half as wide, for choosing anchors among bytes.
+_SHORT = (_TABLE >> U64(32)).astype(np.uint32)
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +109,7 @@ class Block:
     """Consecutive documents as one array of symbols; ``ends[i]`` is where document ``i`` stops."""
 
     first: int
-    symbols: np.ndarray
+    words: np.ndarray | None
     ends: np.ndarray
     data: np.ndarray
     starts: np.ndarray
@@ -117,6 +120,15 @@ class Block:
     left: np.ndarray
     right: np.ndarray
 
+    @property
+    def size(self) -> int:
+        return len(self.data) if self.words is None else len(self.words)
+
+    @cached_property
+    def symbols(self) -> np.ndarray:
+        """64-bit symbols; those of bytes are made when a step asks for them."""
+        return _TABLE[self.data] if self.words is None else self.words
+
 
 def blocks(texts: list[bytes], rule: Rule) -> Iterator[Block]:
     at = 0
@@ -129,39 +141,60 @@ def blocks(texts: list[bytes], rule: Rule) -> Iterator[Block]:
         at = stop
 
 
+def _tails(ends: np.ndarray, span: int, n: int) -> np.ndarray:
+    """The first ``n`` places, as far as ``span`` symbols from there on leave their document."""
+    at = (ends[:, None] - np.arange(1, span)).ravel()
+    return at[(at >= 0) & (at < n)]
+
+
+def _names(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the ``size`` bytes at some places, eight bytes at a time."""
+    rows = np.zeros((len(at), -(-size // 8) * 8), np.uint8)
+    rows[:, :size] = np.lib.stride_tricks.sliding_window_view(data, size)[at]
+    out = np.zeros(len(at), U64)
+    for part in rows.view("<u8").T:
+        out = mix(out * _STEP + part + U64(1))
+    return out
+
+
 def _block(texts: list[bytes], first: int, rule: Rule) -> Block:
     glue = b" " if rule.words else b""
     data = np.frombuffer(glue.join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + len(glue)
     limits = np.cumsum(sizes)
+    starts = stops = np.empty(0, np.int64)
+    words, ends = None, limits
     if rule.words:
         starts, stops = word_spans(data)
-        symbols = word_hashes(data, starts, stops)
+        words = word_hashes(data, starts, stops)
         ends = np.searchsorted(starts, limits - 1, "left")
-    else:
-        starts = stops = np.empty(0, np.int64)
-        symbols, ends = _TABLE[data], limits
     begins = np.concatenate(([0], ends[:-1]))
-    n = len(symbols)
-    doc = np.repeat(np.arange(len(texts)), ends - begins)
-    hashes = gram_hashes(symbols, rule.gram)
-    hashes[hashes == _NONE] -= U64(1)
-    stop_of = ends[doc] if n else np.empty(0, np.int64)
-    begin_of = begins[doc] if n else np.empty(0, np.int64)
-    at = np.arange(n)
-    width = rule.reach + 1
-    anchors = np.empty(0, np.int64)
-    if n >= rule.size:
-        inside = at[: len(hashes)] + rule.gram <= stop_of[: len(hashes)]
-        low = _slide(np.where(inside, hashes, _NONE), width, np.minimum)
-        whole = at[: len(low)] + rule.size <= stop_of[: len(low)]
-        low = np.where(whole, low, U64(0))
-        pad = np.zeros(rule.reach, U64)
-        high = _slide(np.concatenate((pad, low, pad)), width, np.maximum)
-        anchors = np.flatnonzero((hashes == high) & inside & (hashes > 0))
-    left = np.minimum(anchors - begin_of[anchors], rule.reach)
-    right = np.minimum(stop_of[anchors] - anchors, rule.size)
-    return Block(first, symbols, ends, data, starts, stops, anchors, hashes[anchors], doc[anchors], left, right)
+    anchors, hashes = np.empty(0, np.int64), np.empty(0, U64)
+    if (len(data) if words is None else len(words)) >= rule.size:
+        if rule.words:
+            # The hash that names an anchor also chooses it.
+            order = gram_hashes(words, rule.gram)
+        else:
+            # Any hash of the bytes chooses anchors that do not depend on what is around
+            # a window; half the width does, since a tie only gives one anchor more.
+            order = gram_hashes(_SHORT[data], rule.gram)
+            order >>= np.uint32(1)
+            order += np.uint32(1)
+        kind = order.dtype.type
+        none = kind(np.iinfo(kind).max)
+        if rule.words:
+            order[order == none] -= kind(1)
+        order[_tails(ends, rule.gram, len(order))] = none
+        low = _slide(order, rule.reach + 1, np.minimum)
+        low[_tails(ends, rule.size, len(low))] = 0
+        pad = np.zeros(rule.reach, kind)
+        high = _slide(np.concatenate((pad, low, pad)), rule.reach + 1, np.maximum)
+        anchors = np.flatnonzero((order == high) & (order > 0))
+        hashes = order[anchors] if rule.words else _names(data, anchors, rule.gram)
+    doc = np.searchsorted(ends, anchors, "right")
+    left = np.minimum(anchors - begins[doc], rule.reach)
+    right = np.minimum(ends[doc] - anchors, rule.size)
+    return Block(first, words, ends, data, starts, stops, anchors, hashes, doc, left, right)
 
 
 _PACK = zstandard.ZstdCompressor(level=1)
@@ -205,14 +238,22 @@ def anchor_census(parts: list[Block], ids: np.ndarray, rule: Rule) -> tuple[np.n
     if not found:
         return np.empty(0, U64), np.empty(0, np.uint8)
     pairs = np.concatenate(found)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
+    # Blocks and documents come in order, so a stable sort by hash leaves the places in order too.
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     new = np.ones(len(pairs), bool)
     new[1:] = (pairs[1:] != pairs[:-1]).any(1)
     names, counts = np.unique(pairs[new, 0], return_counts=True)
     return names, np.minimum(counts, 255).astype(np.uint8)
 
 
+def anchor_names(parts: list[Block]) -> np.ndarray:
+    """The distinct anchor hashes of a chunk, in the order of :func:`anchor_census`."""
+    if not parts:
+        return np.empty(0, U64)
+    names = np.sort(np.concatenate([b.hashes for b in parts]))
+    return names[np.concatenate(([True], names[1:] != names[:-1]))] if len(names) else names
+
+
 def _context(b: Block, rule: Rule, pick: np.ndarray) -> np.ndarray:
     """64-bit identity of left and right surroundings of some anchors, with their lengths."""
     p, l, r = b.anchors[pick], b.left[pick], b.right[pick]
@@ -371,7 +412,7 @@ def hot_windows(parts: list[Block], ids: np.ndarray, flags: list[np.ndarray], ru
     starts = []
     for b, f in zip(parts, flags):
         k = np.flatnonzero(f == 2)
-        seen = np.zeros(len(b.symbols) + 1, bool)
+        seen = np.zeros(b.size + 1, bool)
         for d in range(rule.reach + 1):
             seen[(b.anchors[k] - d)[(b.left[k] >= d) & (b.right[k] >= rule.size - d)]] = True
         starts.append(np.flatnonzero(seen))
@@ -475,7 +516,7 @@ def mark(docs: DataFrame, rule: Rule, resolve: Resolve, finish, schema: str) ->
         chunk = int(frame["chunk"].iloc[0])
         texts, ids = load(frame)
         parts = list(blocks(texts, rule))
-        names, _ = anchor_census(parts, ids, rule)
+        names = anchor_names(parts)
         state = np.zeros(len(names), np.uint8)
         order, found, begins = _split(names, groups)
         back = dict(zip(answers["group"], answers["body"]))
@@ -512,7 +553,7 @@ def mark(docs: DataFrame, rule: Rule, resolve: Resolve, finish, schema: str) ->
             return finish([], np.empty(0, np.int64), [], [])
         texts, ids = load(frame)
         parts = list(blocks(texts, rule))
-        names, _ = anchor_census(parts, ids, rule)
+        names = anchor_names(parts)
         back = dict(zip(answers["group"], answers["body"]))
         state = unpack(back[-1 - int(frame["chunk"].iloc[0])])[0]
         flags = flagged(parts, names, state)
@@ -526,7 +567,7 @@ def mark(docs: DataFrame, rule: Rule, resolve: Resolve, finish, schema: str) ->
             bits.append(out)
         removed = []
         for i, (b, f) in enumerate(zip(parts, flags)):
-            start = np.zeros(len(b.symbols) + 1, np.int64)
+            start = np.zeros(b.size + 1, np.int32)
             at, number, own = cold.uses[i]
             k = np.flatnonzero(f == 1)
             mine = np.where(own, bits[0][number], _NONE)
@@ -535,9 +576,10 @@ def mark(docs: DataFrame, rule: Rule, resolve: Resolve, finish, schema: str) ->
                 start[at[hit] - d] = 1
             at, number, own = hot.uses[i]
             start[at[~own | (bits[1][number] > 0)]] = 1
-            open_at = np.cumsum(start)
-            open_at[rule.size :] -= np.cumsum(start)[: -rule.size]
-            removed.append(open_at[: len(b.symbols)] > 0)
+            begun = np.cumsum(start, dtype=np.int32)
+            open_at = begun.copy()
+            open_at[rule.size :] -= begun[: -rule.size]
+            removed.append(open_at[: b.size] > 0)
         return finish(texts, ids, parts, removed)
 
     wire = "group long, chunk long, body binary"
