@@ -51,11 +51,11 @@ def test_vectors_against_a_plain_count(spark):
                 if 0 <= j < len(word):
                     sums[w] += side[j]
     for least in (1, 3):
-        table = quality.word_vectors(docs, quality.frequent(docs, least)).collect()
-        got = {r["word"] % (1 << 64): (r["n"], [r[v] for v in quality._SUMS]) for r in table}
+        table = quality.word_vectors(docs, quality.frequent(docs, least)).toPandas()
+        got = {w % (1 << 64): (n, v) for w, n, v in zip(table["word"].tolist(), table["n"].tolist(), quality.unpack(table))}
         assert {w: n for w, (n, _) in got.items()} == {w: n for w, n in times.items() if n >= least}
         for w, (n, v) in got.items():
-            assert np.abs(np.array(v) - sums[w] * quality.SCALE / n).max() <= 0.5
+            assert np.abs(v - sums[w] * quality.SCALE / n).max() <= 0.5
 
 
 @pytest.mark.parametrize("least", [1, 4])

@@ -38,10 +38,10 @@ from tokenloom.plans.skew import broadcast_if_small
 from tokenloom.session import stage
 
 FOLDS, HELD = 5, 0
-ROWS, SIZE, HIDDEN = 20_000, 24, 24
+ROWS, SIZE, HIDDEN = 20_000, 16, 24
 THRESHOLD = 0.3
 #: Occurrences from which on a word has a vector of its own, and words that travel to the tasks at most.
-LEAST, HOT = 32, 1 << 18
+LEAST, HOT = 64, 1 << 18
 #: Random vectors of neighbouring words, and as many of spellings.
 CONTEXTS = 1 << 13
 #: Vectors are kept as whole numbers, in parts of this size.
@@ -51,6 +51,8 @@ BITS = 25
 
 _U = np.uint64
 _SUMS = [f"v{i}" for i in range(SIZE)]
+#: Four parts of a vector, 16 bits each, are one long of the table of vectors.
+_PACKED = [f"p{i}" for i in range(SIZE // 4)]
 
 #: Kinds of bytes: 0 other marks, 1 lower case, 2 upper case, 3 digit, 4 outside ASCII.
 _KIND = np.array(
@@ -122,18 +124,19 @@ def _marked(bitmap: np.ndarray, word: np.ndarray) -> np.ndarray:
 def frequent(docs: DataFrame, least: int) -> np.ndarray:
     """A bitmap of fixed size in which every word that stands at least ``least`` times is marked.
 
-    Other words may be marked too; they then have vectors of their own like the others.
+    Words are counted by half of their hash.  Others may be marked too; they then have
+    vectors of their own like the rest.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, texts in _slices(encode(batch["text"])):
-                kinds, n = np.unique(words_of(texts)[0], return_counts=True)
-                yield pd.DataFrame({"word": kinds.view(np.int64), "n": n})
+                half, n = np.unique(words_of(texts)[0] >> _U(32), return_counts=True)
+                yield pd.DataFrame({"half": half.astype(np.int64), "n": n})
 
-    counts = short_batches(docs).select("text").mapInPandas(run, "word long, n long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = counts.select(F.shiftrightunsigned("word", 64 - BITS).alias("place"))
+    counts = short_batches(docs).select("text").mapInPandas(run, "half long, n long")
+    counts = counts.groupBy("half").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    place = counts.select(F.shiftright("half", 32 - BITS).alias("place"))
     marks = place.groupBy(F.shiftright("place", 6).alias("at")).agg(
         F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))").alias("bits")
     )
@@ -144,7 +147,7 @@ def frequent(docs: DataFrame, least: int) -> np.ndarray:
 
 
 def word_vectors(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """``(word, n, v0 .. )``: the vector of every marked word, ``SCALE`` times, and how often it stands."""
+    """``(word, n, p0 .. )``: the vector of every marked word, ``SCALE`` times and packed, and how often it stands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -163,8 +166,24 @@ def word_vectors(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
     sums = short_batches(docs).select("text").mapInPandas(run, "word long, n long, " + ", ".join(f"{v} int" for v in _SUMS))
     total = F.sum("n")
-    means = [F.round(F.sum(v) * SCALE / total).cast("int").alias(v) for v in _SUMS]
-    return stage(sums.groupBy("word").agg(total.alias("n"), *means))
+    means = [F.round(F.sum(v) * SCALE / total).cast("long").alias(v) for v in _SUMS]
+    means = sums.groupBy("word").agg(total.alias("n"), *means)
+    return stage(means.select("word", "n", *[_pack(i).alias(name) for i, name in enumerate(_PACKED)]))
+
+
+def _pack(i: int) -> Column:
+    out = F.lit(0)
+    for j, v in enumerate(_SUMS[4 * i : 4 * i + 4]):
+        out = out.bitwiseOR(F.shiftleft(F.col(v).bitwiseAND(F.lit(0xFFFF)), 16 * j))
+    return out
+
+
+def _unpacked(i: int) -> Column:
+    return F.shiftright(F.shiftleft(F.col(_PACKED[i // 4]), 48 - 16 * (i % 4)), 48)
+
+
+def unpack(rows: pd.DataFrame) -> np.ndarray:
+    return np.ascontiguousarray(rows[_PACKED].to_numpy(np.int64)).view(np.int16).reshape(-1, SIZE)
 
 
 class Vectors(NamedTuple):
@@ -187,10 +206,10 @@ def vectors_of(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> Vectors:
         if total > hot:
             break
         lowest = row["level"]
-    rows = table.where(level >= lowest if lowest is not None else F.lit(False)).select("word", *_SUMS).toPandas()
+    rows = table.where(level >= lowest if lowest is not None else F.lit(False)).select("word", *_PACKED).toPandas()
     word = rows["word"].to_numpy(np.int64).view(_U)
     order = np.argsort(word)
-    return Vectors(bitmap, word[order], rows[_SUMS].to_numpy(np.int16)[order], table)
+    return Vectors(bitmap, word[order], unpack(rows)[order], table)
 
 
 def _key() -> list[Column]:
@@ -248,8 +267,10 @@ def pooled(docs: DataFrame, vectors: Vectors) -> DataFrame:
         F.first("n").alias("n"), F.count("*").alias("copies"), F.first("near").alias("near")
     )
     far = rows.where("near is null").drop("near").join(table.drop("n"), "word")
-    sums = [F.sum(F.col("n") * F.col(v)) for v in _SUMS] + [F.sum(F.col("n") * F.col(v) * F.col(v)) for v in _SUMS]
-    far = far.groupBy("k1", "k2").agg(F.array(*sums).alias("far"))
+    parts = [_unpacked(i) for i in range(SIZE)]
+    sums = [F.sum(F.col("n") * v) for v in parts] + [F.sum(F.col("n") * v * v) for v in parts]
+    # Packed rows travel, not sums.  Copies of a text that is not rare hold only frequent words, so no key is hot.
+    far = far.repartition("k1", "k2").groupBy("k1", "k2").agg(F.array(*sums).alias("far"))
     return stage(texts.join(far, ["k1", "k2"], "left"))
 
 
