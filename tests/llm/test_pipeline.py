@@ -108,3 +108,59 @@ def test_near_copies_in_large_buckets(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for hot in (256, 3):
         assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, hot=hot).collect()} == want
+
+
+def test_near_copies_meet_by_fingerprint(spark, monkeypatch):
+    """Pairs within two bits are found by pigeonring chains, whatever the bands give, and only similar ones link."""
+    import random
+
+    import xxhash
+
+    rng, rows, want = random.Random(21), [], {}
+
+    def bits(words):
+        grams = {" ".join(words[j : j + 5]) for j in range(len(words) - 4)}
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return grams, sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64))
+
+    for i in range(40):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+        v = [*w[:-1], "end"]
+        (a, x), (b, y) = bits(w), bits(v)
+        assert len(a & b) / len(a | b) >= 0.8
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i if (x ^ y).bit_count() <= 2 else 2 * i + 1}
+    monkeypatch.setattr(simhash, "SKETCH_LANES", -1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == want and sum(want[2 * i + 1] == 2 * i for i in range(40)) > 20
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == set(want.values())
+
+
+def test_pairs_below_the_similarity_are_not_listed(spark, monkeypatch):
+    """Many texts that are alike, but not enough, cost about their number, not its square."""
+    import random
+
+    rng, seen, similar = random.Random(22), [], simhash._similar
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(80):
+        v = list(base)
+        for k in rng.sample(range(10, 110), 2):
+            v[k] = f"e{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(v)))
+
+    def counted(pairs, sets, similarity):
+        seen.append(pairs.count())
+        return similar(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "_similar", counted)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [(a, b) for a in range(80) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = {i: i for i in range(80)}
+    for _ in rows:
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == want
+    assert sum(seen) <= 4 * len(rows), seen

@@ -12,9 +12,10 @@ all differing bits.
 of such a chain is equal, and of the next segment at least one of ``budget + 1`` parts
 is equal.
 
-Near copies by the similarity of shingle sets (:func:`near_duplicates`) differ in so
-many bits that no chain is selective.  There candidates share a band of MinHash values,
-and every candidate is compared shingle by shingle before it links.
+Near copies by the similarity of shingle sets (:func:`near_duplicates`) meet by the same
+chains first, and every candidate is compared shingle by shingle before it links.  Many
+near copies differ in so many bits that no chain is selective; what the chains have not
+joined meets where it shares a band of MinHash values.
 
 Results for odd input: NULL or blank text has no shingle and the fingerprint zero,
 which links like any other; fewer words than a shingle make one shingle of all of
@@ -106,17 +107,23 @@ def ring_keys(value: Column, max_bits: int) -> Column:
     return F.array(*keys)
 
 
-def _differ(left: list[Column], right: list[Column]) -> Column:
-    total = F.bit_count(left[0].bitwiseXOR(right[0]))
-    for a, b in zip(left[1:], right[1:]):
+def _words(names: list[str]) -> list[tuple[Column, Column]]:
+    """Words of ``p`` of both sides of a join."""
+    return [(F.col(f"a.p.{n}"), F.col(f"b.p.{n}")) for n in names]
+
+
+def _differ(names: list[str]) -> Column:
+    """How many bits differ."""
+    total = F.lit(0)
+    for a, b in _words(names):
         total = total + F.bit_count(a.bitwiseXOR(b))
     return total
 
 
-def _lanes_differ(left: list[Column], right: list[Column]) -> Column:
+def _lanes_differ(names: list[str]) -> Column:
     """How many of the four-bit lanes differ: their bits are gathered in the lowest one."""
     total = F.lit(0)
-    for a, b in zip(left, right):
+    for a, b in _words(names):
         x = a.bitwiseXOR(b)
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
@@ -124,64 +131,88 @@ def _lanes_differ(left: list[Column], right: list[Column]) -> Column:
     return total
 
 
+#: Leaders that a bucket has before its groups are compared with each other.
+LEADERS = 2
+
+
 def _links(
     keyed: DataFrame,
-    names: list[str],
-    max_bits: int,
+    close: Column,
     hot: int,
     real: Callable[[DataFrame], DataFrame] | None = None,
-    count: Callable[[list[Column], list[Column]], Column] = _differ,
-    banded: bool = False,
+    bands: DataFrame | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Links that join the same groups as all pairs within ``max_bits`` that share a key.
+    """Links that join the same groups as all close pairs that share a key.
 
-    ``keyed`` is ``(key, rep, p)`` with the words ``names`` in ``p``; of the pairs found
-    only those that ``real`` keeps are links.  Where ``banded``, ``p`` also holds all ``keys``
-    of the set and the ``band`` of this one, and two sets are compared in the first band
-    that they share.
+    ``keyed`` is ``(key, rep, p)``; ``close`` tells by ``a.p`` and ``b.p`` which pairs may be
+    links, and of the pairs found only those that ``real`` keeps are.  With ``bands``, all
+    ``keys`` of every ``rep``, ``p`` holds the ``band`` of the key, and groups are compared in
+    the first band that two sets share.  ``known`` are links found before: what they join is
+    not compared again.
 
     A bucket of at most ``hot`` fingerprints is compared pair by pair.  In a larger one
-    every member is first compared with one leader, another one in each bucket; then
-    only members outside the bucket's largest group so far are compared with the rest,
-    and only across groups.  A bucket of near copies thus costs about its size, and no
-    link between two groups is lost.
+    every member is first compared with ``LEADERS`` leaders, each time only across groups:
+    the member that shares most keys, which is the text that the others were made from
+    where there is one, then of those outside the largest group.  Then only members outside the bucket's largest group so far are
+    compared with the rest, and only across groups.  A bucket of near copies thus costs
+    about its size, and no link between two groups is lost.
     """
     real = real or (lambda pairs: pairs)
-    differ = count([F.col(f"a.p.{n}") for n in names], [F.col(f"b.p.{n}") for n in names])
     pair = (F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    warm, near = keyed, None
+    links, warm = known, keyed
     if hot > 1:
         large = stage(keyed.groupBy("key").count().where(F.col("count") > hot).select("key"))
         cold = keyed.join(large, "key", "left_anti")
         near = cold.alias("a").join(
             cold.alias("b"),
-            (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (differ <= max_bits),
+            (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & close,
         ).select(*pair)
+        near = stage(real(near.distinct()))
+        links = near if links is None else links.union(near)
         warm = stage(keyed.join(large, "key", "left_semi"))
-    turn = F.xxhash64("key", "rep")
-    leader = stage(warm.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "rep", "p")).alias("l")))
-    leader = leader.select("key", "l.rep", "l.p")
-    star = warm.alias("a").join(
-        leader.alias("b"),
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") != F.col("b.rep")) & (differ <= max_bits),
-    )
-    star = star.select(*pair)
-    links = stage(real((star if near is None else near.union(star)).distinct()))
+    if links is None:
+        links = keyed.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     if warm.isEmpty():
         return links
-    found = components(links)
-    placed = warm.join(found, warm["rep"] == found["node"], "left").select(
-        "key", "rep", "p", F.coalesce("component", "rep").alias("c")
-    )
-    placed = stage(placed)
+    shares = warm.select("key", "rep").join(stage(warm.groupBy("key").count()), "key")
+    shares = stage(shares.groupBy("rep").agg(F.sum("count").alias("shares")))
+    turn = F.xxhash64("key", "rep")
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & close
+    found = stage(components(links))
+    for step in range(LEADERS + 1):
+        placed = warm.join(found, warm["rep"] == found["node"], "left").select(
+            "key", "rep", "p", F.coalesce("component", "rep").alias("c")
+        )
+        # What is one group needs nothing more, nor do two members that have met.
+        apart = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+        apart = apart.where((F.col("low") < F.col("high")) & (F.col("n") > (2 if step else 1))).select("key")
+        placed = stage(placed.join(apart, "key", "left_semi"))
+        if placed.isEmpty():
+            return links
+        warm = placed.drop("c")
+        if step < LEADERS:
+            choice = (_minor(placed) if step else placed).join(shares, "rep")
+            best = F.max_by(F.struct("rep", "p", "c"), F.struct("shares", turn))
+            leader = stage(choice.groupBy("key").agg(best.alias("l")).select("key", "l.rep", "l.p", "l.c"))
+            more = placed.alias("a").join(leader.alias("b"), across)
+        else:
+            if bands is not None:
+                placed = stage(placed.join(bands, "rep"))
+                earlier = [F.slice(f"{x}.keys", F.lit(1), F.col("a.p.band")) for x in "ab"]
+                across = across & ~F.exists(F.zip_with(*earlier, lambda x, y: x == y), lambda same: same)
+            more = stage(_minor(placed)).alias("a").join(placed.alias("b"), across)
+        more = stage(real(more.select(*pair).distinct()))
+        if step < LEADERS and not more.isEmpty():
+            found = stage(components(links.union(more)))
+        links = links.union(more)
+    return links
+
+
+def _minor(placed: DataFrame) -> DataFrame:
+    """The members outside their bucket's largest group."""
     most = placed.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
-    minor = stage(placed.join(stage(most), "key").where("c != most").drop("most"))
-    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & (differ <= max_bits)
-    if banded:
-        earlier = [F.slice(f"{x}.p.keys", F.lit(1), F.col("a.p.band")) for x in "ab"]
-        meets = meets & ~F.exists(F.zip_with(*earlier, lambda x, y: x == y), lambda same: same)
-    cross = minor.alias("a").join(placed.alias("b"), meets)
-    return links.union(stage(real(cross.select(*pair).distinct())))
+    return placed.join(stage(most), "key").where("c != most").drop("most")
 
 
 def groups(prints: DataFrame, max_bits: int, hot: int = 256) -> DataFrame:
@@ -191,19 +222,24 @@ def groups(prints: DataFrame, max_bits: int, hot: int = 256) -> DataFrame:
     kinds = stage(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")))
     keys = ring_keys(F.col(names[0]), max_bits)
     keyed = kinds.select(F.explode(keys).alias("key"), "rep", F.struct(*names).alias("p"))
-    found = components(_links(keyed, names, max_bits, hot))
+    found = components(_links(keyed, _differ(names) <= max_bits, hot))
     named = kinds.join(found, kinds["rep"] == found["node"], "left").select(
         *names, F.coalesce("component", "rep").alias("component_id")
     )
     return prints.join(stage(named), names).select("doc_id", *names, "component_id")
 
 
+#: Fingerprints of five-word shingles that differ in at most so many bits meet before bands are compared.
+NEAR_BITS = 2
 #: MinHash bands and values of a band: a pair at 0.8 shares a band with a chance of 0.99994.
 BANDS, DEEP = 32, 6
 #: Of each value four bits are kept, one lane of a sketch.  Candidates share a band; of the other
 #: 186 lanes a pair at 0.8 differs in 35 on average and in more than 56 with a chance of 0.0001.
 SKETCH_LANES = 56
 _SKETCH = [f"b{i}" for i in range(BANDS * DEEP // 16)]
+#: A bit for every 512th of the shingles, set where their number is odd.  Two sets that differ in
+#: so many shingles differ in no more of these bits, so the test by them passes over no real pair.
+_PARITY = [f"o{i}" for i in range(8)]
 
 _TURNS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * DEEP, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -216,19 +252,36 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each of the ``_PARITY`` classes is odd, 64 to a word."""
+    size = 64 * len(_PARITY)
+    count = np.bincount((mix(shingles) % np.uint64(size)).astype(np.int64), minlength=size)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_be_similar(similarity: float) -> Column:
+    """Whether two sets can be as similar as that: so similar ones differ in a bounded part of their shingles."""
+    most = (F.col("a.p.n") + F.col("b.p.n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    return _differ(_PARITY) <= most
+
+
 def _set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), 42)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, set_id, b0 .. b11, keys)`` of every document with an id: its shingle set, four bits of
-    each minimum, and a key of every band; no key without words."""
+    """``(doc_id, set_id, n, f0, b0 .. b11, o0 .. o7, keys)`` of every document with an id: its shingle
+    set, that set's size and fingerprint, four bits of each minimum, the parities, and a key of
+    every band; no key without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, bits, keys = [], [], []
+            ids, sizes, prints, bits, odd, keys = [], [], [], [], [], []
             for text in encode(batch["text"]):
                 shingles = np.unique(shingle_hashes(text, width))
+                sizes.append(len(shingles))
+                prints.append(vote(shingles, 1)[0])
+                odd.append(parities(shingles))
                 low = minima(shingles)
                 ids.append(_set_id(shingles))
                 lanes = (mix(low) & np.uint64(15)).astype(np.uint8)
@@ -239,9 +292,13 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 keys.append(key.view(np.int64) if len(shingles) else key[:0].view(np.int64))
             bits = np.array(bits, np.int64).reshape(-1, len(_SKETCH))
             out = {"doc_id": batch["doc_id"].to_numpy(), "set_id": np.array(ids, np.uint64).view(np.int64)}
-            yield pd.DataFrame({**out, **{n: bits[:, i] for i, n in enumerate(_SKETCH)}, "keys": keys})
+            out |= {"n": np.array(sizes, np.int64), "f0": np.array(prints, np.uint64).view(np.int64)}
+            out |= {n: bits[:, i] for i, n in enumerate(_SKETCH)}
+            odd = np.array(odd, np.int64).reshape(-1, len(_PARITY))
+            yield pd.DataFrame({**out, **{n: odd[:, i] for i, n in enumerate(_PARITY)}, "keys": keys})
 
-    schema = "doc_id long, set_id long, " + ", ".join(f"{n} long" for n in _SKETCH) + ", keys array<long>"
+    names = ["doc_id", "set_id", "n", "f0", *_SKETCH, *_PARITY]
+    schema = ", ".join(f"{n} long" for n in names) + ", keys array<long>"
     return short_batches(docs).select("doc_id", "text").where("doc_id is not null").mapInPandas(run, schema)
 
 
@@ -269,29 +326,41 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return sized.where(F.col("n") / (F.col("i") + F.col("j") - F.col("n")) >= similarity).select("a", "b")
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows whose key is not theirs alone."""
+    shared = stage(keyed.groupBy("key").count().where("count > 1").select("key"))
+    return keyed.join(shared, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot: int = 1) -> DataFrame:
     """``(doc_id, component_id)``: documents linked at a Jaccard similarity of their shingle sets.
 
-    Equal sets are folded.  Candidates share one of ``BANDS`` bands of MinHash values, so
-    a pair at 0.8 is missed with a chance of less than 0.0001, one at 0.9 of 1e-10.  The
-    sets of documents that share a band are then built, and a candidate links only if
-    its exact similarity is high enough, so nothing below it is linked directly.  In every
-    bucket a leader is compared first, so a group of near copies costs its size.
+    Equal sets are folded.  Sets whose fingerprints differ in at most ``NEAR_BITS`` bits meet
+    first, through pigeonring chains as in :func:`groups`.  What these links have not joined
+    meets where it shares one of ``BANDS`` bands of MinHash values, so a pair at 0.8 is
+    missed with a chance of less than 0.0001, one at 0.9 of 1e-10.  The sets of documents
+    that meet are built, and a candidate links only if its exact similarity is high enough,
+    so nothing below it is linked directly.  In every bucket leaders are compared first, so
+    a group of near copies costs its size.
     """
     prints = stage(sketches(docs, width))
-    first = [F.first(c).alias(c) for c in (*_SKETCH, "keys")]
+    first = [F.first(c).alias(c) for c in ("n", "f0", *_SKETCH, *_PARITY, "keys")]
     kinds = stage(prints.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *first))
-    keyed = kinds.select(F.posexplode("keys").alias("band", "key"), F.col("set_id").alias("rep"))
-    shared = stage(keyed.groupBy("key").count().where("count > 1").select("key"))
-    keyed = keyed.join(shared, "key", "left_semi")
+    chains = F.explode(ring_keys(F.col("f0"), NEAR_BITS)).alias("key")
+    ring = _shared(kinds.where(F.size("keys") > 0).select(chains, F.col("set_id").alias("rep"), F.struct("f0", "n", *_PARITY).alias("p")))
+    ring = stage(ring)
+    keyed = _shared(kinds.select(F.posexplode("keys").alias("band", "key"), F.col("set_id").alias("rep")))
     # Only sets that share a band need their sketch.
-    sketched = kinds.select(F.col("set_id").alias("rep"), *_SKETCH, "keys")
-    keyed = stage(keyed.join(sketched, "rep").select("key", "rep", F.struct(*_SKETCH, "keys", "band").alias("p")))
-    nodes = keyed.select(F.col("rep").alias("set_id")).distinct()
+    sketched = kinds.select(F.col("set_id").alias("rep"), "n", *_SKETCH, *_PARITY)
+    keyed = stage(keyed.join(sketched, "rep").select("key", "rep", F.struct("n", *_SKETCH, *_PARITY, "band").alias("p")))
+    bands = kinds.select(F.col("set_id").alias("rep"), "keys")
+    nodes = ring.select(F.col("rep").alias("set_id")).union(keyed.select("rep")).distinct()
     wanted = stage(kinds.join(nodes, "set_id", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
     sets = stage(shingle_sets(docs.join(broadcast_if_small(wanted), "doc_id", "left_semi"), width))
     real = lambda pairs: _similar(pairs, sets, similarity)
-    found = components(_links(keyed, _SKETCH, SKETCH_LANES, hot, real, _lanes_differ, banded=True))
+    can = may_be_similar(similarity)
+    links = _links(ring, (_differ(["f0"]) <= NEAR_BITS) & can, hot, real)
+    found = components(_links(keyed, (_lanes_differ(_SKETCH) <= SKETCH_LANES) & can, hot, real, bands, links))
     placed = stage(
         kinds.join(found, kinds["set_id"] == found["node"], "left").select(
             "set_id", "rep", F.coalesce("component", "set_id").alias("c")
