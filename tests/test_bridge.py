@@ -49,3 +49,15 @@ def test_even_splits_stay(spark, tmp_path, small_splits, monkeypatch):
 def test_empty_table_is_read(spark, tmp_path):
     pq.write_table(pa.table({"id": pa.array([], pa.int64())}), tmp_path / "t.parquet")
     assert bridge.read_spread(spark, str(tmp_path), "t").count() == 0
+
+
+def test_headers_are_dealt_out(spark, tmp_path):
+    n = 400
+    rows = {
+        "c_custkey": list(range(n)),
+        "c_name": [f"c{i}" for i in range(n)],
+        "c_nationkey": [i % 5 for i in range(n)],
+        "c_mktsegment": ["x"] * n,
+    }
+    pq.write_table(pa.table(rows), tmp_path / "customer.parquet")
+    assert max(_shares(bridge.linear_headers(spark, str(tmp_path)))) < 3 * n / 2
