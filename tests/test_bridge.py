@@ -1,11 +1,14 @@
 """The driver's tables as tasks read them."""
 
+import datetime as dt
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tokenloom import bridge
+from tokenloom.catalog import load
 
 
 @pytest.fixture
@@ -61,3 +64,21 @@ def test_headers_are_dealt_out(spark, tmp_path):
     }
     pq.write_table(pa.table(rows), tmp_path / "customer.parquet")
     assert max(_shares(bridge.linear_headers(spark, str(tmp_path)))) < 3 * n / 2
+
+
+def test_texts_are_read_behind_the_dealing_out(spark, tmp_path):
+    n = 60
+    kinds = ["purchase", "signup", "click", "error", "view"]
+    rows = {
+        "event_id": list(range(n)),
+        "ts": [dt.datetime(2024, 1, 1, 0, 0, i) for i in range(n)],
+        "user_id": [i % 3 for i in range(n)],
+        "event_type": [kinds[i % 5] for i in range(n)],
+        "value": [i / 10 for i in range(n)],
+        "props": ['{"k": %d}' % i for i in range(n)],
+    }
+    pq.write_table(pa.table(rows), tmp_path / "events.parquet")
+    texts = load().QUERIES["transcript_text_linear"](spark, str(tmp_path))
+    assert "Repartition" not in texts._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["event_id"]: r["fp"] for r in texts.collect()}
+    assert 0 not in found and 1 in found and all(found.values())

@@ -366,6 +366,13 @@ def transcript_text_graph(spark, sf_dir):
     )
 
 
+@lake.table
+def linear_text_digests(spark, sf_dir):
+    """One row a record, NULL without text; a filter on the text would move in front of the rows' dealing out."""
+    text = transcript.linear_text(F.col("raw"))
+    return bridge.linear_lines(spark, sf_dir).select((F.col("line_no") - 1).alias("event_id"), F.sha2(text, 256).alias("fp"))
+
+
 @query(
     "transcript_text_linear",
     """
@@ -378,13 +385,7 @@ FROM l WHERE w IN ('comp','call','msg','meta') OR (w='result' AND (k%5=0 OR size
 """,
 )
 def transcript_text_linear(spark, sf_dir):
-    text = transcript.linear_text(F.col("raw"))
-    return (
-        bridge.linear_lines(spark, sf_dir)
-        .select((F.col("line_no") - 1).alias("event_id"), text.alias("text"))
-        .where(F.col("text").isNotNull())
-        .select("event_id", F.sha2("text", 256).alias("fp"))
-    )
+    return linear_text_digests(spark, sf_dir).where(F.col("fp").isNotNull())
 
 
 @query(
