@@ -57,7 +57,7 @@ def planted(spark, sf_dir):
     q(FOUND, "SELECT doc_id, kind, occurrences FROM fnd"),
 )
 def secret_scan(spark, sf_dir):
-    found = planted(spark, sf_dir).select("doc_id", F.explode(secrets.scan(F.col("text"))).alias("f"))
+    found = exposure.kinds_found(planted(spark, sf_dir), "text")
     return found.select("doc_id", "f.kind", "f.occurrences")
 
 

@@ -11,6 +11,15 @@ from tokenloom.plans.skew import top_k_per_group
 from tokenloom.schema import SESSION
 
 
+def kinds_found(texts: DataFrame, text: str) -> DataFrame:
+    """One row per row of ``texts`` and kind found in its column ``text``, as ``f``; the text itself is dropped.
+
+    A plain ``explode`` would be preceded by a filter that scans every text once more.
+    """
+    rest = [c for c in texts.columns if c != text]
+    return texts.select(*rest, F.explode_outer(secrets.scan(F.col(text))).alias("f")).where(F.col("f").isNotNull())
+
+
 def findings(events: DataFrame) -> DataFrame:
     """(kind, occurrences) per record, with turn, line and record type; never a value.
 
@@ -18,9 +27,11 @@ def findings(events: DataFrame) -> DataFrame:
     decoded form, because an escape in front of a key hides where the key begins.
     """
     severity = F.create_map(*[F.lit(x) for pair in secrets.SEVERITY.items() for x in pair])
-    found = events.where(occupies_context()).select(
-        *SESSION, "line_no", "turn", "raw_type", F.explode(secrets.scan(secrets.record_text(F.col("raw")))).alias("f")
+    # The decoded text is a column of its own, so the rules share it.
+    texts = events.where(occupies_context()).select(
+        *SESSION, "line_no", "turn", "raw_type", secrets.record_text(F.col("raw")).alias("__text")
     )
+    found = kinds_found(texts, "__text")
     return found.select(
         *SESSION,
         "line_no",
