@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import dataclasses
+import os
+import re
 import uuid
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +28,55 @@ from tokenloom.sources.profile import profile
 _INGESTED: dict[tuple[str, str, str], LogTables] = {}
 
 
+#: What Spark escapes in the name of a partition's folder, and its name for no value.
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _folder(session: str | None) -> str:
+    return "session=" + (_ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", session) if session else _NO_NAME)
+
+
+def _file_writer(root: str):
+    """Writes rows sorted by session as one file each; a file has its name once it is whole, so a task may run again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        files = 0
+        for session, own in groupby(rows, itemgetter(0)):
+            folder = os.path.join(root, _folder(session))
+            os.makedirs(folder, exist_ok=True)
+            part = os.path.join(folder, f".{uuid.uuid4().hex}")
+            with open(part, "w", encoding="utf-8", newline="") as f:
+                f.writelines(f"{value or ''}\n" for _, value in own)
+            # No name and an empty one share a folder.
+            os.replace(part, os.path.join(folder, "none.txt" if session is None else "log.txt"))
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return write
+
+
 def write_logs(lines: DataFrame) -> str:
-    """Write ``session_id, line_no, raw`` as one log file a session, as agents do, into the shared folder."""
+    """Write ``session_id, line_no, raw`` as one log file a session, as agents do, into the shared folder.
+
+    In a mounted folder the tasks create the files themselves: Hadoop's local file system starts
+    a process for the permissions of each file and of its checksum, and the driver renames every file once more.
+    """
     root = f"{ensure_checkpoint_dir(lines.sparkSession)}/logs-{uuid.uuid4().hex}"
-    (
+    ordered = (
         lines.select(F.col("session_id").alias("session"), "line_no", F.col("raw").alias("value"))
         .repartition("session")
         .sortWithinPartitions("session", "line_no")
         .select("session", "value")
-        .write.partitionBy("session")
-        .text(root, lineSep="\n")
     )
+    place = urlsplit(root)
+    if place.scheme in ("", "file"):
+        local = unquote(place.path) if place.scheme else root
+        os.makedirs(local, exist_ok=True)
+        ordered.mapInArrow(_file_writer(local), "files bigint").agg(F.sum("files")).collect()
+    else:
+        ordered.write.partitionBy("session").text(root, lineSep="\n")
     return root
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.schema import SESSION
-from tokenloom.session import stage
+from tokenloom.session import many_files, stage
 from tokenloom.sources.lines import read_lines, with_positions
 from tokenloom.sources.profile import AgentProfile
 
@@ -34,7 +34,8 @@ def ingest(
     text is never shuffled.
     """
     lines = read_lines(spark, path, glob)
-    sessions = stage(agent.inventory(lines))
+    with many_files(spark):
+        sessions = stage(agent.inventory(lines))
     parsed = agent.normalise(
         lines.select(
             F.lit("").alias("session_id"),
@@ -50,7 +51,8 @@ def ingest(
         ),
         with_content=with_content,
     )
-    narrow = stage(parsed.drop("line_no", "byte_offset", "seq", "session_id"))
+    with many_files(spark):
+        narrow = stage(parsed.drop("line_no", "byte_offset", "seq", "session_id"))
     placed = with_positions(narrow).where(~F.col("blank")).drop("framed_bytes", "blank")
     named = placed.join(sessions.select("path", "session_id"), "path").withColumn("seq", F.col("line_no") - 1)
     events = stage(agent.assign_turns(named))
