@@ -8,10 +8,10 @@ they are a batch rule over the sessions that changed.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -78,6 +78,10 @@ ALERTS = T.StructType(
     ]
 )
 
+Record = namedtuple("Record", INPUT.fieldNames())
+
+Finding = Row(*ALERTS.fieldNames())
+
 _CHECKPOINT = (
     "path string, last_seq bigint, turns bigint, last_prompt bigint, band int, window bigint,"
     " error_key string, error_run bigint"
@@ -148,16 +152,12 @@ def next_band(previous: int, used: float, s: AlertSettings) -> int:
     return 0
 
 
-def _listed(values) -> list:
-    return [] if values is None or isinstance(values, float) else list(values)
-
-
-def _whole(value) -> int | None:
-    return int(value) if pd.notna(value) else None
-
-
 class SessionMonitor(StatefulProcessor):
-    """The checkpoint of one session and the rules that read it."""
+    """The checkpoint of one session and the rules that read it.
+
+    Every access to the state is a call to another process, so what a poll needs of it is
+    read once, what it changes is written once, and a new session reads nothing.
+    """
 
     def __init__(self, settings: AlertSettings, baseline: bool):
         self.settings = settings
@@ -172,61 +172,67 @@ class SessionMonitor(StatefulProcessor):
         self.instructions = handle.getMapState("instructions", "mechanism string, label string", "char_len bigint")
         self.waiting = handle.getListState("waiting", "seq bigint, line_no bigint, mechanism string, label string, growth bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        news = pd.concat(list(rows)).sort_values("seq")
-        state = self.checkpoint.get() if self.checkpoint.exists() else None
-        path = news["path"].iloc[-1]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        news = sorted(map(Record._make, rows), key=lambda r: r.seq)
+        state = self.checkpoint.get()
+        path = news[-1].path
         silent = state is None and self.baseline
-        if state is not None and (state[0] != path or news["seq"].iloc[0] <= state[1]):
+        if state is not None and (state[0] != path or news[0].seq <= state[1]):
             # Another file, or the log was rewritten: take stock, stay quiet.
             state, silent = None, True
             for part in (self.calls, self.sums, self.items, self.copies, self.instructions, self.waiting):
                 part.clear()
         out = self._fold(key, news, path, state)
-        if not silent and out:
-            yield pd.DataFrame(out, columns=ALERTS.fieldNames()).astype(
-                {"turn": "Int64", "line_no": "Int64", "seq": "Int64", "amount": "Int64"}
-            )
-
-    def _load(self) -> tuple[Prompt, Spend]:
-        saved = self.sums.get() if self.sums.exists() else (0, None, 0, 0, 0, False, None)
+        if not silent:
+            for row in out:
+                yield Finding(*row)
+
+    def _load(self, known: bool) -> tuple[Prompt, Spend]:
+        if not known:
+            return Prompt(self.settings), Spend()
+        saved = self.sums.get() or (0, None, 0, 0, 0, False, None)
         prompt = Prompt(self.settings, saved[0], saved[1])
         for part, *fields in self.items.get():
             getattr(prompt, part).append(Item(*fields))
         prompt.copies = {k[0]: (v[0], v[1]) for k, v in self.copies.iterator()}
         return prompt, Spend(*saved[2:6], [int(x) for x in saved[6].split()] if saved[6] else None)
 
-    def _save(self, prompt: Prompt, spend: Spend) -> None:
+    def _save(self, prompt: Prompt, spend: Spend, known: bool) -> None:
         sums = " ".join(map(str, spend.sums))
         self.sums.update((prompt.raw, prompt.opened, spend.observed, spend.unpriced, spend.turns, spend.over, sums))
         rows = [(part, *item) for part in _PARTS for item in getattr(prompt, part)]
         if rows:
             self.items.put(rows)
-        else:
+        elif known:
             self.items.clear()
-        if prompt.emptied:
+        if prompt.emptied and known:
             self.copies.clear()
         for fp in prompt.touched:
             self.copies.updateValue((fp,), prompt.copies[fp])
 
-    def _drift(self, r) -> tuple | None:
-        """A tracked instruction whose size differs from when it was last injected."""
+    def _drift(self, r: Record, sizes: dict, known: bool) -> tuple | None:
+        """A tracked instruction whose size differs from when it was last injected; ``sizes`` are those of this poll."""
         if r.kind != "context_injection" or r.mechanism not in TRACKED or r.label is None:
             return None
         name = (r.mechanism, r.label)
-        size = _whole(r.char_len)
-        before = self.instructions.getValue(name)[0] if self.instructions.containsKey(name) else None
-        self.instructions.updateValue(name, (size,))
+        size = r.char_len
+        before = sizes[name] if name in sizes else (self.instructions.getValue(name) or (None,))[0] if known else None
+        sizes[name] = size
         if before is None or size is None or before == size:
             return None
-        return int(r.seq), int(r.line_no), r.mechanism, r.label, size - before
+        return r.seq, r.line_no, r.mechanism, r.label, size - before
 
-    def _fold(self, key, news: pd.DataFrame, path: str, state) -> list[tuple]:
+    def _fold(self, key, news: list[Record], path: str, state) -> list[list]:
         s, (agent, session) = self.settings, key
         _, _, turns, prompt, band, window, error_key, error_run = state or (path, -1, 0, None, 0, None, None, 0)
-        out: list[tuple] = []
-        held, spend = self._load()
-        drifts = list(self.waiting.get())
+        out: list[list] = []
+        known = state is not None
+        held, spend = self._load(known)
+        drifts = list(self.waiting.get()) if known else []
+        waited = bool(drifts)
+        #: Calls and instruction sizes of this poll, ahead of the stored ones.
+        calls: dict[str, tuple] = {}
+        sizes: dict[tuple, int | None] = {}
         # Records wait for the report that closes their turn.
         pending: list[list] = []
 
@@ -236,17 +242,20 @@ class SessionMonitor(StatefulProcessor):
                 out.append(row)
                 return row
 
-        for r in news.itertuples(index=False):
+        for r in news:
             label = r.label
-            drift = self._drift(r)
+            drift = self._drift(r, sizes, known)
             if drift is not None:
                 drifts.append(drift)
-            for kind, times in zip(_listed(r.secret_kinds), _listed(r.secret_counts)):
-                pending.append(alert("secret_exposure", secrets.SEVERITY[kind], f"secret:{session}:{r.line_no}:{kind}", None, r.line_no, r.line_no, int(times), kind))
+            for kind, times in zip(r.secret_kinds or [], r.secret_counts or []):
+                pending.append(alert("secret_exposure", secrets.SEVERITY[kind], f"secret:{session}:{r.line_no}:{kind}", None, r.line_no, r.line_no, times, kind))
             if r.kind == "tool_call" and r.call_id is not None:
-                self.calls.updateValue((r.call_id,), (r.tool, r.target))
+                calls[r.call_id] = (r.tool, r.target)
             elif r.kind == "tool_result":
-                call = self.calls.getValue((r.call_id,)) if r.call_id is not None and self.calls.containsKey((r.call_id,)) else (None, None)
+                call = calls.get(r.call_id)
+                if call is None and known and r.call_id is not None:
+                    call = self.calls.getValue((r.call_id,))
+                call = call or (None, None)
                 tool = r.tool if r.tool is not None else call[0]
                 label = call[1] or tool or label
                 if not r.is_error:
@@ -259,8 +268,8 @@ class SessionMonitor(StatefulProcessor):
                         row = alert("tool_error_streak", "warning", f"tool-errors:{session}:{r.seq}:0", None, r.line_no, r.seq, error_run, tool or "tool")
                         pending.append(row)
             elif r.kind == "compacted":
-                known = pd.notna(r.tokens_before) and pd.notna(r.tokens_after)
-                freed = max(int(r.tokens_before) - int(r.tokens_after), 0) if known else None
+                told = r.tokens_before is not None and r.tokens_after is not None
+                freed = max(r.tokens_before - r.tokens_after, 0) if told else None
                 pending.append(alert("compaction", "info", f"compaction:{session}:{r.line_no}", None, r.line_no, r.seq, freed, r.trigger))
             elif r.kind == "unrecognised":
                 alert("format_drift", "warning", f"format:{agent}:{r.raw_type}", None, None, r.seq, None, r.raw_type)
@@ -270,8 +279,7 @@ class SessionMonitor(StatefulProcessor):
                     if row is not None:
                         row[4] = turns
                 pending = []
-                size = int(r.prompt_tokens) if pd.notna(r.prompt_tokens) else None
-                own = int(r.window) if pd.notna(r.window) else None
+                size, own = r.prompt_tokens, r.window
                 window = window if window is not None else own
                 room = own if own is not None else window
                 if size is not None and room:
@@ -282,30 +290,33 @@ class SessionMonitor(StatefulProcessor):
                 if size is not None and prompt is not None and size - prompt >= s.spike_tokens:
                     alert("prompt_spike", "warning", f"spike:{session}:{turns}", turns, None, r.seq, size - prompt, None)
                 prompt = size
-                for rule, item, name, amount, detail in held.close(int(r.seq), size):
+                for rule, item, name, amount, detail in held.close(r.seq, size):
                     alert(rule, "warning", f"{_KEYS[rule]}:{session}:{turns}:{name}", turns, None, turns if item is None else item.seq, amount, detail)
                 for seq, line, mechanism, name, growth in drifts:
                     alert("instruction_drift", "warning", f"instructions:{session}:{mechanism}:{turns}", turns, line, seq, growth, short_name(name))
                 drifts = []
-                spend.add(_whole(r.micros), [int(x) for x in _listed(r.current_micros)] or None)
+                spend.add(r.micros, r.current_micros or None)
                 budget = s.cost_budget_micros
                 if budget is not None and not spend.over and spend.expected(s.forecast_turns) >= budget:
                     spend.over = True
                     alert("cost_budget", "warning", f"cost:{session}:{budget}", None, None, 0, spend.expected(s.forecast_turns), None)
             item = None
-            if pd.notna(r.raw_tokens):
+            if r.raw_tokens is not None:
                 place = "summary" if r.kind == "compacted" else "system" if r.mechanism == "base_instructions" else "plain"
-                packed = float(r.packed) if pd.notna(r.packed) else None
-                item = Item(int(r.seq), r.item_id, label, int(r.raw_tokens), place, r.fp, packed)
+                item = Item(r.seq, r.item_id, label, r.raw_tokens, place, r.fp, r.packed)
             if r.kind != "token_report":
-                held.record(r.kind, r.role, int(r.seq), item)
-        self._save(held, spend)
+                held.record(r.kind, r.role, r.seq, item)
+        self._save(held, spend, known)
+        for call_id, call in calls.items():
+            self.calls.updateValue((call_id,), call)
+        for name, size in sizes.items():
+            self.instructions.updateValue(name, (size,))
         if drifts:
             self.waiting.put(drifts)
-        else:
+        elif waited:
             self.waiting.clear()
-        self.checkpoint.update((path, int(news["seq"].iloc[-1]), turns, prompt, band, window, error_key, error_run))
-        return [tuple(r) for r in out]
+        self.checkpoint.update((path, news[-1].seq, turns, prompt, band, window, error_key, error_run))
+        return out
 
     def close(self) -> None:
         pass
@@ -317,7 +328,7 @@ def alert_stream(events: DataFrame, settings: AlertSettings = AlertSettings(), b
     With ``baseline`` the first records seen of a session set its state without
     alerting.  Needs the RocksDB state store provider.
     """
-    return events.groupBy(*SESSION).transformWithStateInPandas(
+    return events.select(*INPUT.fieldNames()).groupBy(*SESSION).transformWithState(
         statefulProcessor=SessionMonitor(settings, baseline),
         outputStructType=ALERTS,
         outputMode="Append",
