@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm import decontaminate, embedding_dedup, license_scan, mixing, pii, quality, repeats, simhash
 from tokenloom.llm import substring_dedup, suffix_dedup, toxicity
 from tokenloom.llm.components import components
+from tokenloom.session import FEW_FILES, stage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,6 +164,31 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert sorted(x for x in kept if x is not None) == list(range(12)) and kept.count(None) == 1
 
 
+def test_few_links_make_few_files(spark, monkeypatch):
+    """Not one for each shuffle partition, in every table of every round."""
+    written = []
+
+    def counted(df, rows=None):
+        out = stage(df, rows)
+        if rows is not None:
+            written.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr("tokenloom.llm.components.stage", counted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        got = {r["node"]: r["component"] for r in components(links).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == {i: 0 for i in range(301)}
+    assert written and max(written) <= FEW_FILES
+
+
 def test_components_of_a_long_chain(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(200)] + [(500, i) for i in range(501, 540)] + [(7, 7), (900, 901)]

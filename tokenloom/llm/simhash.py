@@ -173,10 +173,11 @@ def _links(
         warm = stage(keyed.join(large, "key", "left_semi"))
     if links is None:
         links = keyed.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    if warm.isEmpty():
+    held = warm.count()
+    if not held:
         return links
-    shares = warm.select("key", "rep").join(stage(warm.groupBy("key").count()), "key")
-    shares = stage(shares.groupBy("rep").agg(F.sum("count").alias("shares")))
+    shares = warm.select("key", "rep").join(stage(warm.groupBy("key").count(), held), "key")
+    shares = stage(shares.groupBy("rep").agg(F.sum("count").alias("shares")), held)
     turn = F.xxhash64("key", "rep")
     across = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & close
     found = stage(components(links))
@@ -187,14 +188,15 @@ def _links(
         # What is one group needs nothing more, nor do two members that have met.
         apart = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
         apart = apart.where((F.col("low") < F.col("high")) & (F.col("n") > (2 if step else 1))).select("key")
-        placed = stage(placed.join(apart, "key", "left_semi"))
-        if placed.isEmpty():
+        placed = stage(placed.join(apart, "key", "left_semi"), held)
+        held = placed.count()
+        if not held:
             return links
         warm = placed.drop("c")
         if step < LEADERS:
             choice = (_minor(placed) if step else placed).join(shares, "rep")
             best = F.max_by(F.struct("rep", "p", "c"), F.struct("shares", turn))
-            leader = stage(choice.groupBy("key").agg(best.alias("l")).select("key", "l.rep", "l.p", "l.c"))
+            leader = stage(choice.groupBy("key").agg(best.alias("l")).select("key", "l.rep", "l.p", "l.c"), held)
             more = placed.alias("a").join(leader.alias("b"), across)
         else:
             if bands is not None:
@@ -212,7 +214,7 @@ def _links(
 def _minor(placed: DataFrame) -> DataFrame:
     """The members outside their bucket's largest group."""
     most = placed.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
-    return placed.join(stage(most), "key").where("c != most").drop("most")
+    return placed.join(stage(most, placed.count()), "key").where("c != most").drop("most")
 
 
 def groups(prints: DataFrame, max_bits: int, hot: int = 256) -> DataFrame:
